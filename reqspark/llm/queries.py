@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .pii import op7_pii
 from .quality_rules import op10_quality_rules
 from .secret_scan import op4_secret_scan
+from .simhash import op9_simhash
 
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
+    "op7_pii": op7_pii,
+    "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
