@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .packing import op8_packing
 from .pii import op7_pii
 from .quality_rules import op10_quality_rules
 from .secret_scan import op4_secret_scan
 from .simhash import op9_simhash
+from .token_files import op2_token_files
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
     "op4_secret_scan": op4_secret_scan,
     "op7_pii": op7_pii,
+    "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
