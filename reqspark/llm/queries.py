@@ -8,8 +8,10 @@ from .quality_rules import op10_quality_rules
 from .secret_scan import op4_secret_scan
 from .simhash import op9_simhash
 from .token_files import op2_token_files
+from .vectors import op1_vectors
 
 QUERIES = {
+    "op1_vectors": op1_vectors,
     "op2_token_files": op2_token_files,
     "op4_secret_scan": op4_secret_scan,
     "op7_pii": op7_pii,
