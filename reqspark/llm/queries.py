@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .line_dedup import op6_line_dedup
+from .mixing import op5_mixing
 from .packing import op8_packing
 from .pii import op7_pii
 from .quality_rules import op10_quality_rules
@@ -14,6 +16,8 @@ QUERIES = {
     "op1_vectors": op1_vectors,
     "op2_token_files": op2_token_files,
     "op4_secret_scan": op4_secret_scan,
+    "op5_mixing": op5_mixing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_pii": op7_pii,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
