@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .line_dedup import op6_line_dedup
+from .lm_scoring import op3_lm_scoring
 from .mixing import op5_mixing
 from .packing import op8_packing
 from .pii import op7_pii
@@ -15,6 +16,7 @@ from .vectors import op1_vectors
 QUERIES = {
     "op1_vectors": op1_vectors,
     "op2_token_files": op2_token_files,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
     "op6_line_dedup": op6_line_dedup,
