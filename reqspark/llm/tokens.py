@@ -2,8 +2,8 @@
 
 The library encodes each different word (with the space or line feed before it) once and its ids are kept. This gives the
 ids of the whole text: the vocabulary's pre-tokeniser never joins what stands on both sides of a single space or line
-feed, leaves a space with the word after it, and makes a line feed an id of its own. A text with other white space goes to
-the library whole.
+feed, leaves a space with the word after it, and makes a line feed an id of its own. A text with white space in a row, or at
+an end, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -13,11 +13,9 @@ import os
 import numpy as np
 
 #: Words whose ids are kept in a worker; beyond that they are forgotten and kept anew.
-MAX_KEPT = 600_000
+MAX_KEPT = 1_200_000
 #: Characters of text whose words are looked up together.
 SLICE = 1 << 20
-#: Signs that end words; the pre-tokeniser parts them from letters.
-SIGNS = ".,;:!?#$%&*"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -33,29 +31,22 @@ class Encoder:
         assert len(self.line_feed) == 1
         #: ids by word: of " word" under "word", of "\nword" under "\nword"
         self.kept: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        #: what white space beside white space makes of words
+        self.bad: set[str] = set()
 
     def _learn(self, words: set[str]) -> None:
-        """Keeps the ids of words. One call encodes all, a line each: a line feed is an id that no word has. What ends in
-        signs after letters is put together from both, as the pre-tokeniser parts them."""
+        """Keeps the ids of words. One call encodes all, a line each: a line feed is an id that no word has. A word
+        that is empty or ends in white space is kept as bad."""
         kept = self.kept
-        cores = ((w, w.rstrip(SIGNS)) for w in words)
-        split = {w: c for w, c in cores if len(c) < len(w) and c.removeprefix("\n").isalpha()}
-        new = list((words - split.keys()) | ({*split.values()} - kept.keys()))
-        ids = self.encode("".join(w if w[:1] == "\n" else "\n " + w for w in new))
-        starts = [*np.flatnonzero(ids == self.line_feed[0]).tolist(), len(ids)]
+        bad = {w for w in words if not w or w[-1].isspace()}
+        self.bad |= bad
+        new = list(words - bad)
+        ids = self.encode("".join([w if w[0] == "\n" else "\n " + w for w in new]))
+        starts = [*(4 * np.flatnonzero(ids == self.line_feed[0])).tolist(), 4 * len(ids)]
         raw = ids.tobytes()
-        for word, a, b in zip(new, starts[:-1], starts[1:], strict=True):
-            kept[word] = raw[4 * (a + (word[:1] != "\n")) : 4 * b]
-        for w, c in split.items():
-            kept[w] = kept[c] + self._tail(w[len(c) :])
-
-    def _tail(self, signs: str) -> bytes:
-        if signs not in self.tails:
-            if len(self.tails) >= MAX_KEPT:
-                self.tails.clear()
-            self.tails[signs] = self.encode(signs).tobytes()
-        return self.tails[signs]
+        kept.update(zip(new, [raw[a:b] if w[0] == "\n" else raw[a + 4 : b] for w, a, b in zip(new, starts, starts[1:])]))
+        for w in bad:
+            kept[w] = b""
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -71,11 +62,8 @@ class Encoder:
         words: list[str] = []
         ends = []
         for x in texts:
-            if len(x.split()) == x.count(" ") + x.count("\n") + 1:  # single spaces and line feeds between words, nothing else
-                words += ("\n" + x.replace("\n", " \n")).split(" ")
-                ends.append(len(words))
-            else:
-                ends.append(-1)
+            words += ("\n" + x.replace("\n", " \n")).split(" ")
+            ends.append(len(words))
         get = self.kept.get
         found = list(map(get, words))
         missing = [k for k, ids in enumerate(found) if ids is None]
@@ -87,13 +75,14 @@ class Encoder:
             self._learn(new)
             for k in missing:
                 found[k] = self.kept[words[k]]
+        odd = not self.bad.isdisjoint(words)
         out, at = [], 0
         for x, end in zip(texts, ends):
-            if end < 0:
+            if odd and not self.bad.isdisjoint(words[at:end]):
                 out.append(self.encode(x).tobytes())
             else:
                 out.append(b"".join(found[at:end])[4:])
-                at = end
+            at = end
         return out
 
 
