@@ -55,7 +55,7 @@ def whole_shares(weights: list[float], total: int) -> list[int]:
     return out
 
 
-def mix(docs: DataFrame, *, weights: dict[str | None, float] | None = None, block_rows: int = 16, period: int = 1000, bucket_rows: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, *, weights: dict[str | None, float] | None = None, block_rows: int = 16, period: int = 1000, bucket_rows: int = 4096) -> DataFrame:
     """row (the row of docs), doc_id, mixed_as (the source that its weight counts for), block, slot, mix_position (long,
     ascending in the mixture). Without weights a source weighs the square root of its rows; a source that weights lack
     weighs as much as the least."""
