@@ -45,7 +45,9 @@ def place(doc_id: Column, line: Column) -> Column:
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """id (the first place) and words (joined by spaces) of each different line that has words."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.lower(F.col("text").cast("string")), "\n", -1)).alias("line", "text"))
-    lines = lines.select(place(F.col("doc_id"), F.col("line")).alias("id"), F.array_join(words_of(F.col("text")), " ").alias("words"))
+    odd = F.col("text").rlike(r"[\x09-\x0D]|\x20\x20")
+    words = F.when(odd, F.array_join(words_of(F.col("text")), " ")).otherwise(F.trim("text"))
+    lines = lines.select(place(F.col("doc_id"), F.col("line")).alias("id"), words.alias("words"))
     return lines.where("words <> ''").groupBy("words").agg(F.min("id").alias("id"))
 
 
@@ -202,7 +204,11 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256,
     dealt = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = _blocks(lines, listed, threshold, dealt)
     found = materialise(_candidates(blocks, threshold, first, dealt))
-    gone = materialise(_verified(found.where("earlier <> -1"), lines, threshold).select(F.col("later").alias("id")).distinct())
+    # most lines have a match in the earliest line that passes; only the others are held against all that pass
+    pairs = found.where("earlier <> -1")
+    gone = materialise(_verified(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), lines, threshold).select(F.col("later").alias("id")))
+    rest = pairs.join(gone, F.col("later") == F.col("id"), "left_anti")
+    gone = materialise(gone.union(_verified(rest, lines, threshold).select(F.col("later").alias("id")).distinct()))
     open_ = [r[0] for r in found.where("earlier = -1").select(F.col("later").alias("id")).distinct().join(gone, "id", "left_anti").limit(MAX_LISTED).collect()]
     while open_:
         more = _candidates(blocks, threshold, first, dealt, set(open_))
