@@ -1,4 +1,11 @@
 """Every query of the library with its SQL, by name."""
 
+from __future__ import annotations
+
+from . import context_queries
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (context_queries,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
