@@ -100,3 +100,21 @@ CASES = """cases AS (SELECT l_orderkey AS requirement_id, row_number() OVER (PAR
   'Flag ' || l_returnflag AS expected_result, CASE WHEN l_linestatus = 'O' THEN 'positive' ELSE 'negative' END AS test_type
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey
   JOIN region r ON cn.n_regionkey = r.r_regionkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey)"""
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """requirement_id, response, logprobs: the cases of a requirement as a model might write them, by requirement modulo 5: plain
+    JSON, fenced, within prose, without outer braces, blank."""
+    key = F.col("requirement_id") % 5
+    fields = F.struct("summary", "action", "data", "expected_result", "test_type")
+    rows = cases(spark, sf_dir).groupBy("requirement_id").agg(F.sort_array(F.collect_list(F.struct("idx", fields.alias("case")))).alias("all"))
+    listed = F.to_json(F.transform("all", lambda x: x["case"]))
+    plain = F.concat(F.lit('{"test_cases": '), listed, F.lit("}"))
+    text = (
+        F.when(key == 0, plain)
+        .when(key == 1, F.concat(F.lit("Here:\n```json\n"), plain, F.lit("\n```\nDone.")))
+        .when(key == 2, F.concat(F.lit("The cases are "), plain, F.lit(" as asked.")))
+        .when(key == 3, F.concat(F.lit('"test_cases": '), listed))
+        .otherwise("  ")
+    )
+    return rows.select("requirement_id", text.alias("response"), F.transform("all", lambda x: -x["idx"] / 10.0).alias("logprobs"))
