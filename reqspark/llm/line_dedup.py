@@ -10,7 +10,7 @@ Jaccard similarity of at least ``threshold`` with it. Lines without words stay.
 3. Similar lines of sizes over 1 share at least two tokens in their prefixes of size - ceil(t size) + 2 tokens. A line is put
    under each rare token of its prefix and each pair of frequent ones, so similar lines meet under a key. Lines of over
    ``LONG`` tokens are put under each token of the ordinary prefix instead (lines near that size under both).
-4. Lines under a key are compared by length, by position in the order, and by two parity bitmaps of 64 bits whose
+4. Lines under a key are compared by length, by position in the order, and by a parity bitmap of 256 bits whose
    difference can't exceed that of the sets. What passes is verified by its words. Under a key a line meets the
    ``first`` earliest lines that pass; lines with more of them that no verified pair has removed are compared with all.
 
@@ -22,8 +22,12 @@ document, whose equal lines at the same place stay in each; doc_ids must be with
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import chain, count
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +38,7 @@ from .common import materialise, table, words_of
 MAX_LISTED = 1_000_000
 LONG = 400
 LINE_BITS = 21
-ROW = np.dtype([("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("pos", "<u4"), ("b1", "<u8"), ("b2", "<u8")])
+ROW = np.dtype([("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("pos", "<u4"), *((f"b{k}", "<u8") for k in range(4))])
 
 
 def place(doc_id: Column, line: Column) -> Column:
@@ -51,15 +55,35 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return lines.where("words <> ''").groupBy("words").agg(F.min("id").alias("id"))
 
 
-def tokens(words: Column) -> Column:
-    return F.transform(F.array_distinct(F.split(words, " ")), lambda w: F.xxhash64(w))
+class Numbered:
+    """Tokens of a batch of lines: counts a line, and a number for each token; hashes by number."""
+
+    def __init__(self, lines: list[str]):
+        known: defaultdict[str, int] = defaultdict(count().__next__)
+        sets = [dict.fromkeys(x.split(" ")) for x in lines]
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(sets)), np.int64, int(self.sizes.sum()))
+        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64)
+
+
+def token_counts(lines: DataFrame) -> DataFrame:
+    """(token, n): the hash of each token and the lines that it is in."""
+
+    def run(batches):
+        for batch in batches:
+            tokens = Numbered(batch.column(0).to_pylist())
+            n = np.bincount(tokens.numbers, minlength=len(tokens.hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.hashes.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
+
+    return lines.select("words").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def prefix_keys(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, listed: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
     """ROWs of lines with these token counts, whose tokens follow each other in hashes."""
     line = np.repeat(np.arange(len(sizes)), sizes)
     starts = np.cumsum(sizes) - sizes
-    b1, b2 = (np.bitwise_xor.reduceat(np.uint64(1) << ((hashes >> np.uint64(s)) & np.uint64(63)), starts) for s in (0, 6))
+    bit, part = np.uint64(1) << (hashes & np.uint64(63)), (hashes >> np.uint64(6)) & np.uint64(3)
+    bitmap = [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), starts) for k in range(4)]
     at = np.minimum(np.searchsorted(listed, hashes), max(0, len(listed) - 1))
     often = np.where(listed[at] == hashes, counts[at], 0) if len(listed) else np.zeros(len(hashes), np.int64)
     order = np.lexsort((hashes, often, line))
@@ -85,7 +109,8 @@ def prefix_keys(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, listed:
     where = np.concatenate(rows)
     out = np.empty(len(where), ROW)
     out["key"], out["id"], out["size"], out["pos"] = np.concatenate(keys), ids[line[where]], size[where], pos[where]
-    out["b1"], out["b2"] = b1[line[where]], b2[line[where]]
+    for k in range(4):
+        out[f"b{k}"] = bitmap[k][line[where]]
     return out
 
 
@@ -111,7 +136,7 @@ def passing(rows: np.ndarray, threshold: float, first: int, only: set[int] | Non
         most = np.minimum(pa_, pb) + 1 + np.minimum(sa - pa_ - 1, sb - pb - 1)
         gap = sa + sb - 2 * need
         ok = (np.minimum(sa, sb) >= np.ceil(threshold * np.maximum(sa, sb) - 1e-9)) & (most >= need) & (a["id"] != b["id"])
-        ok &= (np.bitwise_count(a["b1"] ^ b["b1"]) <= gap) & (np.bitwise_count(a["b2"] ^ b["b2"]) <= gap)
+        ok &= sum(np.bitwise_count(a[f"b{k}"] ^ b[f"b{k}"]).astype(np.int64) for k in range(4)) <= gap
         hit = todo[ok]
         seen[hit] += 1
         over = (seen[hit] > first) if only is None else np.zeros(len(hit), bool)
@@ -130,21 +155,18 @@ def _blocks(lines: DataFrame, listed, threshold: float, dealt: int) -> DataFrame
         compress = zstandard.ZstdCompressor(level=1).compress
         hashes_listed, counts = listed.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
-                arrays = part.column(1)
-                sizes = np.diff(arrays.offsets.to_numpy())
-                rows = prefix_keys(part.column(0).to_numpy(), sizes, arrays.flatten().to_numpy().view(np.uint64), hashes_listed, counts, threshold)
-                to = (rows["key"] >> np.uint64(8)) % np.uint64(dealt)
-                order = np.lexsort((rows["key"], to))
-                rows, to = rows[order], to[order]
-                cuts = np.searchsorted(to, np.arange(dealt + 1, dtype=np.uint64)).tolist()
-                used = [k for k in range(dealt) if cuts[k] < cuts[k + 1]]
-                # fields by column: equal bytes come together
-                blobs = [compress(b"".join(rows[n][cuts[k] : cuts[k + 1]].tobytes() for n in ROW.names)) for k in used]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], ["dealt", "rows"])
-
-    return lines.select("id", tokens(F.col("words")).alias("tokens")).mapInArrow(run, "dealt int, rows binary")
+            tokens = Numbered(batch.column(1).to_pylist())
+            rows = prefix_keys(batch.column(0).to_numpy(), tokens.sizes, tokens.hashes[tokens.numbers], hashes_listed, counts, threshold)
+            to = (rows["key"] >> np.uint64(8)) % np.uint64(dealt)
+            order = np.lexsort((rows["key"], to))
+            rows, to = rows[order], to[order]
+            cuts = np.searchsorted(to, np.arange(dealt + 1, dtype=np.uint64)).tolist()
+            used = [k for k in range(dealt) if cuts[k] < cuts[k + 1]]
+            # fields by column: equal bytes come together
+            blobs = [compress(b"".join(rows[n][cuts[k] : cuts[k + 1]].tobytes() for n in ROW.names)) for k in used]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], ["dealt", "rows"])
+
+    return lines.select("id", "words").mapInArrow(run, "dealt int, rows binary")
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
@@ -179,23 +201,27 @@ def _candidates(blocks: DataFrame, threshold: float, first: int, dealt: int, onl
     return blocks.repartition(dealt, "dealt").sortWithinPartitions("dealt").mapInArrow(run, "later long, earlier long").distinct()
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose words are as similar as asked."""
-    pairs = materialise(pairs)
+def _words_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, words) of the lines that stand in pairs."""
     ends = pairs.select(F.col("later").alias("id")).union(pairs.select(F.col("earlier").alias("id"))).distinct()
-    sets = materialise(lines.join(ends, "id", "left_semi").select("id", F.array_distinct(F.split("words", " ")).alias("words")))
-    side = lambda name: sets.select(F.col("id").alias(name), F.col("words").alias(f"{name}_words"))
+    return materialise(lines.join(ends, "id", "left_semi"), release=True)
+
+
+def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """(id): the later lines of pairs whose words are as similar as asked."""
+    side = lambda name: words.select(F.col("id").alias(name), F.col("words").alias(f"{name}_words"))
     both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
-    common = F.size(F.array_intersect("later_words", "earlier_words"))
-    return both.where(common >= threshold * (F.size("later_words") + F.size("earlier_words") - common)).select("later", "earlier")
+    parted = both.select("later", F.split("later_words", " ").alias("a"), F.split("earlier_words", " ").alias("b"))
+    sized = parted.select("later", F.size(F.array_intersect("a", "b")).alias("common"), (F.size(F.array_distinct("a")) + F.size(F.array_distinct("b"))).alias("both"))
+    return sized.where(f"common >= {threshold} * (both - common)").select(F.col("later").alias("id")).distinct()
 
 
 def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256, first: int = 4) -> tuple[DataFrame, DataFrame]:
     """The distinct lines (id, words), and the ids of those that have an earlier similar line."""
     spark = docs.sparkSession
     ship(spark)
-    lines = materialise(distinct_lines(docs))
-    counted = materialise(lines.select(F.explode(tokens(F.col("words"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(f"n > {rare}"))
+    lines = materialise(distinct_lines(docs), release=True)
+    counted = materialise(token_counts(lines).where(f"n > {rare}"), release=True)
     total = counted.agg(F.sum("n")).first()[0] or 0
     often = counted.where(F.col("n") > total / MAX_LISTED).toArrow()  # fewer than MAX_LISTED rows: their counts sum to total
     hashes, counts = often["token"].to_numpy().view(np.uint64), often["n"].to_numpy()
@@ -203,20 +229,19 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256,
     listed = spark.sparkContext.broadcast((hashes[order], counts[order]))
     dealt = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = _blocks(lines, listed, threshold, dealt)
-    found = materialise(_candidates(blocks, threshold, first, dealt))
+    found = materialise(_candidates(blocks, threshold, first, dealt), release=True)
     # most lines have a match in the earliest line that passes; only the others are held against all that pass
     pairs = found.where("earlier <> -1")
-    gone = materialise(_verified(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), lines, threshold).select(F.col("later").alias("id")))
+    words = _words_of(pairs, lines)
+    gone = materialise(_verified(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), words, threshold), release=True)
     rest = pairs.join(gone, F.col("later") == F.col("id"), "left_anti")
-    gone = materialise(gone.union(_verified(rest, lines, threshold).select(F.col("later").alias("id")).distinct()))
-    open_ = [r[0] for r in found.where("earlier = -1").select(F.col("later").alias("id")).distinct().join(gone, "id", "left_anti").limit(MAX_LISTED).collect()]
-    while open_:
-        more = _candidates(blocks, threshold, first, dealt, set(open_))
-        more = materialise(_verified(more, lines, threshold).select(F.col("later").alias("id")).distinct())
-        known = spark.createDataFrame([(k,) for k in open_], "id long")
-        gone = materialise(gone.union(more))
-        found = materialise(found.where("earlier = -1").join(known, F.col("later") == F.col("id"), "left_anti"))
-        open_ = [r[0] for r in found.select(F.col("later").alias("id")).distinct().join(gone, "id", "left_anti").limit(MAX_LISTED).collect()]
+    gone = materialise(gone.union(_verified(rest, words, threshold)), release=True)
+    full = found.where("earlier = -1").select(F.col("later").alias("id")).distinct()
+    while open_ := [r[0] for r in full.join(gone, "id", "left_anti").limit(MAX_LISTED).collect()]:
+        more = materialise(_candidates(blocks, threshold, first, dealt, set(open_)), release=True)
+        more = materialise(_verified(more, _words_of(more, lines), threshold), release=True)
+        done = spark.createDataFrame([(k,) for k in open_], "id long")
+        gone, full = materialise(gone.union(more)), materialise(full.join(done, "id", "left_anti"))
     return lines, gone
 
 

@@ -263,13 +263,13 @@ def _scores(counted: DataFrame, weights: np.ndarray, tokens: int, words: int) ->
     return counted.select("doc_ids", "body").mapInArrow(run, SCORES)
 
 
-def score(docs: DataFrame, *, block_tokens: int = 1 << 22) -> DataFrame:
+def score(docs: DataFrame, *, block_tokens: int = 1 << 21) -> DataFrame:
     """A row (SCORES) for each row of docs (columns doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
     dealt = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = materialise(_blocks(docs, block_tokens))
-    answers = materialise(_answers(_requests(blocks, dealt), dealt))
+    answers = materialise(_answers(_requests(blocks, dealt), dealt), release=True)
     tokens, words = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("words")).first())
     counted = materialise(_counted(blocks, answers, tokens, words))
     cells = counted.select(F.explode(F.arrays_zip("cells", "n")).alias("z")).groupBy("z.cells").agg(F.sum("z.n").alias("n")).toArrow()
