@@ -118,3 +118,45 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("  ")
     )
     return rows.select("requirement_id", text.alias("response"), F.transform("all", lambda x: -x["idx"] / 10.0).alias("logprobs"))
+
+
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fine-tuning examples from conversations: example_id, requirement_text, heading, infos, interfaces (texts), oracle (ids of
+    context items: HEADING, INFO_i, IF_i), rating, status, images."""
+    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    said = lambda role: F.transform(F.filter("turns", lambda t: t["role"] == role), lambda t: t["text"])
+    key = F.col("conv_id")
+    rows = rows.select(
+        key.alias("example_id"),
+        F.coalesce(F.get(said("assistant"), F.lit(0)), F.lit("")).alias("requirement_text"),
+        F.coalesce(F.get(said("system"), F.lit(0)), F.lit("")).alias("heading"),
+        said("user").alias("infos"),
+        F.slice(said("assistant"), 2, 1000).alias("interfaces"),
+        F.when(key % 12 != 0, (key % 6).cast("int")).alias("rating"),
+        F.when(key % 5 == 0, "pending").when(key % 5 == 1, "rejected").otherwise("validated").alias("status"),
+    )
+    key = F.col("example_id")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), ((key + i) % 3 + 1).cast("int"))
+    ids = F.concat(
+        F.when((key % 3 != 0) & (F.col("heading") != ""), F.array(F.lit("HEADING"))).otherwise(F.array().cast("array<string>")),
+        F.transform(F.filter(F.transform("infos", lambda x, i: i), lambda i: (i + key) % 2 == 0), lambda i: F.concat(F.lit("INFO_"), i)),
+        F.transform(F.filter(F.transform("interfaces", lambda x, i: i), lambda i: i % 2 == 0), lambda i: F.concat(F.lit("IF_"), i)),
+    )
+    image = lambda i: F.struct(
+        pick(["PNG", "SVG", "JPEG"], i).alias("format"),
+        (30000 * (i + 1) + key % 10 * 60000).cast("long").alias("size_bytes"),
+        pick(["state_machine", "", "photo"], i).alias("image_type"),
+        pick(["oracle", "distractor", None], i).alias("relevance"),
+        F.when(i % 2 == 0, F.substring("requirement_text", 1, 40)).otherwise("").alias("description"),
+    )
+    images = F.when(key % 4 > 0, F.transform(F.sequence(F.lit(0), (key % 4 - 1).cast("int")), image)).otherwise(F.array().cast("array<struct<format:string,size_bytes:bigint,image_type:string,relevance:string,description:string>>"))
+    return rows.withColumn("oracle", F.when(key % 7 != 0, ids).otherwise(F.array().cast("array<string>"))).withColumn("images", images)
+
+
+EXAMPLES = """turns AS (SELECT conv_id, list(text ORDER BY turn) FILTER (role = 'assistant') AS a, list(text ORDER BY turn) FILTER (role = 'user') AS u, list(text ORDER BY turn) FILTER (role = 'system') AS s FROM conversations GROUP BY 1),
+base AS (SELECT conv_id AS example_id, coalesce(a[1], '') AS requirement_text, coalesce(s[1], '') AS heading, coalesce(u, []) AS infos, coalesce(a[2:], []) AS interfaces,
+  CASE WHEN conv_id % 12 <> 0 THEN (conv_id % 6)::INT END AS rating, CASE conv_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'rejected' ELSE 'validated' END AS status FROM turns),
+examples AS (SELECT *, CASE WHEN example_id % 7 <> 0 THEN list_concat(list_concat(CASE WHEN example_id % 3 <> 0 AND heading <> '' THEN ['HEADING'] ELSE [] END,
+  [('INFO_' || i)::VARCHAR for i in range(0, len(infos)) if (i + example_id) % 2 = 0]), [('IF_' || i)::VARCHAR for i in range(0, len(interfaces)) if i % 2 = 0]) ELSE [] END AS oracle,
+  [{'format': (['PNG', 'SVG', 'JPEG'])[(example_id + i) % 3 + 1], 'size_bytes': 30000 * (i + 1) + example_id % 10 * 60000, 'image_type': (['state_machine', '', 'photo'])[(example_id + i) % 3 + 1],
+    'relevance': (['oracle', 'distractor', NULL])[(example_id + i) % 3 + 1], 'description': CASE WHEN i % 2 = 0 THEN substr(requirement_text, 1, 40) ELSE '' END} for i in range(0, example_id % 4)] AS images FROM base)"""
