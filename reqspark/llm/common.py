@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,5 +53,7 @@ def materialise(df: DataFrame, release: bool = False) -> DataFrame:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     if release:
-        spark._jvm.System.gc()
+        for _ in range(2):  # the first lets go of the plan, the second of its files
+            spark._jvm.System.gc()
+            time.sleep(0.4)
     return spark.read.schema(df.schema).parquet(path)
