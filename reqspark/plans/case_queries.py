@@ -124,6 +124,12 @@ def g5(spark, sf_dir):
     return dedup.similar_pairs(adapters.cases(spark, sf_dir))
 
 
+@query("g6_corpus_near_dups")
+def g6(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return dedup.corpus_near_dups(turns.select(F.col("text").alias("action"), F.lit("").alias("data"), F.lit("").alias("expected_result")))
+
+
 SAME = f"""{C}, grouped AS (SELECT *, min(idx) OVER (PARTITION BY requirement_id, trim(lower(action)), trim(lower(data)), trim(lower(expected_result))) AS anchor FROM cases)"""
 
 
