@@ -36,6 +36,8 @@ SEED = 42
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Hashes whose bits are counted at once.
 _CHUNK = 1 << 15
+#: Blocks of so many members are compared many at once, larger ones alone.
+SMALL = 64
 
 
 def fingerprint(text: bytes, words: int = 3, bits: int = 64) -> bytes:
@@ -116,6 +118,57 @@ def links_of_block(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
+def within(differing: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows of bytes have at most radius bits: many comparisons at once, bit planes over all of them, 32 planes a time;
+    what exceeds the radius is left out of the next planes."""
+    lanes, width = np.arange(len(differing)), radius.bit_length()
+    count, over = np.zeros((width, -(-len(lanes) // 8)), np.uint8), np.zeros(-(-len(lanes) // 8), np.uint8)
+    for k in range(0, differing.shape[1], 4):
+        planes = np.packbits(np.ascontiguousarray(np.unpackbits(differing[lanes, k : k + 4], axis=1).T), axis=1)
+        for carry in planes:
+            for b in range(width):
+                count[b], carry = count[b] ^ carry, count[b] & carry
+            over |= carry
+        more, equal = over.copy(), np.full_like(over, 255)
+        for b in reversed(range(width)):
+            if radius >> b & 1:
+                equal &= count[b]
+            else:
+                more |= equal & count[b]
+                equal &= ~count[b]
+        stay = np.unpackbits(more, count=len(lanes)) == 0
+        lanes = lanes[stay]
+        count = np.packbits(np.unpackbits(count, axis=1, count=len(stay))[:, stay], axis=1)
+        over = np.zeros(count.shape[1], np.uint8)
+    out = np.zeros(len(differing), bool)
+    out[lanes] = True
+    return out
+
+
+def links_of_blocks(members: np.ndarray, sizes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """The same for many small blocks that follow each other: members at each distance in a block meet at once."""
+    block, label = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(members))
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            x = int(label[x])
+        return x
+
+    links = []
+    for step in range(1, int(sizes.max(initial=0))):
+        i = np.flatnonzero(block[:-step] == block[step:])
+        i = i[label[i] != label[i + step]]
+        near = i[within(members[i] ^ members[i + step], radius)]
+        for a in near.tolist():
+            x, y = root(a), root(a + step)
+            if x != y:
+                label[max(x, y)] = min(x, y)
+                links.append((a, a + step))
+        while len(near) and (label[label] != label).any():
+            label = label[label]
+    return links
+
+
 def _in_blocks(nodes: DataFrame, size: int, bands: int) -> DataFrame:
     """Each node once for each pair of bands (a, b), under the key of its block."""
     width = size // bands
@@ -150,12 +203,18 @@ def near_pairs(nodes: DataFrame, *, bits: int = 64, radius: int = 2, bands: int
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
+            a, b, few = [], [], []
             for values in batch.column(0).to_pylist():
-                members = np.frombuffer(b"".join(values), np.uint8).reshape(-1, size)
-                for i, j in links_of_block(members, radius):
+                if len(values) <= SMALL:
+                    few.append(values)
+                    continue
+                for i, j in links_of_block(np.frombuffer(b"".join(values), np.uint8).reshape(-1, size), radius):
                     a.append(values[i])
                     b.append(values[j])
+            every = [x for values in few for x in values]
+            for i, j in links_of_blocks(np.frombuffer(b"".join(every), np.uint8).reshape(-1, size), np.array([len(x) for x in few], np.int64), radius):
+                a.append(every[i])
+                b.append(every[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return blocks.mapInArrow(run, "a binary, b binary").distinct()
