@@ -166,6 +166,10 @@ def test_links_of_blocks(spark):
 
     want = classes(np.argwhere(near).tolist())
     assert classes(simhash.links_of_block(members, 2)) == want
+    twice = simhash.links_of_blocks(np.concatenate([members, members[::-1]]), np.array([len(members)] * 2), 2)
+    assert classes([p for p in twice if p[1] < len(members)]) == want
+    assert classes([(2 * len(members) - 1 - i, 2 * len(members) - 1 - j) for i, j in twice if i >= len(members)]) == want
+    assert (simhash.within(members ^ members[0], 5) == (np.unpackbits(members ^ members[0], axis=1).sum(axis=1) <= 5)).all()
     nodes = spark.createDataFrame([(bytearray(m.tobytes()),) for m in members], "fp binary")
     place = {m.tobytes(): k for k, m in enumerate(members)}
     for limit in (4096, 3):  # the second cuts every block again
