@@ -5,6 +5,7 @@ from __future__ import annotations
 from .line_dedup import op6_line_dedup
 from .lm_scoring import op3_lm_scoring
 from .mixing import op5_mixing
+from .oracles import ORACLES
 from .packing import op8_packing
 from .pii import op7_pii
 from .quality_rules import op10_quality_rules
@@ -25,4 +26,5 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
