@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import LOWER, UPPER, materialise, table
+from .common import LOWER, UPPER, discard, materialise, table
 
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 END = b"\n"  # no word holds white space
@@ -263,7 +263,7 @@ def _scores(counted: DataFrame, weights: np.ndarray, tokens: int, words: int) ->
     return counted.select("doc_ids", "body").mapInArrow(run, SCORES)
 
 
-def score(docs: DataFrame, *, block_tokens: int = 3 << 20) -> DataFrame:
+def score(docs: DataFrame, *, block_tokens: int = 1 << 21) -> DataFrame:
     """A row (SCORES) for each row of docs (columns doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
@@ -272,6 +272,7 @@ def score(docs: DataFrame, *, block_tokens: int = 3 << 20) -> DataFrame:
     answers = materialise(_answers(_requests(blocks, dealt), dealt), release=True)
     tokens, words = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("words")).first())
     counted = materialise(_counted(blocks, answers, tokens, words), release=True)
+    discard(blocks, answers)
     cells = counted.select(F.explode(F.arrays_zip("cells", "n")).alias("z")).groupBy("z.cells").agg(F.sum("z.n").alias("n")).toArrow()
     weights = learn_weights(cells["cells"].to_numpy(), cells["n"].to_numpy())
     return _scores(counted, weights, tokens, words)
