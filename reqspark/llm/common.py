@@ -56,4 +56,14 @@ def materialise(df: DataFrame, release: bool = False) -> DataFrame:
         for _ in range(2):  # the first lets go of the plan, the second of its files
             spark._jvm.System.gc()
             time.sleep(0.4)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialise wrote, once nothing that will still be read is made of it."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(_small_star(edges))
     now = state(edges)
     while now[0]:
-        edges = materialise(_small_star(_large_star(edges)))
+        old, edges = edges, materialise(_small_star(_large_star(edges)))
+        discard(old)
         before, now = now, state(edges)
         if before == now:
             break

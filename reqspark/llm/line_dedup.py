@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import materialise, table, words_of
+from .common import discard, materialise, table, words_of
 
 MAX_LISTED = 1_000_000
 LONG = 400
@@ -123,25 +123,32 @@ def passing(rows: np.ndarray, threshold: float, first: int, only: set[int] | Non
     todo = np.flatnonzero(~new)
     if only is not None:
         todo = todo[np.isin(rows["id"][todo], np.fromiter(only, np.int64, len(only)))]
+    ids, size, pos = rows["id"], rows["size"].astype(np.int64), rows["pos"].astype(np.int64)
+    bitmap = [np.ascontiguousarray(rows[f"b{k}"]) for k in range(4)]
+    least = np.ceil(threshold * size - 1e-9).astype(np.int64)
     seen = np.zeros(len(rows), np.int64)
     later, earlier, step = [], [], 0
     while len(todo):
         other = begin[todo] + step  # earliest first
         live = other < todo
         todo, other = todo[live], other[live]
-        a, b = rows[todo], rows[other]
-        sa, sb = a["size"].astype(np.int64), b["size"].astype(np.int64)
-        need = np.ceil(threshold / (1 + threshold) * (sa + sb) - 1e-9)
-        pa_, pb = a["pos"].astype(np.int64), b["pos"].astype(np.int64)
-        most = np.minimum(pa_, pb) + 1 + np.minimum(sa - pa_ - 1, sb - pb - 1)
-        gap = sa + sb - 2 * need
-        ok = (np.minimum(sa, sb) >= np.ceil(threshold * np.maximum(sa, sb) - 1e-9)) & (most >= need) & (a["id"] != b["id"])
-        ok &= sum(np.bitwise_count(a[f"b{k}"] ^ b[f"b{k}"]).astype(np.int64) for k in range(4)) <= gap
-        hit = todo[ok]
-        seen[hit] += 1
-        over = (seen[hit] > first) if only is None else np.zeros(len(hit), bool)
-        later += [rows["id"][hit[~over]], rows["id"][hit[over]]]
-        earlier += [rows["id"][other[ok][~over]], np.full(int(over.sum()), -1)]
+        # by length
+        ok = (size[other] >= least[todo]) & (size[todo] >= least[other]) & (ids[todo] != ids[other])
+        a, b = todo[ok], other[ok]
+        # by position in the order
+        both = size[a] + size[b]
+        need = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
+        ok = np.minimum(pos[a], pos[b]) + 1 + np.minimum(size[a] - pos[a], size[b] - pos[b]) - 1 >= need
+        a, b, gap = a[ok], b[ok], (both - 2 * need)[ok]
+        # by bitmap
+        differing = np.zeros(len(a), np.int64)
+        for x in bitmap:
+            differing += np.bitwise_count(x[a] ^ x[b])
+        a, b = a[differing <= gap], b[differing <= gap]
+        seen[a] += 1
+        over = (seen[a] > first) if only is None else np.zeros(len(a), bool)
+        later += [ids[a[~over]], ids[a[over]]]
+        earlier += [ids[b[~over]], np.full(int(over.sum()), -1)]
         todo = todo[seen[todo] <= first] if only is None else todo
         step += 1
     empty = np.zeros(0, np.int64)
@@ -230,12 +237,14 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256,
     dealt = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = _blocks(lines, listed, threshold, dealt)
     found = materialise(_candidates(blocks, threshold, first, dealt), release=True)
+    discard(counted)
     # most lines have a match in the earliest line that passes; only the others are held against all that pass
     pairs = found.where("earlier <> -1")
     words = _words_of(pairs, lines)
     gone = materialise(_verified(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), words, threshold), release=True)
     rest = pairs.join(gone, F.col("later") == F.col("id"), "left_anti")
-    gone = materialise(gone.union(_verified(rest, words, threshold)), release=True)
+    gone, old = materialise(gone.union(_verified(rest, words, threshold)), release=True), gone
+    discard(words, old)
     full = found.where("earlier = -1").select(F.col("later").alias("id")).distinct()
     while open_ := [r[0] for r in full.join(gone, "id", "left_anti").limit(MAX_LISTED).collect()]:
         more = materialise(_candidates(blocks, threshold, first, dealt, set(open_)), release=True)
@@ -248,7 +257,8 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256,
 def drop_repeated_lines(docs: DataFrame, **how) -> DataFrame:
     """row (the row of docs), doc_id, text (of the lines that stay), n_lines, n_removed."""
     lines, gone = repeated_lines(docs, **how)
-    stay = lines.select("id").join(gone, "id", "left_anti")
+    stay = materialise(lines.select("id").join(gone, "id", "left_anti"), release=True)
+    discard(lines, gone)
     stay = stay.groupBy(F.shiftright("id", LINE_BITS).alias("doc")).agg(F.collect_list(F.col("id").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")).alias("stay"))
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("doc", F.shiftright(place(F.col("doc_id"), F.lit(0)), LINE_BITS)).join(stay, "doc", "left")

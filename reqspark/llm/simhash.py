@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import LOWER, UPPER, materialise, table
+from .common import LOWER, UPPER, discard, materialise, table
 from .components import components
 
 SEED = 42
@@ -190,12 +190,12 @@ def _in_finer_blocks(keyed: DataFrame, size: int, bands: int, exact: bool) -> Da
 
 
 def near_pairs(nodes: DataFrame, *, bits: int = 64, radius: int = 2, bands: int = 4, max_block: int = 4096) -> DataFrame:
-    """(a, b): links among the different fingerprints of nodes (column fp), enough to connect what is linked."""
+    """(a, b), written: links among the different fingerprints of nodes (column fp), enough to connect what is linked."""
     ship(nodes.sparkSession)
     size, exact = bits // 8, bands >= radius + 2
     keyed = _in_blocks(nodes, size, bands)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = materialise(keyed.join(sizes, "key"))
+    keyed = materialise(keyed.join(sizes, "key"), release=True)
     members = F.collect_list("fp").alias("members")
     blocks = keyed.where(F.col("n") <= max_block).groupBy("key").agg(members)
     fine = _in_finer_blocks(keyed.where(F.col("n") > max_block), size, bands, exact).groupBy("key").agg(members)
@@ -217,7 +217,9 @@ def near_pairs(nodes: DataFrame, *, bits: int = 64, radius: int = 2, bands: int
                 b.append(every[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return blocks.mapInArrow(run, "a binary, b binary").distinct()
+    links = materialise(blocks.mapInArrow(run, "a binary, b binary").distinct(), release=True)
+    discard(keyed)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 3, bits: int = 64, radius: int = 2, bands: int = 4) -> DataFrame:
@@ -226,6 +228,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, bits: int = 64, radius:
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_pairs(nodes, bits=bits, radius=radius, bands=bands)).select(F.col("node").alias("fp"), "root")
     rooted = materialise(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    discard(nodes)
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.join(classes, "root").select("fp", "component_id")
     return prints.join(known, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
