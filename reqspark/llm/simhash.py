@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from ..functions.shipping import ship
 from .common import LOWER, UPPER, discard, materialise, table
 from .components import components
+from .shingle_sets import similar_documents
 
 SEED = 42
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -234,11 +235,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, bits: int = 64, radius:
     return prints.join(known, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, words: int = 5, bits: int = 128, radius: int = 22, bands: int = 16) -> DataFrame:
-    """The rows of docs without those that have a near duplicate of smaller doc_id in their class. 22 of 128 bits stand
-    for a Jaccard similarity of five-word shingles of about 0.8. doc_id is a row's identity: of rows that repeat one,
-    one stays; rows without one stay."""
-    found = near_duplicates(docs, words=words, bits=bits, radius=radius, bands=bands)
+def drop_near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs without those that have a near duplicate of smaller doc_id in their class: classes join texts whose
+    shingles have a Jaccard similarity of at least threshold, counted and not estimated (fingerprints of 128 bits at radius
+    22 lose pairs and link others). doc_id is a row's identity: of rows that repeat one, one stays; rows without one stay."""
+    found = similar_documents(docs, words=words, threshold=threshold)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     row = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row")).join(gone.withColumnRenamed("doc_id", "id"), "id", "left_anti")
     once = F.row_number().over(Window.partitionBy("id").orderBy("id"))

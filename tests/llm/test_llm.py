@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from reqspark.llm import lm_scoring, mixing, packing, pii, quality_rules, secret_scan, simhash, token_files, vectors
-from reqspark.llm import line_dedup, tokens
+from reqspark.llm import line_dedup, shingle_sets, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, words string, id long"
 WORDS = "the of and to in a house river stone light number seven open water green mountain paper signal letter winter".split()
@@ -362,3 +362,46 @@ def test_quantised_bounds_hold():
     q = vectors.quantise(x)
     for threshold in (0.5, 0.9, 0.98):
         assert not (((x @ x.T) >= threshold) & ~vectors.possible_pairs(q, q, threshold)).any()
+
+
+def five_word_sets(text):
+    w = split(lower(text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def pairs_at(low, high, n, seed, first):
+    """n pairs of documents with a five-word Jaccard in [low, high), unlike all others."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < 2 * n:
+        a = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        b = [x if rng.random() > (1 - low) / 11 else f"v{x}" for x in a]
+        a, b = " ".join(a), " ".join(b)
+        x, y = five_word_sets(a), five_word_sets(b)
+        if low <= len(x & y) / len(x | y) < high:
+            out += [(first + len(out), a), (first + len(out) + 1, b)]
+    return out
+
+
+def test_near_duplicates_are_those_of_jaccard(spark):
+    near, far = pairs_at(0.8, 0.84, 200, 1, 0), pairs_at(0.7, 0.8, 200, 2, 1000)
+    left = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(near + far, "doc_id long, text string")).collect()}
+    gone = {k for k, _ in near + far} - left
+    lost, false = 200 - len(gone & {k for k, _ in near}), len(gone & {k for k, _ in far})
+    assert (lost, false) == (0, 0)
+
+
+def test_near_duplicates_in_parts_of_blocks(spark):
+    """A block of any size gives the classes of all pairs: chains, copies, and texts that open alike."""
+    rng, texts = np.random.default_rng(6), []
+    for k in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+        for _ in range(6):
+            texts.append(" ".join(words))
+            words = [x if rng.random() > 0.02 else f"v{rng.integers(0, 10**6)}" for x in words]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
+    sets, least = [five_word_sets(t) for t in texts], list(range(len(texts)))
+    for _ in texts:
+        least = [min(least[j] for j, y in enumerate(sets) if len(x & y) >= 0.8 * len(x | y)) for x in sets]
+    for limit in (1024, 2):
+        got = {r.doc_id: r.component_id for r in shingle_sets.similar_documents(docs, max_block=limit).collect()}
+        assert got == dict(enumerate(least))
