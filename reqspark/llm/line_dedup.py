@@ -1,9 +1,10 @@
 """Line dedup: exact set-similarity join of lines, later matches removed.
 
-A line is the set of its words in lower case; a line goes when any earlier line (by doc_id, then place in the text) has a
+A line is the set of its words in lower case; a line goes when any earlier line (by document, then place in the text) has a
 Jaccard similarity of at least ``threshold`` with it. Lines without words stay.
 
-1. Lines of equal words collapse to their first place; only distinct lines go on.
+1. Lines of equal words collapse to their first place; only distinct lines go on. They are sorted by place and numbered in
+   that order; the numbers are written, so that each line has one of its own.
 2. Words are counted over all distinct lines. Words in more than ``rare`` lines are listed with their counts; the bound
    rises with the corpus so that fewer than ``MAX_LISTED`` words can be above it. Tokens are ordered by that count, then
    by hash: rare words first.
@@ -16,8 +17,9 @@ Jaccard similarity of at least ``threshold`` with it. Lines without words stay.
 
 Keys travel as compressed blocks of numbers, dealt by key; no text is shuffled for the comparison.
 
-Defined cases: a null text has no lines and stays null; a null doc_id comes first; rows that repeat a doc_id are parts of one
-document, whose equal lines at the same place stay in each; doc_ids must be within +-2^41 and line numbers below 2^21.
+Defined cases: a null text has no lines and stays null; a document is a doc_id with a text, so rows that repeat both keep the
+same lines; documents are in the order of doc_id, null first, and those that share a doc_id or have none in that of their
+texts' hashes.
 """
 
 from __future__ import annotations
@@ -37,22 +39,27 @@ from .common import discard, materialise, table, words_of
 
 MAX_LISTED = 1_000_000
 LONG = 400
-LINE_BITS = 21
 ROW = np.dtype([("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("pos", "<u4"), *((f"b{k}", "<u8") for k in range(4))])
 
 
-def place(doc_id: Column, line: Column) -> Column:
-    """One number in the order of doc_id and line."""
-    return F.shiftleft(F.coalesce(doc_id.cast("long"), F.lit(-(1 << 41))), LINE_BITS) + line
+DOCUMENT = ["doc", "part"]
+
+
+def document() -> list[Column]:
+    """What a document is: its doc_id and the hash of its text."""
+    return [F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("part")]
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """id (the first place) and words (joined by spaces) of each different line that has words."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.lower(F.col("text").cast("string")), "\n", -1)).alias("line", "text"))
+    """id (ascending by place), doc, part and line (the first place), and words (joined by spaces) of each different line that has
+    words."""
+    lines = docs.select(*document(), F.posexplode(F.split(F.lower(F.col("text").cast("string")), "\n", -1)).alias("line", "text"))
     odd = F.col("text").rlike(r"[\x09-\x0D]|\x20\x20")
     words = F.when(odd, F.array_join(words_of(F.col("text")), " ")).otherwise(F.trim("text"))
-    lines = lines.select(place(F.col("doc_id"), F.col("line")).alias("id"), words.alias("words"))
-    return lines.where("words <> ''").groupBy("words").agg(F.min("id").alias("id"))
+    lines = lines.select(F.struct(*DOCUMENT, "line").alias("place"), words.alias("words"))
+    lines = lines.where("words <> ''").groupBy("words").agg(F.min("place").alias("place")).select("place.*", "words")
+    order = [*DOCUMENT, "line"]
+    return lines.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("id"), *order, "words")
 
 
 class Numbered:
@@ -211,7 +218,7 @@ def _candidates(blocks: DataFrame, threshold: float, first: int, dealt: int, onl
 def _words_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(id, words) of the lines that stand in pairs."""
     ends = pairs.select(F.col("later").alias("id")).union(pairs.select(F.col("earlier").alias("id"))).distinct()
-    return materialise(lines.join(ends, "id", "left_semi"), release=True)
+    return materialise(lines.select("id", "words").join(ends, "id", "left_semi"), release=True)
 
 
 def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
@@ -224,7 +231,7 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
 
 
 def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256, first: int = 4) -> tuple[DataFrame, DataFrame]:
-    """The distinct lines (id, words), and the ids of those that have an earlier similar line."""
+    """The distinct lines (id, doc, part, line, words), and the ids of those that have an earlier similar line."""
     spark = docs.sparkSession
     ship(spark)
     lines = materialise(distinct_lines(docs), release=True)
@@ -257,11 +264,11 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256,
 def drop_repeated_lines(docs: DataFrame, **how) -> DataFrame:
     """row (the row of docs), doc_id, text (of the lines that stay), n_lines, n_removed."""
     lines, gone = repeated_lines(docs, **how)
-    stay = materialise(lines.select("id").join(gone, "id", "left_anti"), release=True)
+    stay = materialise(lines.select("id", *DOCUMENT, "line").join(gone, "id", "left_anti").drop("id"), release=True)
     discard(lines, gone)
-    stay = stay.groupBy(F.shiftright("id", LINE_BITS).alias("doc")).agg(F.collect_list(F.col("id").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")).alias("stay"))
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("doc", F.shiftright(place(F.col("doc_id"), F.lit(0)), LINE_BITS)).join(stay, "doc", "left")
+    stay = stay.groupBy(*(F.col(k).alias(f"of_{k}") for k in DOCUMENT)).agg(F.collect_list("line").alias("stay"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.col("text").cast("string").alias("text"), *document())
+    rows = rows.join(stay, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in DOCUMENT], "left")
     parts = F.split("text", "\n", -1)
     has = F.transform(parts, lambda x, i: ~x.rlike(r"[^\x20\x09-\x0D]") | F.coalesce(F.array_contains("stay", i), F.lit(False)))
     kept = F.transform(F.filter(F.arrays_zip(parts.alias("x"), has.alias("k")), lambda z: z["k"]), lambda z: z["x"])

@@ -405,3 +405,19 @@ def test_near_duplicates_in_parts_of_blocks(spark):
     for limit in (1024, 2):
         got = {r.doc_id: r.component_id for r in shingle_sets.similar_documents(docs, max_block=limit).collect()}
         assert got == dict(enumerate(least))
+
+
+def test_line_dedup_keeps_lines_of_rows_that_share_a_doc_id(spark):
+    """Rows with no doc_id, or the same one, are documents of their own: only repeats go; so in doc_ids far apart."""
+    lines = [prose(100 + k, 25) for k in range(8)]
+    data = [(None, lines[0]), (None, lines[1]), (3, lines[2]), (3, lines[0]), (3, lines[3]), (4, lines[4]), (2**42, lines[5] + "\n" + lines[4]), (2**62, lines[6]), (2**62 + 2**43, lines[7])]
+    got = [(r.doc_id, r.text, r.n_removed) for r in line_dedup.drop_repeated_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()]
+    want = [(k, t, 0) for k, t in data if (k, t) not in {(3, lines[0]), data[6]}] + [(3, "", 1), (2**42, lines[5], 1)]
+    assert Counter(got) == Counter(want)
+
+
+def test_line_dedup_of_a_text_of_millions_of_lines(spark):
+    n = (1 << 21) + 5
+    docs = spark.createDataFrame([(7, "\n" * n + "first of its kind\nnot like the one before"), (8, "\n" * 5 + "a third sort of line")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.drop_repeated_lines(docs).collect()}
+    assert got == {7: (n + 2, 0), 8: (6, 0)}
