@@ -421,3 +421,19 @@ def test_line_dedup_of_a_text_of_millions_of_lines(spark):
     docs = spark.createDataFrame([(7, "\n" * n + "first of its kind\nnot like the one before"), (8, "\n" * 5 + "a third sort of line")], "doc_id long, text string")
     got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.drop_repeated_lines(docs).collect()}
     assert got == {7: (n + 2, 0), 8: (6, 0)}
+
+
+def test_packing_follows_the_mixture_over_many_files(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(k, prose(k, 5 + 2 * (k * 37 % 120)), f"s{k % 2}") for k in range(120)], "doc_id long, text string, source string")
+    mixed = [r.doc_id for r in mixing.mix(docs).orderBy("mix_position").collect()]
+    place = {k: n for n, k in enumerate(mixed)}
+    for n in range(12):  # files of unequal sizes, the larger ones later
+        part = docs.where(F.col("doc_id").isin(mixed[n * n * 120 // 144 : (n + 1) ** 2 * 120 // 144]))
+        rows_ = sorted(part.collect(), key=lambda r: place[r.doc_id])
+        spark.createDataFrame(rows_, docs.schema).coalesce(1).write.parquet(f"{tmp_path}/{n}")
+        next((tmp_path / str(n)).glob("part-*")).rename(tmp_path / f"part-{n:05}-x-c000.snappy.parquet")
+    written = spark.read.parquet(*map(str, tmp_path.glob("part-*")))
+    got = [p.doc_id for p in sorted(corpus_pipeline.packed(spark, written, "").collect(), key=lambda p: (p.sequence_id, p.offset))]
+    assert list(dict.fromkeys(got)) == mixed
