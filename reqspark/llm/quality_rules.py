@@ -6,9 +6,11 @@ the histograms of all its documents; the common words are fixed lists. Guards: t
 ``min_chars`` characters in words, the word test ``min_words`` words; a shorter document passes that test. A
 document goes if either distance or their sum is too large.
 
-DataFrame functions only. Two scans, no text is shuffled; the references are at most ``MAX_LANGUAGES`` rows.
+DataFrame functions only. Two scans, no text is shuffled; the references are a written table of one row a language, which Spark broadcasts if it
+is small and else joins by language.
 
-Defined cases: a null text has no words; a null or rare language has no reference, so only the counting rules hold;
+Defined cases: a null text has no words; a null language has no reference, so only the counting rules hold; a language
+without a list of common words has no word test;
 repeated doc_ids are judged row by row; other columns of the input are not looked at.
 """
 
@@ -19,13 +21,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, whole_text, words_of
+from .common import let, materialise, whole_text, words_of
 
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 WINDOW = 8
-#: References are kept for so many languages, the ones with the most documents.
-MAX_LANGUAGES = 64
 
 #: The most common function words of a language.
 COMMON_WORDS = {
@@ -97,7 +97,7 @@ def references(docs: DataFrame) -> DataFrame:
     n_chars, n_words = len(CLASSES) + 2, max(map(len, COMMON_WORDS.values())) + 1
     rows = _histograms(_with_words(docs)).where(F.col("lang").isNotNull())
     sums = [F.sum(F.get(c, F.lit(k))).alias(f"{c}{k}") for c, n in (("char_counts", n_chars), ("word_counts", n_words)) for k in range(n)]
-    totals = rows.groupBy("lang").agg(F.count("*").alias("docs"), *sums).orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES)
+    totals = rows.groupBy("lang").agg(*sums)
     words = F.when(F.col("word_counts0").isNotNull(), F.array(*(F.col(f"word_counts{k}") for k in range(n_words))))
     chars = F.array(*(F.col(f"char_counts{k}") for k in range(n_chars)))
     return totals.select("lang", _share(chars).alias("ref_chars"), _share(words).alias("ref_words"))
@@ -111,7 +111,7 @@ def quality_rules(
     kept (boolean)."""
     known = docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang")
     df = _histograms(_with_words(known, "row", "doc_id"))
-    df = df.join(F.broadcast(references(docs)), "lang", "left")
+    df = df.join(materialise(references(docs)), "lang", "left")
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select(
         "row",

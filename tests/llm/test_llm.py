@@ -437,3 +437,10 @@ def test_packing_follows_the_mixture_over_many_files(spark, tmp_path):
     written = spark.read.parquet(*map(str, tmp_path.glob("part-*")))
     got = [p.doc_id for p in sorted(corpus_pipeline.packed(spark, written, "").collect(), key=lambda p: (p.sequence_id, p.offset))]
     assert list(dict.fromkeys(got)) == mixed
+
+
+def test_quality_references_of_all_languages(spark):
+    data = [(3 * k + i, prose(3 * k + i, 80), f"l{k:02}") for k in range(64) for i in range(3)]
+    data += [(500, prose(500, 300), "zz"), (501, "4711 " * 30 + prose(501, 20) + " 12 34" * 40, "zz")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(data) and min(got[500].char_distance, got[501].char_distance) > 0.1 and not got[501].kept
