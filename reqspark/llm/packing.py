@@ -10,12 +10,11 @@ At scale each partition packs its documents as a stream, in runs of about ``run_
 partition, and a run wastes less than one window. A sequence_id holds the partition and a running number.
 
 Defined cases: a null text is empty and has the end id alone; a document longer than a run is a run; rows that repeat a
-doc_id are packed row by row.
+doc_id are packed row by row; an empty table gives no row; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections import deque
 
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.shipping import ship
 from .common import table, whole_text
 from .token_files import in_order
-from .tokens import default_vocabulary, encoder
+from .tokens import default_vocabulary, encoder, runs
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _sentence_ends: dict[str, np.ndarray] = {}
@@ -121,35 +120,18 @@ def pack(
     rows = in_order(docs) if by_doc_id else docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text").cast("string")).alias("text"))
 
     def run(batches):
-        encode, ends_sentence, end = encoder(vocabulary), sentence_ends(vocabulary), struct.pack("<I", end_id)
+        ends_sentence, done = sentence_ends(vocabulary), 0
         first = TaskContext.get().partitionId() << 32
-        doc_ids, parts, size, done = [], [], 0, 0
-
-        def made():
-            raw = b"".join(parts)
-            ids, lengths = np.frombuffer(raw, "<u4"), np.array([len(p) // 4 for p in parts], np.int64)
+        for doc_ids, ids, lengths in runs(batches, encoder(vocabulary), end_id, run_ids):
             places, penalties = cut_places(ids, np.cumsum(lengths), ends_sentence, window, sentence_penalty, hard_penalty)
             cuts = best_cuts(places, penalties, window, window_cost)
             doc, start, length, sequence, offset, at = pieces_of(lengths, cuts)
+            raw = ids.data.cast("B")
             sums = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist())]
             names = pa.array(doc_ids, pa.int64()).take(pa.array(doc))
             columns = [names, start, length, sums, lengths[doc], sequence + first + done, offset]
-            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], [x.split()[0] for x in PIECES.split(", ")])
-            return batch, len(cuts)
-
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for at in range(0, len(names), 256):
-                for doc_id, raw in zip(names[at : at + 256], encode(batch.column(1).slice(at, 256).to_pylist())):
-                    doc_ids.append(doc_id)
-                    parts.append(raw + end)
-                    size += len(raw) // 4 + 1
-                    if size >= run_ids:
-                        rows_, n = made()
-                        yield rows_
-                        doc_ids, parts, size, done = [], [], 0, done + n
-        if parts:
-            yield made()[0]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], [x.split()[0] for x in PIECES.split(", ")])
+            done += len(cuts)
 
     return rows.mapInArrow(run, PIECES)
 

@@ -14,7 +14,8 @@ number of planes.
 Reading decodes chunks one by one; where a shard starts is summed from the index (one row a shard).
 
 Defined cases: a null text is empty and has the end id alone; a null doc_id sorts first; rows that repeat a doc_id keep a
-row each; an empty table writes an empty table.
+row each; a text of more ids than a chunk is a chunk of its own; an empty table writes an empty table; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from .common import shared_dir, table, whole_text
-from .tokens import default_vocabulary, encoder
+from .tokens import default_vocabulary, encoder, runs
 
 MAGIC = b"PLNS"
 CHUNK_SCHEMA = "shard int, chunk int, start_in_shard long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -88,31 +89,13 @@ def write_ids(docs: DataFrame, path: str, *, vocabulary: str, end_id: int, chunk
     ship(docs.sparkSession)
 
     def run(batches):
-        encode, end = encoder(vocabulary), struct.pack("<I", end_id)
-        shard, chunk, start = TaskContext.get().partitionId(), 0, 0
-        doc_ids, parts, size = [], [], 0
-
-        def made():
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            row = [[shard], [chunk], [start], [len(ids)], [doc_ids], [[len(p) // 4 for p in parts]], [pack_ids(ids, block, bits)]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            names = ["shard", "chunk", "start_in_shard", "n_ids", "doc_ids", "lengths", "payload"]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names), len(ids)
-
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for at in range(0, len(names), 256):
-                ids = encode(batch.column(1).slice(at, 256).to_pylist())
-                for doc_id, raw in zip(names[at : at + 256], ids):
-                    doc_ids.append(doc_id)
-                    parts.append(raw + end)
-                    size += len(raw) // 4 + 1
-                    if size >= chunk_ids:
-                        row, n = made()
-                        yield row
-                        chunk, start, doc_ids, parts, size = chunk + 1, start + n, [], [], 0
-        if parts:
-            yield made()[0]
+        shard, start = TaskContext.get().partitionId(), 0
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        names = ["shard", "chunk", "start_in_shard", "n_ids", "doc_ids", "lengths", "payload"]
+        for chunk, (doc_ids, ids, lengths) in enumerate(runs(batches, encoder(vocabulary), end_id, chunk_ids)):
+            row = [[shard], [chunk], [start], [len(ids)], [doc_ids], [lengths.tolist()], [pack_ids(ids, block, bits)]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names)
+            start += len(ids)
 
     in_order(docs).mapInArrow(run, CHUNK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -190,15 +191,35 @@ def library():
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(tokens.default_vocabulary())
-    lib.encode_special_tokens = True
     return lambda text, end: np.array([*lib.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
-def test_encoder(library):
-    odd = ["a\n\nb", "  a b", " a", "a ", "x\ty z", "it's\nwe'll go", "'s a", "\n", "a\n", "\na", "a \nb", "<|endoftext|> a", "½, ²! a.", "", "a\t b", "a\r\nb c", "x\x1c y"]
-    encode = tokens.encoder(tokens.default_vocabulary())
-    for _ in range(2):
-        assert encode(odd) == [library(t, 0)[:-1].tobytes() for t in odd]
+def encoded(texts):
+    out = []
+    for first, ids, lengths in tokens.encoder(tokens.default_vocabulary())(pa.array(texts, pa.string()), 7):
+        assert first == len(out)
+        out += np.split(ids, np.cumsum(lengths)[:-1])
+    return [x.tolist() for x in out]
+
+
+def test_encoder(library, monkeypatch):
+    odd = ["a\n\nb", "  a b", " a", "a ", "x\ty z", "it's\nwe'll go", "'s a", "\n", "a\n", "\na", "a \nb", "a<|endoftext|>b", "½, ²! a.", "", "a\t b", "a\r\nb c", "x\x1c y", "a\n\xa0\xa0b c"]
+    want = [library(t, 7).tolist() for t in odd]
+    assert want[odd.index("a<|endoftext|>b")] == [64, 50256, 65, 7]
+    assert encoded(odd) == encoded(odd) == want
+    monkeypatch.setattr(tokens, "SLICE", 5)
+    assert encoded(odd) == want
+    monkeypatch.setattr(tokens, "MAX_KEPT", 3)
+    assert encoded(odd) == want
+
+
+def test_encoder_at_white_space_of_every_kind(library):
+    """Random texts of all Unicode spaces, signs, contractions and letters have the library's ids."""
+    rng = np.random.default_rng(0)
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()] + [chr(c) for c in (0x180E, 0x200B, 0xFEFF, 0x2060)]
+    parts = spaces + [" ", "\n"] * 12 + [*"ab'sé1.,!?;東", "<|endoftext|>", "'ll", "we're", "word,", "end."] * 3
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(6000)]
+    assert encoded(texts) == [library(t, 7).tolist() for t in texts]
 
 
 def test_planes():
