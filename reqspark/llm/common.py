@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +37,23 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def slices(values: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Where strings are cut into slices of up to size bytes; a longer string is a slice of its own."""
+    ends, at = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(values):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, to
+        at = to
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a new local one only where none is set, as in tests."""
+    """The folder that driver and executors share: what is set as spark.checkpoint.dir. Outside local mode there must be one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/shared")
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 

@@ -3,46 +3,54 @@
 A line is the set of its words in lower case; a line goes when any earlier line (by document, then place in the text) has a
 Jaccard similarity of at least ``threshold`` with it. Lines without words stay.
 
-1. Lines of equal words collapse to their first place; only distinct lines go on. They are sorted by place and numbered in
-   that order; the numbers are written, so that each line has one of its own.
-2. Words are counted over all distinct lines. Words in more than ``rare`` lines are listed with their counts; the bound
-   rises with the corpus so that fewer than ``MAX_LISTED`` words can be above it. Tokens are ordered by that count, then
-   by hash: rare words first.
+1. Documents are sorted by place and cut into lines, which are numbered in that order and written. A task writes the words of
+   equal lines once and marks the later ones as repeated.
+2. Words are counted over these lines in ``BUCKETS`` counters by hash. Tokens are ordered by their counter, then by hash:
+   rare words first. Those over ``rare`` (and over twice the mean counter, which rises with the corpus) are frequent.
 3. Similar lines of sizes over 1 share at least two tokens in their prefixes of size - ceil(t size) + 2 tokens. A line is put
    under each rare token of its prefix and each pair of frequent ones, so similar lines meet under a key. Lines of over
    ``LONG`` tokens are put under each token of the ordinary prefix instead (lines near that size under both).
-4. Lines under a key are compared by length, by position in the order, and by a parity bitmap of 256 bits whose
-   difference can't exceed that of the sets. What passes is verified by its words. Under a key a line meets the
-   ``first`` earliest lines that pass; lines with more of them that no verified pair has removed are compared with all.
-
-Keys travel as compressed blocks of numbers, dealt by key; no text is shuffled for the comparison.
-
-Defined cases: a null text has no lines and stays null; a document is a doc_id with a text, so rows that repeat both keep the
-same lines; documents are in the order of doc_id, null first, and those that share a doc_id or have none in that of their
-texts' hashes.
+4. Lines under a key are compared by length, by position in the order, and by a parity bitmap of 64 bits (256 for lines of
+   over ``SHORT`` tokens) whose difference can't exceed that of the sets. Each line is verified, by words, against the
+   earliest line that passes. Lines that it doesn't remove and that met more get the next 16 that pass, then the next 128,
+   and so on until each has been removed or held against all that pass. So large groups of similar lines make about one
+   pair a line, never all pairs, and no line is left out.
+
+Keys travel as compressed blocks of numbers, dealt by key (so many deals that each has about ``DEAL`` rows); the blocks are
+written once and read again for further rounds. No text is shuffled for the comparison.
+
+Defined cases: a null text has no lines and stays null, an empty one has one line without words; a document is a doc_id with a
+text, so rows that repeat both keep the same lines; documents are in the order of doc_id, null first, and those that share a
+doc_id or have none in that of their texts' hashes. Texts are read in slices of lines, however long they are. An empty table
+gives none; other columns are kept in ``row`` and not looked at.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import chain, count
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import discard, materialise, table, words_of
-
-MAX_LISTED = 1_000_000
-LONG = 400
+from .common import discard, let, materialise, slices, table
+
+#: Counters, and the pieces in which a task hands them on.
+BUCKETS, PIECES = 1 << 20, 16
+SHORT, LONG = 64, 400
+#: Bytes of text that are cut at once, rows of keys that travel in a block, and rows of a deal.
+SLICE, BLOCK, DEAL = 1 << 21, 1 << 19, 1 << 18
+#: Lines that a task remembers to find equal ones.
+REMEMBERED = 1 << 21
 ROW = np.dtype([("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("pos", "<u4"), *((f"b{k}", "<u8") for k in range(4))])
-
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 DOCUMENT = ["doc", "part"]
+LINES = "id long, doc long, part long, line int, words string, piece int, counts binary"
 
 
 def document() -> list[Column]:
@@ -50,67 +58,144 @@ def document() -> list[Column]:
     return [F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("part")]
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """id (ascending by place), doc, part and line (the first place), and words (joined by spaces) of each different line that has
-    words."""
-    lines = docs.select(*document(), F.posexplode(F.split(F.lower(F.col("text").cast("string")), "\n", -1)).alias("line", "text"))
-    odd = F.col("text").rlike(r"[\x09-\x0D]|\x20\x20")
-    words = F.when(odd, F.array_join(words_of(F.col("text")), " ")).otherwise(F.trim("text"))
-    lines = lines.select(F.struct(*DOCUMENT, "line").alias("place"), words.alias("words"))
-    lines = lines.where("words <> ''").groupBy("words").agg(F.min("place").alias("place")).select("place.*", "words")
-    order = [*DOCUMENT, "line"]
-    return lines.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("id"), *order, "words")
-
-
-class Numbered:
-    """Tokens of a batch of lines: counts a line, and a number for each token; hashes by number."""
-
-    def __init__(self, lines: list[str]):
-        known: defaultdict[str, int] = defaultdict(count().__next__)
-        sets = [dict.fromkeys(x.split(" ")) for x in lines]
-        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        self.numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(sets)), np.int64, int(self.sizes.sum()))
-        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64)
-
-
-def token_counts(lines: DataFrame) -> DataFrame:
-    """(token, n): the hash of each token and the lines that it is in."""
+class Tokens:
+    """The different tokens of lines: ``line`` (ascending) and ``hashes`` of each, and ``sizes`` of the lines' sets. ``lines``
+    has white space that isn't one space between words taken out."""
+
+    def __init__(self, lines: pa.Array):
+        for sign in "\t\r\x0b\x0c":
+            if pc.any(pc.match_substring(lines, sign)).as_py():
+                lines = pc.replace_substring(lines, sign, " ")
+        parted = pc.split_pattern(lines, " ")
+        coded = parted.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        line = np.repeat(np.arange(len(lines)), pc.list_value_length(parted).to_numpy(zero_copy_only=False))
+        if "" in words:
+            blank = codes == words.index("")
+            odd = np.unique(line[blank])
+            mask = np.zeros(len(lines), bool)
+            mask[odd] = True
+            single = [" ".join(filter(None, x.split(" "))) for x in lines.take(pa.array(odd)).to_pylist()]
+            lines = pc.replace_with_mask(lines, pa.array(mask), pa.array(single, pa.string()))
+            line, codes = line[~blank], codes[~blank]
+        pairs = np.sort(line << 32 | codes)
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+        self.lines, self.line = lines, pairs >> 32
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[pairs & 0xFFFFFFFF]
+        self.sizes = np.bincount(self.line, minlength=len(lines))
+
+    def prints(self) -> list[bytes]:
+        """128 bits of each line's set."""
+        out = np.zeros((len(self.sizes), 2), np.uint64)
+        some = np.flatnonzero(self.sizes)
+        if len(some):
+            starts = (np.cumsum(self.sizes) - self.sizes)[some]
+            mixed = (self.hashes ^ (self.hashes >> np.uint64(29))) * MIX
+            out[some, 0] = np.add.reduceat(self.hashes, starts)
+            out[some, 1] = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), starts)
+        raw = out.tobytes()
+        return [raw[k : k + 16] for k in range(0, len(raw), 16)]
+
+
+def _numbered_lines(docs: DataFrame) -> DataFrame:
+    """LINES: all lines that have words, ids ascending by place, words null where an earlier line of the task has equal ones;
+    and the task's counters, in pieces."""
 
     def run(batches):
+        names = [x.split()[0] for x in LINES.split(", ")]
+        next_id, seen, counts, last = TaskContext.get().partitionId() << 40, set(), np.zeros(BUCKETS, np.int64), None
         for batch in batches:
-            tokens = Numbered(batch.column(0).to_pylist())
-            n = np.bincount(tokens.numbers, minlength=len(tokens.hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.hashes.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
-
-    return lines.select("words").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            fresh = [k != j for k, j in zip(keys, [last, *keys])]
+            last = keys[-1] if keys else last
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            texts = batch.column(2)
+            for a, b in slices(texts, SLICE):
+                parted = pc.split_pattern(pc.utf8_lower(texts.slice(a, b - a)), "\n")
+                n = pc.list_value_length(parted).to_numpy(zero_copy_only=False).astype(np.int64)
+                lines = parted.flatten()
+                row = np.repeat(np.arange(a, b), n)
+                place = np.arange(len(lines)) - np.repeat(np.cumsum(n) - n, n)
+                for i, j in slices(lines, SLICE):
+                    tokens = Tokens(lines.slice(i, j - i))
+                    known = [x in seen or seen.add(x) for x in tokens.prints()]
+                    new = np.array([x is None for x in known]) & (tokens.sizes > 0)
+                    counts += np.bincount(tokens.hashes[new[tokens.line]] & np.uint64(BUCKETS - 1), minlength=BUCKETS)
+                    some = pa.array(np.flatnonzero(tokens.sizes))
+                    of = pa.array(row[i:j]).take(some)
+                    words = pc.if_else(pa.array(new), tokens.lines, pa.scalar(None, pa.string())).take(some)
+                    ids = pa.array(next_id + np.arange(i, j)).take(some)
+                    no_counts = [pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([ids, batch.column(0).take(of), batch.column(1).take(of), pa.array(place[i:j], pa.int32()).take(some), words, *no_counts], names)
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                next_id += len(lines)
+        if counts.any():
+            compress = zstandard.ZstdCompressor(level=1).compress
+            pieces = [compress(x.tobytes()) for x in np.split(counts, PIECES)]
+            nothing = [pa.nulls(PIECES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array(range(PIECES), pa.int32()), pa.array(pieces, pa.binary())], names)
+
+    rows = docs.select(*document(), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    return rows.repartitionByRange(*DOCUMENT).sortWithinPartitions(*DOCUMENT).mapInArrow(run, LINES)
+
+
+def _counters(lines: DataFrame) -> np.ndarray:
+    """The counters of all tasks, summed piece by piece where the pieces meet: BUCKETS numbers come to the driver."""
 
-def prefix_keys(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, listed: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
-    """ROWs of lines with these token counts, whose tokens follow each other in hashes."""
-    line = np.repeat(np.arange(len(sizes)), sizes)
+    def run(batches):
+        piece, total = None, None
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.int64)
+                if k != piece and piece is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([total.tobytes()])], ["piece", "counts"])
+                total = counts if k != piece else total + counts
+                piece = k
+        if piece is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([total.tobytes()])], ["piece", "counts"])
+
+    rows = lines.where("piece IS NOT NULL").select("piece", "counts").repartition("piece").sortWithinPartitions("piece")
+    out = np.zeros((PIECES, BUCKETS // PIECES), np.int64)
+    for r in rows.mapInArrow(run, "piece int, counts binary").collect():
+        out[r.piece] = np.frombuffer(r.counts, np.int64)
+    return out.reshape(-1)
+
+
+def ranks(counters: np.ndarray, rare: int) -> tuple[np.ndarray, int]:
+    """For each counter its place in the order, in steps of an eighth of an octave, and the first place of frequent tokens."""
+    step = lambda n: np.minimum(255, np.ceil(8 * np.log2(np.maximum(n, 1)))).astype(np.uint8)
+    return step(counters), int(step(np.array([max(rare, 2 * counters.mean())]))[0]) + 1
+
+
+def prefix_keys(ids: np.ndarray, tokens: Tokens, order: np.ndarray, frequent_from: int, threshold: float) -> np.ndarray:
+    """ROWs of lines by their ids."""
+    line, sizes, hashes = tokens.line, tokens.sizes, tokens.hashes
+    some = np.flatnonzero(sizes)
     starts = np.cumsum(sizes) - sizes
     bit, part = np.uint64(1) << (hashes & np.uint64(63)), (hashes >> np.uint64(6)) & np.uint64(3)
-    bitmap = [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), starts) for k in range(4)]
-    at = np.minimum(np.searchsorted(listed, hashes), max(0, len(listed) - 1))
-    often = np.where(listed[at] == hashes, counts[at], 0) if len(listed) else np.zeros(len(hashes), np.int64)
-    order = np.lexsort((hashes, often, line))
-    hashes, often = hashes[order], often[order]
-    pos = np.arange(len(hashes)) - starts[line]
-    size = sizes[line]
+    part[sizes[line] <= SHORT] = 0  # one word holds all: that of a longer line, folded, compares with it
+    bitmap = np.zeros((4, len(sizes)), np.uint64)
+    for k in range(4):
+        if len(some):
+            bitmap[k, some] = np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), starts[some])
+    rank = order[hashes & np.uint64(BUCKETS - 1)].astype(np.int64)
+    by = np.lexsort((hashes, line << 8 | rank))
+    hashes, often = hashes[by], rank[by] >= frequent_from
+    pos, size = np.arange(len(hashes)) - starts[line], sizes[line]
     need = np.ceil(threshold * size - 1e-9).astype(np.int64)
     short = (size <= LONG / threshold) & ((pos < size - need + 2) | (size == 1))
-    rare = np.flatnonzero(short & ((often == 0) | (size == 1)))
+    rare = np.flatnonzero(short & (~often | (size == 1)))
     long = np.flatnonzero((size > LONG) & (pos < size - need + 1))
-    frequent = np.flatnonzero(short & (often > 0) & (size > 1))
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    keys, rows = [hashes[rare], hashes[long] * mix], [rare, long]
+    frequent = np.flatnonzero(short & often & (size > 1))
+    keys, rows = [hashes[rare], hashes[long] * MIX], [rare, long]
     step = 1
     while True:
         a, b = frequent[: len(frequent) - step], frequent[step:]
         same = line[a] == line[b]
         if step >= len(frequent) or not same.any():
             break
-        keys.append((hashes[a[same]] * mix) ^ hashes[b[same]])
+        keys.append((hashes[a[same]] * MIX) ^ hashes[b[same]])
         rows.append(a[same])
         step += 1
     where = np.concatenate(rows)
@@ -121,16 +206,20 @@ def prefix_keys(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, listed:
     return out
 
 
-def passing(rows: np.ndarray, threshold: float, first: int, only: set[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (later, earlier) that pass the filters under a key, at most ``first`` earliest a row; (id, -1) says that a row had
-    more. With ``only``, all pairs of the later lines in it."""
+def passing(rows: np.ndarray, threshold: float, limit: int, open_ids: np.ndarray | None = None, after: np.ndarray | None = None):
+    """Pairs (later, earlier, more) that pass the filters under a key: for each later row the ``limit`` earliest, more being
+    whether it passes with others beyond this one. With open_ids (ascending) only these are later rows, and only ids above
+    their ``after`` are earlier ones."""
     rows = rows[np.lexsort((rows["id"], rows["key"]))]
     new = np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])
     begin = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
     todo = np.flatnonzero(~new)
-    if only is not None:
-        todo = todo[np.isin(rows["id"][todo], np.fromiter(only, np.int64, len(only)))]
     ids, size, pos = rows["id"], rows["size"].astype(np.int64), rows["pos"].astype(np.int64)
+    floor = np.full(len(rows), -1, np.int64)
+    if open_ids is not None:
+        at = np.minimum(np.searchsorted(open_ids, ids), len(open_ids) - 1)
+        floor = np.where(open_ids[at] == ids, after[at], -2)
+        todo = todo[floor[todo] != -2]
     bitmap = [np.ascontiguousarray(rows[f"b{k}"]) for k in range(4)]
     least = np.ceil(threshold * size - 1e-9).astype(np.int64)
     seen = np.zeros(len(rows), np.int64)
@@ -140,50 +229,39 @@ def passing(rows: np.ndarray, threshold: float, first: int, only: set[int] | Non
         live = other < todo
         todo, other = todo[live], other[live]
         # by length
-        ok = (size[other] >= least[todo]) & (size[todo] >= least[other]) & (ids[todo] != ids[other])
+        ok = (size[other] >= least[todo]) & (size[todo] >= least[other]) & (ids[other] > floor[todo]) & (ids[todo] != ids[other])
         a, b = todo[ok], other[ok]
         # by position in the order
         both = size[a] + size[b]
         need = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
-        ok = np.minimum(pos[a], pos[b]) + 1 + np.minimum(size[a] - pos[a], size[b] - pos[b]) - 1 >= need
+        ok = np.minimum(pos[a], pos[b]) + np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need
         a, b, gap = a[ok], b[ok], (both - 2 * need)[ok]
-        # by bitmap
-        differing = np.zeros(len(a), np.int64)
-        for x in bitmap:
-            differing += np.bitwise_count(x[a] ^ x[b])
-        a, b = a[differing <= gap], b[differing <= gap]
+        # by bitmap, folded into 64 bits and, for two longer lines, whole
+        differing = [x[a] ^ x[b] for x in bitmap]
+        folded = differing[0] ^ differing[1] ^ differing[2] ^ differing[3]
+        whole = sum(np.bitwise_count(x).astype(np.int64) for x in differing)
+        ok = (np.bitwise_count(folded) <= gap) & ((size[a] <= SHORT) | (size[b] <= SHORT) | (whole <= gap))
+        a, b = a[ok], b[ok]
         seen[a] += 1
-        over = (seen[a] > first) if only is None else np.zeros(len(a), bool)
-        later += [ids[a[~over]], ids[a[over]]]
-        earlier += [ids[b[~over]], np.full(int(over.sum()), -1)]
-        todo = todo[seen[todo] <= first] if only is None else todo
+        later.append(ids[a])
+        earlier.append(ids[b])
+        todo = todo[seen[todo] <= limit]
         step += 1
-    empty = np.zeros(0, np.int64)
-    return np.concatenate(later or [empty]), np.concatenate(earlier or [empty])
-
+    pairs = np.stack([np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later, earlier)])
+    pairs = np.unique(pairs, axis=1) if pairs.shape[1] else pairs  # by later, then earlier
+    new = np.concatenate([[True], pairs[0][1:] != pairs[0][:-1]]) if pairs.shape[1] else np.zeros(0, bool)
+    rank = np.arange(pairs.shape[1]) - np.maximum.accumulate(np.where(new, np.arange(pairs.shape[1]), 0))
+    more = np.append(rank[1:] == limit, False)[: len(rank)]  # the one after it is beyond the limit
+    stay = rank < limit
+    return pairs[0][stay], pairs[1][stay], more[stay]
 
-def _blocks(lines: DataFrame, listed, threshold: float, dealt: int) -> DataFrame:
-    """(dealt, rows): compressed ROWs of many lines, by what their keys are dealt to."""
-
-    def run(batches):
-        compress = zstandard.ZstdCompressor(level=1).compress
-        hashes_listed, counts = listed.value
-        for batch in batches:
-            tokens = Numbered(batch.column(1).to_pylist())
-            rows = prefix_keys(batch.column(0).to_numpy(), tokens.sizes, tokens.hashes[tokens.numbers], hashes_listed, counts, threshold)
-            to = (rows["key"] >> np.uint64(8)) % np.uint64(dealt)
-            order = np.lexsort((rows["key"], to))
-            rows, to = rows[order], to[order]
-            cuts = np.searchsorted(to, np.arange(dealt + 1, dtype=np.uint64)).tolist()
-            used = [k for k in range(dealt) if cuts[k] < cuts[k + 1]]
-            # fields by column: equal bytes come together
-            blobs = [compress(b"".join(rows[n][cuts[k] : cuts[k + 1]].tobytes() for n in ROW.names)) for k in used]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], ["dealt", "rows"])
 
-    return lines.select("id", "words").mapInArrow(run, "dealt int, rows binary")
+def _sealed(rows: np.ndarray) -> bytes:
+    # fields by column: equal bytes come together
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(rows[n].tobytes() for n in ROW.names))
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
+def _opened(blob: bytes) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     out, at = np.empty(len(raw) // ROW.itemsize, ROW), 0
     for name in ROW.names:
@@ -193,91 +271,148 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return out
 
 
-def _candidates(blocks: DataFrame, threshold: float, first: int, dealt: int, only: set[int] | None = None) -> DataFrame:
+def _blocks(lines: DataFrame, order, frequent_from: int, threshold: float, dealt: int) -> DataFrame:
+    """(dealt, rows, after): compressed ROWs of many lines (id, words, after), by what their keys are dealt to, and the after
+    of each row."""
+
+    def run(batches):
+        def made(rows, after):
+            to = (rows["key"] >> np.uint64(8)) % np.uint64(dealt)
+            by = np.lexsort((rows["key"], to))
+            rows, to, after = rows[by], to[by], after[by]
+            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist()
+            cuts = list(zip(cuts, [*cuts[1:], len(rows)]))
+            blobs, floors = [_sealed(rows[a:b]) for a, b in cuts], [after[a:b].tobytes() if after[a] >= 0 else None for a, b in cuts]
+            columns = [pa.array([int(to[a]) for a, _ in cuts], pa.int32()), pa.array(blobs, pa.binary()), pa.array(floors, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["dealt", "rows", "after"])
+
+        waiting, size = [], 0
+        for batch in batches:
+            ids, after = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for a, b in slices(batch.column(1), SLICE):
+                rows = prefix_keys(np.arange(a, b), Tokens(batch.column(1).slice(a, b - a)), order.value, frequent_from, threshold)
+                place = rows["id"].copy()
+                rows["id"] = ids[place]
+                waiting.append((rows, after[place]))
+                size += len(rows)
+                if size >= BLOCK:
+                    yield made(*map(np.concatenate, zip(*waiting)))
+                    waiting, size = [], 0
+        if size:
+            yield made(*map(np.concatenate, zip(*waiting)))
+
+    return lines.select("id", "words", "after").mapInArrow(run, "dealt int, rows binary, after binary")
+
+
+def _candidates(blocks: DataFrame, threshold: float, limit: int, dealt: int, open_blocks: DataFrame | None = None) -> DataFrame:
+    """(later, earlier, more), written: at most ``limit`` rows for a line in a deal."""
+
     def run(batches):
-        now, rows = None, []
+        now, rows, asked = None, [], []
 
         def made():
-            later, earlier = passing(np.concatenate(rows), threshold, first, only)
-            pairs = np.unique(np.stack([later, earlier]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["later", "earlier"])
+            every = np.concatenate(rows) if rows else np.empty(0, ROW)
+            if open_blocks is None:
+                found = passing(every, threshold, limit)
+            else:
+                mine = np.concatenate([x for x, _ in asked]) if asked else np.empty(0, ROW)
+                every = every[np.isin(every["key"], mine["key"])]
+                ids, first = np.unique(mine["id"], return_index=True)
+                after = np.concatenate([x for _, x in asked])[first] if asked else np.zeros(0, np.int64)
+                found = passing(every, threshold, limit, ids, after) if len(every) else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+            kinds = [pa.int64(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds)], ["later", "earlier", "more"])
 
         for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if rows and k != now:
+            for k, blob, after in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                if now is not None and k != now:
                     yield made()
-                    rows = []
+                    rows, asked = [], []
                 now = k
-                rows.append(_unpacked(blob.as_py()))
-        if rows:
+                if after is None:
+                    rows.append(_opened(blob.as_py()))
+                else:
+                    asked.append((_opened(blob.as_py()), np.frombuffer(after, np.int64)))
+        if now is not None:
             yield made()
 
-    return blocks.repartition(dealt, "dealt").sortWithinPartitions("dealt").mapInArrow(run, "later long, earlier long").distinct()
-
-
-def _words_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, words) of the lines that stand in pairs."""
-    ends = pairs.select(F.col("later").alias("id")).union(pairs.select(F.col("earlier").alias("id"))).distinct()
-    return materialise(lines.select("id", "words").join(ends, "id", "left_semi"), release=True)
+    every = blocks if open_blocks is None else blocks.union(open_blocks)
+    found = every.repartition(dealt, "dealt").sortWithinPartitions("dealt").mapInArrow(run, "later long, earlier long, more boolean")
+    return materialise(found, release=True)
 
 
-def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """(id): the later lines of pairs whose words are as similar as asked."""
-    side = lambda name: words.select(F.col("id").alias(name), F.col("words").alias(f"{name}_words"))
+def _verified(found: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(id), written: the later lines of pairs whose words are as similar as asked."""
+    pairs = found.select("later", "earlier").distinct()
+    side = lambda name: lines.select(F.col("id").alias(name), F.col("words").alias(f"{name}_words"))
     both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
-    parted = both.select("later", F.split("later_words", " ").alias("a"), F.split("earlier_words", " ").alias("b"))
-    sized = parted.select("later", F.size(F.array_intersect("a", "b")).alias("common"), (F.size(F.array_distinct("a")) + F.size(F.array_distinct("b"))).alias("both"))
-    return sized.where(f"common >= {threshold} * (both - common)").select(F.col("later").alias("id")).distinct()
+    parted = both.select("later", F.array_distinct(F.split("later_words", " ")).alias("a"), F.array_distinct(F.split("earlier_words", " ")).alias("b"))
+    sized = parted.select("later", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("both"))
+    good = sized.where(f"common >= {threshold} * (both - common) - 1e-9")
+    return materialise(good.select(F.col("later").alias("id")).distinct(), release=True)
 
 
-def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256, first: int = 4) -> tuple[DataFrame, DataFrame]:
-    """The distinct lines (id, doc, part, line, words), and the ids of those that have an earlier similar line."""
+def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256, next_limit: int = 16) -> tuple[DataFrame, DataFrame]:
+    """All lines that have words (LINES, written), and the ids of those with words that have an earlier similar line; lines
+    without words repeat an equal one."""
     spark = docs.sparkSession
     ship(spark)
-    lines = materialise(distinct_lines(docs), release=True)
-    counted = materialise(token_counts(lines).where(f"n > {rare}"), release=True)
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    often = counted.where(F.col("n") > total / MAX_LISTED).toArrow()  # fewer than MAX_LISTED rows: their counts sum to total
-    hashes, counts = often["token"].to_numpy().view(np.uint64), often["n"].to_numpy()
-    order = np.argsort(hashes)
-    listed = spark.sparkContext.broadcast((hashes[order], counts[order]))
-    dealt = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = _blocks(lines, listed, threshold, dealt)
-    found = materialise(_candidates(blocks, threshold, first, dealt), release=True)
-    discard(counted)
-    # most lines have a match in the earliest line that passes; only the others are held against all that pass
-    pairs = found.where("earlier <> -1")
-    words = _words_of(pairs, lines)
-    gone = materialise(_verified(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), words, threshold), release=True)
-    rest = pairs.join(gone, F.col("later") == F.col("id"), "left_anti")
-    gone, old = materialise(gone.union(_verified(rest, words, threshold)), release=True), gone
-    discard(words, old)
-    full = found.where("earlier = -1").select(F.col("later").alias("id")).distinct()
-    while open_ := [r[0] for r in full.join(gone, "id", "left_anti").limit(MAX_LISTED).collect()]:
-        more = materialise(_candidates(blocks, threshold, first, dealt, set(open_)), release=True)
-        more = materialise(_verified(more, _words_of(more, lines), threshold), release=True)
-        done = spark.createDataFrame([(k,) for k in open_], "id long")
-        gone, full = materialise(gone.union(more)), materialise(full.join(done, "id", "left_anti"))
-    return lines, gone
+    written = materialise(_numbered_lines(docs), release=True)
+    lines = written.where("words IS NOT NULL").select("id", "words")
+    order, frequent_from = ranks(_counters(written), rare)
+    order = spark.sparkContext.broadcast(order)  # a byte a counter
+    # about eight keys a line
+    dealt = max(spark.sparkContext.defaultParallelism, -(-8 * lines.count() // DEAL))
+    blocks = materialise(_blocks(lines.withColumn("after", F.lit(-1).cast("long")), order, frequent_from, threshold, dealt), release=True)
+    found = _candidates(blocks, threshold, 1, dealt)
+    gone = _verified(found, lines, threshold)
+    limit = next_limit
+    while True:
+        # a deal that had more has looked at all up to the last that it gave
+        still = found.where("more").groupBy(F.col("later").alias("id")).agg(F.min("earlier").alias("after"))
+        still = materialise(still.join(gone, "id", "left_anti"), release=True)
+        discard(found)
+        if still.isEmpty():
+            break
+        asking = _blocks(lines.join(still, "id"), order, frequent_from, threshold, dealt)
+        found = _candidates(blocks, threshold, limit, dealt, asking)
+        more = _verified(found, lines, threshold)
+        gone, old = materialise(gone.union(more)), gone
+        discard(old, more, still)
+        limit *= 8
+    discard(still, blocks)
+    return written, gone
+
+
+def _without(text: Column, removed: Column) -> Column:
+    """struct<text, n>: a text without lines (ascending places), and how many lines it had."""
+
+    def rest(parts: Column) -> Column:
+        edges = F.arrays_zip(F.concat(F.array(F.lit(-1)), removed).alias("a"), F.concat(removed, F.array(F.size(parts))).alias("b"))
+        kept = F.flatten(F.transform(edges, lambda z: F.slice(parts, z["a"] + 2, z["b"] - z["a"] - 1)))
+        return F.struct(F.array_join(kept, "\n").alias("text"), F.size(parts).alias("n"))
+
+    return let(F.split(text, "\n", -1), rest)
 
 
 def drop_repeated_lines(docs: DataFrame, **how) -> DataFrame:
     """row (the row of docs), doc_id, text (of the lines that stay), n_lines, n_removed."""
     lines, gone = repeated_lines(docs, **how)
-    stay = materialise(lines.select("id", *DOCUMENT, "line").join(gone, "id", "left_anti").drop("id"), release=True)
+    places = lines.where("id IS NOT NULL").select("id", *DOCUMENT, "line", F.col("words").isNull().alias("equal"))
+    gone_places = places.where("NOT equal").join(gone, "id", "left_semi").union(places.where("equal"))
+    removed = gone_places.groupBy(*(F.col(k).alias(f"of_{k}") for k in DOCUMENT)).agg(F.array_sort(F.collect_list("line")).alias("removed"))
+    removed = materialise(removed, release=True)
     discard(lines, gone)
-    stay = stay.groupBy(*(F.col(k).alias(f"of_{k}") for k in DOCUMENT)).agg(F.collect_list("line").alias("stay"))
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.col("text").cast("string").alias("text"), *document())
-    rows = rows.join(stay, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in DOCUMENT], "left")
-    parts = F.split("text", "\n", -1)
-    has = F.transform(parts, lambda x, i: ~x.rlike(r"[^\x20\x09-\x0D]") | F.coalesce(F.array_contains("stay", i), F.lit(False)))
-    kept = F.transform(F.filter(F.arrays_zip(parts.alias("x"), has.alias("k")), lambda z: z["k"]), lambda z: z["x"])
+    rows = rows.join(removed, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in DOCUMENT], "left")
+    rows = rows.withColumn("left", F.when(F.col("removed").isNotNull(), _without(F.col("text"), F.col("removed"))))
+    n_lines = F.coalesce(F.col("left.n"), F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0))
     return rows.select(
         "row",
         "doc_id",
-        F.array_join(kept, "\n").alias("text"),
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(parts) - F.size(kept), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("left").isNotNull(), F.col("left.text")).otherwise(F.col("text")).alias("text"),
+        n_lines.cast("long").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -15,10 +15,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import slices
+
 #: Words whose ids are kept in a worker; beyond that they are forgotten and kept anew. Longer words are never kept.
-MAX_KEPT, MAX_LENGTH = 1_200_000, 100
+MAX_KEPT, MAX_LENGTH = 900_000, 100
 #: Bytes of text whose words are looked up together.
-SLICE = 1 << 22
+SLICE = 1 << 21
 _encoders: dict[str, Encoder] = {}
 
 
@@ -86,11 +88,8 @@ class Encoder:
     def __call__(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For slices of texts (strings without nulls): the place of the first text, the ids of all with end_id after each,
         and how many each text has."""
-        sizes, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")))
-            yield at, *self._slice(texts.slice(at, to - at), end_id)
-            at = to
+        for a, b in slices(texts, SLICE):
+            yield a, *self._slice(texts.slice(a, b - a), end_id)
 
     def _slice(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         marked = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")

@@ -325,8 +325,8 @@ def test_line_dedup_finds_all_similar_lines(spark):
     docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)], "doc_id long, text string")
     sets = [set(x) for x in lines]
     want = {k for k, w in enumerate(sets) if any(len(w & s) >= 0.8 * len(w | s) for s in sets[:k])}
-    for rare, first in ((256, 4), (1, 1)):  # few rare words: pairs of words are keys
-        got = {r.doc_id for r in line_dedup.drop_repeated_lines(docs, rare=rare, first=first).where("n_removed = 1").collect()}
+    for rare, limit in ((256, 16), (0, 1)):  # few rare words: pairs of words are keys
+        got = {r.doc_id for r in line_dedup.drop_repeated_lines(docs, rare=rare, next_limit=limit).where("n_removed = 1").collect()}
         assert got == want
 
 
