@@ -306,13 +306,14 @@ def _blocks(lines: DataFrame, order, frequent_from: int, threshold: float, dealt
 
 def _candidates(blocks: DataFrame, threshold: float, limit: int, dealt: int, open_blocks: DataFrame | None = None) -> DataFrame:
     """(later, earlier, more), written: at most ``limit`` rows for a line in a deal."""
+    asking = open_blocks is not None
 
     def run(batches):
         now, rows, asked = None, [], []
 
         def made():
             every = np.concatenate(rows) if rows else np.empty(0, ROW)
-            if open_blocks is None:
+            if not asking:
                 found = passing(every, threshold, limit)
             else:
                 mine = np.concatenate([x for x, _ in asked]) if asked else np.empty(0, ROW)
@@ -336,7 +337,7 @@ def _candidates(blocks: DataFrame, threshold: float, limit: int, dealt: int, ope
         if now is not None:
             yield made()
 
-    every = blocks if open_blocks is None else blocks.union(open_blocks)
+    every = blocks.union(open_blocks) if asking else blocks
     found = every.repartition(dealt, "dealt").sortWithinPartitions("dealt").mapInArrow(run, "later long, earlier long, more boolean")
     return materialise(found, release=True)
 

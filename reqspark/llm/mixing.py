@@ -1,98 +1,96 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks of ``block_rows`` documents; a slot of the mixture takes one block. With share a of D (the
-sum of the shares), block i of a source (from 1) is released at slot floor((i - 1) D / a) and due by ceil(i D / a). The
-earliest deadline among released blocks goes first; at every slot each source then deviates from its weight by less than
-one block. Shares are whole numbers, so the schedule repeats after D slots: one period (at most ``MAX_PERIOD`` slots) is
-scheduled, and a document's slot follows from its rank in its source by arithmetic. When a source has no more blocks its
-slots stay empty and the others keep their order; the bound holds as long as all sources have blocks. No row is dropped.
-
-DataFrame functions only. A hot source is dealt over buckets of about ``bucket_rows`` rows by a hash of doc_id; a rank is
-the rows in earlier buckets plus the place within the bucket, so no task sees a whole source.
-
-Defined cases: a null source is a source; the ``MAX_SOURCES`` - 1 largest sources have weights of their own and all others
-are mixed as one; rows that repeat a doc_id keep a place each; an empty table gives none.
+Each source is cut into blocks of ``block_rows`` documents; a slot of the mixture takes one block. With the exact weight w of
+a source (its part of the sum), block i (from 1) is released at slot floor((i - 1) / w) and due by ceil(i / w). The earliest
+deadline among released blocks goes first; at every slot each source then deviates from its weight by less than one block.
+Weights are fractions, never rounded: their common denominator is the period after which the schedule repeats. One period
+is scheduled, or all blocks if they are fewer, and a document's slot follows from its rank in its source by arithmetic. When a
+source has no more blocks its slots stay empty or go to others whose blocks are released; every block keeps between its
+release and its deadline. No row is dropped and every source, however many there are, has its own weight.
+
+DataFrame functions only. The driver schedules: it holds a row a source and as many numbers as the shorter of the period and
+all blocks (weights of few decimals, and the default ones, have short periods). A hot source is dealt over buckets of about
+``bucket_rows`` rows by a hash of doc_id; a rank is the rows in earlier buckets plus the place within the bucket, so no task
+sees a whole source.
+
+Defined cases: a null source is a source; rows that repeat a doc_id keep a place each; rows without a doc_id are mixed like
+any other; an empty table gives none; other columns are kept in ``row`` and not looked at; the text isn't read.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
-MAX_SOURCES = 1000
-MAX_PERIOD = 100_000
+#: A schedule of up to so many numbers is broadcast (8 MB); a larger one is joined.
+MAX_BROADCAST = 1_000_000
 
 
-def one_period(shares: list[int]) -> list[list[int]]:
-    """For each share its slots within one period, by earliest deadline among the released blocks."""
+def exact_shares(weights: list[float | int | Fraction]) -> list[int]:
+    """Whole numbers in exactly the proportion of positive weights; a float is the decimal number that it is written as."""
+    exact = [Fraction(repr(w)) if isinstance(w, float) else Fraction(w) for w in weights]
+    if any(w <= 0 for w in exact):
+        raise ValueError("weights are positive")
+    scale = math.lcm(*(w.denominator for w in exact))
+    whole = [int(w * scale) for w in exact]
+    divisor = math.gcd(*whole)
+    return [a // divisor for a in whole]
+
+
+def schedule(shares: list[int], blocks: list[int]) -> list[list[int]]:
+    """For each source the slots of its blocks, by earliest deadline among the released ones: of one period, or of all blocks
+    if they are fewer."""
     total = sum(shares)
+    count = shares if total <= sum(blocks) else blocks
     slots: list[list[int]] = [[] for _ in shares]
     waiting = [(0, k) for k in range(len(shares))]  # release of the next block, source
     ready: list[tuple[int, int]] = []  # deadline, source
-    for slot in range(total):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             k = heapq.heappop(waiting)[1]
             heapq.heappush(ready, (-(-(len(slots[k]) + 1) * total // shares[k]), k))
         deadline, k = heapq.heappop(ready)
         assert slot < deadline
         slots[k].append(slot)
-        if len(slots[k]) < shares[k]:
+        if len(slots[k]) < count[k]:
             heapq.heappush(waiting, (len(slots[k]) * total // shares[k], k))
+        slot += 1
     return slots
 
 
-def whole_shares(weights: list[float], total: int) -> list[int]:
-    """Whole numbers of the given sum in proportion to weights, each at least 1, by largest remainders."""
-    exact = [w / sum(weights) * (total - len(weights)) for w in weights]
-    out = [1 + math.floor(x) for x in exact]
-    for k in sorted(range(len(weights)), key=lambda k: (math.floor(exact[k]) - exact[k], k))[: total - sum(out)]:
-        out[k] += 1
-    return out
-
-
-def mix(docs: DataFrame, *, weights: dict[str | None, float] | None = None, block_rows: int = 16, period: int = 1000, bucket_rows: int = 4096) -> DataFrame:
-    """row (the row of docs), doc_id, mixed_as (the source that its weight counts for), block, slot, mix_position (long,
-    ascending in the mixture). Without weights a source weighs the square root of its rows; a source that weights lack
-    weighs as much as the least."""
+def mix(docs: DataFrame, *, weights: dict[str | None, float] | None = None, block_rows: int = 16, bucket_rows: int = 4096) -> DataFrame:
+    """row (the row of docs), doc_id, mixed_as (its source), block, slot, mix_position (long, ascending in the mixture). Without
+    weights a source weighs the whole square root of its rows; a source that weights lack weighs as much as the least."""
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    sizes = rows.groupBy("source").agg(F.count("*").alias("n"))
-    largest = sizes.orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(MAX_SOURCES).collect()
-    all_rows = sizes.agg(F.sum("n")).first()[0] or 0
-    own = largest if len(largest) < MAX_SOURCES else largest[:-1]
-    names = [(r["source"], r["n"], False) for r in own]
-    if (rest := all_rows - sum(r["n"] for r in own)) > 0:
-        names.append(("(others)", rest, True))
-    least = min(weights.values(), default=1.0) if weights else 1.0
-    shares = whole_shares([weights.get(s, least) if weights else math.sqrt(n) for s, n, _ in names], min(MAX_PERIOD, max(period, len(names))))
-    plan = [(s, other, max(1, -(-n // bucket_rows)), a, slots) for (s, n, other), a, slots in zip(names, shares, one_period(shares))]
-    spark = docs.sparkSession
-    schema = "mixed_as string, other boolean, buckets int, share int, slots array<int>"
-    # At most MAX_SOURCES rows with MAX_PERIOD numbers in all.
-    plans = F.broadcast(spark.createDataFrame(plan, schema))
-    named = [s for s, _, other in names if not other]
-    if any(other for *_, other in names):
-        listed = F.broadcast(spark.createDataFrame([(s,) for s in named], "known string"))
-        rows = rows.join(listed, F.col("source").eqNullSafe(F.col("known")), "left")
-        other = F.col("known").isNull() & F.col("source").isNotNull() if None in named else F.col("known").isNull()
-    else:
-        other = F.lit(False)
-    rows = rows.withColumn("is_other", other).withColumn("as_source", F.when(F.col("is_other"), F.lit("(others)")).otherwise(F.col("source")))
-    rows = rows.join(plans, F.col("as_source").eqNullSafe(F.col("mixed_as")) & (F.col("is_other") == F.col("other")))
-    key = ["mixed_as", "other", "bucket"]
+    sizes = rows.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("source")).collect()
+    least = min(weights.values(), default=1) if weights else 1
+    shares = exact_shares([weights.get(r["source"], least) if weights else math.isqrt(r["n"]) for r in sizes]) if sizes else []
+    slots = schedule(shares, [-(-r["n"] // block_rows) for r in sizes])
+    plan = [(r["source"], max(1, -(-r["n"] // bucket_rows)), x) for r, x in zip(sizes, slots)]
+    plans = docs.sparkSession.createDataFrame(plan, "mixed_as string, buckets int, slots array<long>")
+    if sum(map(len, slots)) <= MAX_BROADCAST:
+        plans = F.broadcast(plans)
+    rows = rows.join(plans, F.col("source").eqNullSafe(F.col("mixed_as")))
+    key = ["mixed_as", "bucket"]
     rows = rows.withColumn("hash", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("hash", F.col("buckets")).cast("int"))
-    before = Window.partitionBy("mixed_as", "other").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("mixed_as").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
     counts = counts.select(*(F.col(k).alias(f"b_{k}") for k in key), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     match = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in key]
     place = F.row_number().over(Window.partitionBy(*key).orderBy("hash", "doc_id"))
     ranked = rows.withColumn("place", place).join(counts, match).withColumn("rank", F.col("first") + F.col("place") - 1)
     block = F.floor(F.col("rank") / block_rows)
-    slot = F.floor(block / F.col("share")) * sum(shares) + F.get("slots", (block % F.col("share")).cast("int"))
+    period = sum(shares) if shares and len(slots[0]) == shares[0] else 0  # all blocks are scheduled: none comes round again
+    slot = F.floor(block / F.size("slots")) * F.lit(period) + F.get("slots", (block % F.size("slots")).cast("int"))
     return ranked.select("row", "doc_id", "mixed_as", block.alias("block"), slot.cast("long").alias("slot"), (slot * block_rows + F.col("rank") % block_rows).cast("long").alias("mix_position"))
 
 

@@ -279,12 +279,44 @@ def test_best_cuts_are_cheapest():
         assert sum(waste(b - a) + pen[at[b]] + 1 for a, b in zip(cuts, cuts[1:])) == cost[-1]
 
 
+def deviations(slots, weights, until):
+    """The largest |blocks - slots * weight| of any source at any slot."""
+    total = sum(weights)
+    return max(abs(sum(x < t for x in mine) - t * w / total) for mine, w in zip(slots, weights) for t in range(until + 1))
+
+
+def test_mixing_schedule():
+    for shares in ([5, 3, 1, 7], [9999, 1], [1] * 50 + [50], [45, 45, *[1] * 10]):
+        slots = mixing.schedule(shares, [10**6] * len(shares))
+        assert sorted(x for mine in slots for x in mine) == list(range(sum(shares)))
+        assert deviations([np.array(x) for x in slots], shares, min(500, sum(shares))) < 1
+    assert mixing.exact_shares([0.9999, 0.0001]) == [9999, 1] and mixing.exact_shares([0.5, 0.25, 0.25]) == [2, 1, 1]
+    assert mixing.exact_shares([1, math.pi])[1] == 3141592653589793
+    with pytest.raises(ValueError):
+        mixing.exact_shares([1, 0])
+    slots = mixing.schedule(mixing.exact_shares([1, math.pi]), [100, 314])  # fewer blocks than a period
+    assert deviations(slots, [1, math.pi], 400) < 1 and list(map(len, slots)) == [100, 314]
+
+
+def brute_mixture(sizes, weights, block_rows):
+    """(source, block, slot) by a plain loop over slots: of the released blocks the one due first. In a schedule that repeats,
+    a source without blocks keeps its slots."""
+    total, slot, done, out = sum(weights), 0, [0] * len(sizes), set()
+    blocks = [-(-n // block_rows) for n in sizes]
+    repeats = total <= sum(blocks)
+    while any(d < b for d, b in zip(done, blocks)):
+        due = [(-(-(d + 1) * total // w), k) for k, (d, w) in enumerate(zip(done, weights)) if d * total // w <= slot and (repeats or d < blocks[k])]
+        if due:
+            k = min(due)[1]
+            if done[k] < blocks[k]:
+                out.add((k, done[k], slot))
+            done[k] += 1
+        slot += 1
+    return out
+
+
 def test_mixing(spark, docs, none):
     assert mixing.mix(none).count() == 0
-    shares = [5, 3, 1, 7]
-    slots = mixing.one_period(shares)
-    for k, a in enumerate(shares):
-        assert all(abs(sum(x < t for x in slots[k]) - t * a / 16) < 1 for t in range(17))
     got = sorted(mixing.mix(docs, block_rows=2, bucket_rows=2).collect(), key=lambda r: r.mix_position)
     assert len(got) == len(rows()) == len({r.mix_position for r in got})
     for source in {r.mixed_as for r in got}:
@@ -293,6 +325,30 @@ def test_mixing(spark, docs, none):
     assert mixing.in_mixed_order(docs).columns == docs.columns
 
 
+def test_mixing_against_brute_force(spark):
+    sizes = [700, 90, 90, 40, *[3] * 8]
+    data = [(k * 1000 + i, None if k == 2 else f"s{k:02}") for k, n in enumerate(sizes) for i in range(n)]
+    names = [None if k == 2 else f"s{k:02}" for k in range(len(sizes))]
+    frame = spark.createDataFrame([*data, *data[:5]], "doc_id long, source string")
+    sizes[0] += 5
+    order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], names[k] or ""))
+    for weights in (None, {"s00": 1, "s01": 7, None: 2, "s03": 3}, {n: 0.5 + k / 7 for k, n in enumerate(names)}):
+        least = min(weights.values()) if weights else 0
+        shares = mixing.exact_shares([weights.get(names[k], least) if weights else math.isqrt(sizes[k]) for k in order])
+        want = {(names[order[k]], b, t) for k, b, t in brute_mixture([sizes[k] for k in order], shares, 4)}
+        got = mixing.mix(frame, weights=weights, block_rows=4, bucket_rows=64).collect()
+        assert {(r.mixed_as, r.block, r.slot) for r in got} == want
+        assert Counter((r.doc_id, r.mixed_as) for r in got) == Counter(map(tuple, frame.collect()))
+        assert sorted(Counter((r.mixed_as, r.block) for r in got).values())[-1] == 4 and len({r.mix_position for r in got}) == len(got)
+
+
+def test_mixing_of_thousands_of_sources(spark):
+    frame = spark.createDataFrame([(k, f"s{k % 1500}") for k in range(3000)], "doc_id long, source string")
+    got = mixing.mix(frame, weights={f"s{k}": 1 + (k == 1499) * 99 for k in range(1500)}, block_rows=1).collect()
+    assert len({r.mixed_as for r in got}) == 1500 and len({r.mix_position for r in got}) == 3000
+    assert max(r.slot for r in got if r.mixed_as == "s1499") < 32  # due after 15.99 slots a block
+
+
 def test_line_dedup(docs, none):
     assert line_dedup.drop_repeated_lines(none).count() == 0
     seen, want = [], {}
@@ -330,6 +386,28 @@ def test_line_dedup_finds_all_similar_lines(spark):
         assert got == want
 
 
+def test_line_dedup_goes_on_until_lines_are_held_against_all(spark, monkeypatch):
+    """Groups of lines about as similar as the threshold: those that pass the filters but are not similar enough leave lines
+    open for further rounds."""
+    rng, lines = np.random.default_rng(8), []
+    for k in range(6):
+        base = [f"g{k}w{i}" for i in range(30)]
+        for n in range(40):
+            at = set(rng.choice(30, rng.integers(2, 5), replace=False).tolist())
+            lines.append([f"g{k}x{n}y{i}" if i in at else w for i, w in enumerate(base)])
+    order = rng.permutation(len(lines))
+    lines = [lines[k] for k in order]
+    rounds, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda *a: rounds.append(1) or verified(*a))
+    sets = [set(x) for x in lines]
+    want = {k for k, w in enumerate(sets) if any(len(w & s) >= 0.8 * len(w | s) for s in sets[:k])}
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)], "doc_id long, text string")
+    for limit in (1, 16):
+        rounds.clear()
+        got = {r.doc_id for r in line_dedup.drop_repeated_lines(docs, next_limit=limit).where("n_removed = 1").collect()}
+        assert got == want and len(rounds) > 1
+
+
 def test_lm_scoring(docs, none):
     assert lm_scoring.score(none).count() == 0
     data = [(k, [*split(lower(t)), "\n"]) for k, t, *_ in rows()]
