@@ -10,8 +10,8 @@ Jaccard similarity of at least ``threshold`` with it. Lines without words stay.
 3. Similar lines of sizes over 1 share at least two tokens in their prefixes of size - ceil(t size) + 2 tokens. A line is put
    under each rare token of its prefix and each pair of frequent ones, so similar lines meet under a key. Lines of over
    ``LONG`` tokens are put under each token of the ordinary prefix instead (lines near that size under both).
-4. Lines under a key are compared by length, by position in the order, and by a parity bitmap of 64 bits (256 for lines of
-   over ``SHORT`` tokens) whose difference can't exceed that of the sets. Each line is verified, by words, against the
+4. Lines under a key are compared by length, by position in the order, and by a parity bitmap of 64 bits (128 or
+   256 for lines of over ``SHORT`` or ``MIDDLE`` tokens) whose difference can't exceed that of the sets. Each line is verified, by words, against the
    earliest line that passes. Lines that it doesn't remove and that met more get the next 16 that pass, then the next 128,
    and so on until each has been removed or held against all that pass. So large groups of similar lines make about one
    pair a line, never all pairs, and no line is left out.
@@ -41,12 +41,13 @@ from .common import discard, let, materialise, slices, table
 
 #: Counters, and the pieces in which a task hands them on.
 BUCKETS, PIECES = 1 << 20, 16
-SHORT, LONG = 64, 400
+SHORT, MIDDLE, LONG = 64, 160, 400
 #: Bytes of text that are cut at once, rows of keys that travel in a block, and rows of a deal.
 SLICE, BLOCK, DEAL = 1 << 21, 1 << 19, 1 << 18
 #: Lines that a task remembers to find equal ones.
 REMEMBERED = 1 << 21
 ROW = np.dtype([("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("pos", "<u4"), *((f"b{k}", "<u8") for k in range(4))])
+BY_BYTES = {"id", "size", "pos"}
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 DOCUMENT = ["doc", "part"]
@@ -174,7 +175,7 @@ def prefix_keys(ids: np.ndarray, tokens: Tokens, order: np.ndarray, frequent_fro
     some = np.flatnonzero(sizes)
     starts = np.cumsum(sizes) - sizes
     bit, part = np.uint64(1) << (hashes & np.uint64(63)), (hashes >> np.uint64(6)) & np.uint64(3)
-    part[sizes[line] <= SHORT] = 0  # one word holds all: that of a longer line, folded, compares with it
+    part &= np.where(sizes[line] <= SHORT, 0, np.where(sizes[line] <= MIDDLE, 1, 3)).astype(np.uint64)  # of longer lines folds to that of shorter ones
     bitmap = np.zeros((4, len(sizes)), np.uint64)
     for k in range(4):
         if len(some):
@@ -185,7 +186,7 @@ def prefix_keys(ids: np.ndarray, tokens: Tokens, order: np.ndarray, frequent_fro
     pos, size = np.arange(len(hashes)) - starts[line], sizes[line]
     need = np.ceil(threshold * size - 1e-9).astype(np.int64)
     short = (size <= LONG / threshold) & ((pos < size - need + 2) | (size == 1))
-    rare = np.flatnonzero(short & (~often | (size == 1)))
+    rare = np.flatnonzero(short & ((~often & (pos < size - need + 1)) | (size == 1)))  # of two rare tokens that lines share they meet under the first
     long = np.flatnonzero((size > LONG) & (pos < size - need + 1))
     frequent = np.flatnonzero(short & often & (size > 1))
     keys, rows = [hashes[rare], hashes[long] * MIX], [rare, long]
@@ -236,11 +237,13 @@ def passing(rows: np.ndarray, threshold: float, limit: int, open_ids: np.ndarray
         need = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
         ok = np.minimum(pos[a], pos[b]) + np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need
         a, b, gap = a[ok], b[ok], (both - 2 * need)[ok]
-        # by bitmap, folded into 64 bits and, for two longer lines, whole
-        differing = [x[a] ^ x[b] for x in bitmap]
-        folded = differing[0] ^ differing[1] ^ differing[2] ^ differing[3]
-        whole = sum(np.bitwise_count(x).astype(np.int64) for x in differing)
-        ok = (np.bitwise_count(folded) <= gap) & ((size[a] <= SHORT) | (size[b] <= SHORT) | (whole <= gap))
+        # by bitmap, folded to as many bits as the shorter line has
+        d = [x[a] ^ x[b] for x in bitmap]
+        bits = lambda *words: sum(np.bitwise_count(x).astype(np.int64) for x in words)
+        shorter = np.minimum(size[a], size[b])
+        ok = bits(d[0] ^ d[1] ^ d[2] ^ d[3]) <= gap
+        ok &= (shorter <= SHORT) | (bits(d[0] ^ d[2], d[1] ^ d[3]) <= gap)
+        ok &= (shorter <= MIDDLE) | (bits(*d) <= gap)
         a, b = a[ok], b[ok]
         seen[a] += 1
         later.append(ids[a])
@@ -257,17 +260,24 @@ def passing(rows: np.ndarray, threshold: float, limit: int, open_ids: np.ndarray
 
 
 def _sealed(rows: np.ndarray) -> bytes:
-    # fields by column: equal bytes come together
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(rows[n].tobytes() for n in ROW.names))
+    """ROWs field by field, small numbers byte by byte, so that equal bytes come together, compressed."""
+    parts = []
+    for name in ROW.names:
+        values = np.ascontiguousarray(rows[name])
+        parts.append((values.view(np.uint8).reshape(len(rows), -1).T if name in BY_BYTES else values).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def _opened(blob: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     out, at = np.empty(len(raw) // ROW.itemsize, ROW), 0
     for name in ROW.names:
-        kind = ROW[name]
-        out[name] = np.frombuffer(raw, kind, len(out), at)
-        at += kind.itemsize * len(out)
+        size = ROW[name].itemsize
+        part = raw[at : at + size * len(out)]
+        if name in BY_BYTES:
+            part = np.ascontiguousarray(part.reshape(size, -1).T).reshape(-1)
+        out[name] = part.view(ROW[name])
+        at += size * len(out)
     return out
 
 
