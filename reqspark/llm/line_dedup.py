@@ -16,8 +16,9 @@ Jaccard similarity of at least ``threshold`` with it. Lines without words stay.
    and so on until each has been removed or held against all that pass. So large groups of similar lines make about one
    pair a line, never all pairs, and no line is left out.
 
-Keys travel as compressed blocks of numbers, dealt by key (so many deals that each has about ``DEAL`` rows); the blocks are
-written once and read again for further rounds. No text is shuffled for the comparison.
+Keys travel as compressed blocks of numbers, dealt by key (so many deals that each has about ``DEAL`` rows). For further rounds
+only the rows under keys of open lines are made again (by a bitmap of fixed size, which lets some others through) and written.
+No text is shuffled for the comparison.
 
 Defined cases: a null text has no lines and stays null, an empty one has one line without words; a document is a doc_id with a
 text, so rows that repeat both keep the same lines; documents are in the order of doc_id, null first, and those that share a
@@ -44,6 +45,8 @@ BUCKETS, PIECES = 1 << 20, 16
 SHORT, MIDDLE, LONG = 64, 160, 400
 #: Bytes of text that are cut at once, rows of keys that travel in a block, and rows of a deal.
 SLICE, BLOCK, DEAL = 1 << 21, 1 << 19, 1 << 18
+#: Bits of the bitmap of keys that open lines ask for.
+KEY_BITS = 25
 #: Lines that a task remembers to find equal ones.
 REMEMBERED = 1 << 21
 ROW = np.dtype([("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("pos", "<u4"), *((f"b{k}", "<u8") for k in range(4))])
@@ -281,9 +284,13 @@ def _opened(blob: bytes) -> np.ndarray:
     return out
 
 
-def _blocks(lines: DataFrame, order, frequent_from: int, threshold: float, dealt: int) -> DataFrame:
+def _bits(keys: np.ndarray) -> np.ndarray:
+    return (keys * MIX >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+
+def _blocks(lines: DataFrame, order, frequent_from: int, threshold: float, dealt: int, wanted=None) -> DataFrame:
     """(dealt, rows, after): compressed ROWs of many lines (id, words, after), by what their keys are dealt to, and the after
-    of each row."""
+    of each row. With a bitmap of wanted keys, only rows of keys whose bit is set."""
 
     def run(batches):
         def made(rows, after):
@@ -303,6 +310,10 @@ def _blocks(lines: DataFrame, order, frequent_from: int, threshold: float, dealt
                 rows = prefix_keys(np.arange(a, b), Tokens(batch.column(1).slice(a, b - a)), order.value, frequent_from, threshold)
                 place = rows["id"].copy()
                 rows["id"] = ids[place]
+                if wanted is not None:
+                    at = _bits(rows["key"])
+                    some = wanted.value[at >> 3] >> (at & 7) & 1 == 1
+                    rows, place = rows[some], place[some]
                 waiting.append((rows, after[place]))
                 size += len(rows)
                 if size >= BLOCK:
@@ -314,6 +325,24 @@ def _blocks(lines: DataFrame, order, frequent_from: int, threshold: float, dealt
     return lines.select("id", "words", "after").mapInArrow(run, "dealt int, rows binary, after binary")
 
 
+def _wanted(asking: DataFrame) -> np.ndarray:
+    """The bitmap of the keys of blocks: 2^KEY_BITS bits come to the driver, however many keys there are."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                bits = np.unique(_bits(_opened(blob.as_py())["key"]))
+                yield pa.RecordBatch.from_arrays([pa.array(bits + 1)], ["bit"])
+
+    bits = asking.select("rows").mapInArrow(run, "bit long")
+    pieces = bits.groupBy(F.bitmap_bucket_number("bit").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(1 << (KEY_BITS - 3), np.uint8)
+    for r in pieces.collect():
+        at = (r.piece - 1) * len(r.bits)
+        out[at : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 def _candidates(blocks: DataFrame, threshold: float, limit: int, dealt: int, open_blocks: DataFrame | None = None) -> DataFrame:
     """(later, earlier, more), written: at most ``limit`` rows for a line in a deal."""
     asking = open_blocks is not None
@@ -374,10 +403,9 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256,
     order = spark.sparkContext.broadcast(order)  # a byte a counter
     # about eight keys a line
     dealt = max(spark.sparkContext.defaultParallelism, -(-8 * lines.count() // DEAL))
-    blocks = materialise(_blocks(lines.withColumn("after", F.lit(-1).cast("long")), order, frequent_from, threshold, dealt), release=True)
-    found = _candidates(blocks, threshold, 1, dealt)
-    gone = _verified(found, lines, threshold)
-    limit = next_limit
+    every = lines.withColumn("after", F.lit(-1).cast("long"))
+    found = _candidates(_blocks(every, order, frequent_from, threshold, dealt), threshold, 1, dealt)
+    gone, limit, blocks = _verified(found, lines, threshold), next_limit, None
     while True:
         # a deal that had more has looked at all up to the last that it gave
         still = found.where("more").groupBy(F.col("later").alias("id")).agg(F.min("earlier").alias("after"))
@@ -385,13 +413,16 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256,
         discard(found)
         if still.isEmpty():
             break
-        asking = _blocks(lines.join(still, "id"), order, frequent_from, threshold, dealt)
+        asking = materialise(_blocks(lines.join(still, "id"), order, frequent_from, threshold, dealt), release=True)
+        if blocks is None:  # rows of the keys of lines that are open after the first round serve all others
+            wanted = spark.sparkContext.broadcast(_wanted(asking))
+            blocks = materialise(_blocks(every, order, frequent_from, threshold, dealt, wanted))
         found = _candidates(blocks, threshold, limit, dealt, asking)
         more = _verified(found, lines, threshold)
         gone, old = materialise(gone.union(more)), gone
-        discard(old, more, still)
+        discard(old, more, still, asking)
         limit *= 8
-    discard(still, blocks)
+    discard(still, *[blocks] * (blocks is not None))
     return written, gone
 
 

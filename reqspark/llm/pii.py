@@ -1,19 +1,25 @@
 """Personal data: four checked formats, and boosted trees for what is written otherwise.
 
 Formats (base spans): email, ip, card, phone; what fails its check is dropped. Then high-recall generators propose
-looser, overlapping spans (runs of digits and separators; addresses with "(at)" and "(dot)"). Gradient-boosted trees,
-trained here, tell from format and context features how much a proposal is like a checked span: a proposal that
-overlaps a base span counts as positive, any other as negative, and no feature sees the checks themselves. On held-out
-proposals each kind gets the lowest probability threshold that keeps the share of positives at ``precision`` or more;
-a kind without one adds nothing. Proposals that overlap no base span and reach the threshold of their kind are added.
+looser, overlapping spans (runs of digits and separators, runs of digits alone, addresses with "(at)" and "(dot)").
+Gradient-boosted trees, trained here, tell from format and context features whether a proposal is personal data. They learn
+from other forms than the checked ones: each checked span stands for itself and for its rewritten forms (``REWRITTEN``: an
+address spelt out, a number without its plus sign or with other separators); a proposal that overlaps no checked span and has
+no context word before it is no personal data; one with a context word, or that is a part of a checked span, is left open. No feature sees the checks or the signs
+that only they ask for (the plus sign, the at sign).
 
-The trees learn from at most ``max_training_rows`` proposals (a bounded sample, by hash); thresholds come from all
-proposals outside the training fold, as a histogram of at most 400 rows.
+On held-out labels each kind gets the lowest probability threshold that keeps the share of right ones at ``precision`` or
+more; a kind without one adds nothing. Proposals that overlap no base span and reach the threshold of their kind are
+added; of those that overlap each other the longest stays, of equal ones the likeliest.
 
-DataFrame and Spark ML functions only. One scan of the text, which is never shuffled; spans and proposals are kept.
+The trees learn from at most ``max_training_rows`` proposals (a bounded sample, by hash); thresholds come from all labels
+outside the training fold, as a histogram of at most 400 rows.
 
-Defined cases: a null text counts as empty; repeated doc_ids are scanned row by row; an empty table, or proposals of
-one class only, train no trees and add nothing.
+DataFrame and Spark ML functions only. One scan of the text, which is never shuffled; spans and proposals are kept. Spans are
+found in time near their number, however long the text.
+
+Defined cases: a null text counts as empty; repeated doc_ids are scanned row by row; an empty table, or labels of one class
+only, train no trees and add nothing; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, materialise, table, whole_text
-from .spans import find_all, labelled, overlaps, written
+from .spans import find_all, labelled, no_spans, overlaps, written
 
 KINDS = ["email", "ip", "card", "phone"]
 #: The formats, so written that they match the same spans without going back over a run: a local part or a run of
@@ -37,6 +43,7 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: The generators.
 LOOSE_NUMBER = r"[+(]?[0-9][0-9\x20().+/-]{5,}[0-9]"
+DIGITS = r"(?<![0-9])[0-9]{7,19}(?![0-9])"
 LOOSE_EMAIL = rf"(?<!{LOCAL}){LOCAL}++\x20?[(\[][Aa][Tt][)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[][Dd][Oo][Tt][)\]])\x20?[A-Za-z0-9-]++)++"
 #: Words that stand before such data.
 CONTEXT = {
@@ -46,6 +53,13 @@ CONTEXT = {
     "phone": "phone|tel|call|fax|mobile|appel|anruf",
 }
 BEFORE = 32
+#: Forms into which a checked span is rewritten to learn from: pattern and replacement, one after the other.
+REWRITTEN = {
+    "email": [[("@", " (at) "), (r"\.", " (dot) ")], [("@", "[at]"), (r"\.", ".")]],
+    "phone": [[(r"^\+", "")], [(r"^\+", ""), (r"[\x20()-]+", ".")], [(r"^\+", ""), (r"[\x20()-]+", "-")]],
+    "card": [[(r"[\x20-]", ".")], [(r"[\x20-]", "/")]],
+    "ip": [],
+}
 
 
 def _digits(value: Column) -> Column:
@@ -69,7 +83,7 @@ def _small(part: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """All checked spans, in the order of kinds, then of places."""
-    has = lambda sign, spans: F.when(F.contains(text, F.lit(sign)), spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    has = lambda sign, spans: F.when(F.contains(text, F.lit(sign)), spans).otherwise(no_spans())
     email = has("@", find_all(text, EMAIL))
     ip = F.filter(find_all(text, IP), lambda s: F.forall(F.split(s["value"], r"\."), _small))
     card = F.filter(
@@ -81,11 +95,11 @@ def base_spans(text: Column) -> Column:
 
 def _proposals(text: Column) -> Column:
     """What the generators find: start, end, value, the text before, and the signs next to it."""
-    loose = F.when(F.lower(text).rlike(r"[(\[]at[)\]]"), find_all(text, LOOSE_EMAIL)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
-    emails = F.when(F.contains(text, F.lit("@")), find_all(text, EMAIL)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
-    both = F.concat(emails, loose, find_all(text, LOOSE_NUMBER))
+    loose = F.when(F.lower(text).rlike(r"[(\[]at[)\]]"), find_all(text, LOOSE_EMAIL)).otherwise(no_spans())
+    emails = F.when(F.contains(text, F.lit("@")), find_all(text, EMAIL)).otherwise(no_spans())
+    numbers = F.when(text.rlike("[0-9]{3}"), F.array_distinct(F.concat(find_all(text, LOOSE_NUMBER), find_all(text, DIGITS)))).otherwise(no_spans())
     return F.transform(
-        both,
+        F.concat(emails, loose, numbers),
         lambda s: F.struct(
             s["start"].alias("start"),
             s["end"].alias("end"),
@@ -97,19 +111,15 @@ def _proposals(text: Column) -> Column:
 
 
 def _features(p: Column) -> dict[str, Column]:
-    value, before = p["value"], p["before"]
+    value, before = F.regexp_replace(p["value"], r"^\+", ""), p["before"]
     count = lambda pattern: (F.length(value) - F.length(F.regexp_replace(value, pattern, ""))).cast("double")
     groups = F.array_remove(F.split(value, "[^0-9]+", -1), "")
     out = {
         "length": F.length(value).cast("double"),
         "digits": count("[0-9]"),
-        "letters": count("[A-Za-z]"),
-        "spaces": count("\x20"),
-        "dashes": count("-"),
-        "dots": count(r"\."),
-        "brackets": count(r"[()\[\]]"),
+        "address": value.rlike("[A-Za-z]").cast("double"),
+        "separators": count(r"[\x20().-]"),
         "slashes": count("/"),
-        "plus": value.startswith("+").cast("double"),
         "groups": F.size(groups).cast("double"),
         "longest": F.coalesce(F.array_max(F.transform(groups, lambda g: F.length(g))), F.lit(0)).cast("double"),
         "first": F.coalesce(F.length(F.get(groups, F.lit(0))), F.lit(0)).cast("double"),
@@ -125,16 +135,45 @@ def _kind(p: Column) -> Column:
     return F.when(p["value"].rlike(r"@|[(\[][Aa][Tt][)\]]"), "email").otherwise(number)
 
 
-def _trees(rows: DataFrame, names: list[str], precision: float, max_training_rows: int) -> DataFrame | None:
-    """The rows that the trees and the thresholds of their kinds select; None if there is nothing to learn."""
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-    training = rows.where("fold > 0").orderBy("hash", "row_id", "start", "end").limit(max_training_rows).select("features", "label", "row_id")
+def _rewritten(p: Column, kind: Column) -> Column:
+    """A proposal of a checked span in its other forms."""
+
+    def form(steps: list[tuple[str, str]]) -> Column:
+        value = p["value"]
+        for pattern, other in steps:
+            value = F.regexp_replace(value, pattern, other)
+        return value
+
+    forms = F.array().cast("array<string>")
+    for name, steps in REWRITTEN.items():
+        if steps:
+            forms = F.when(kind == name, F.array(*map(form, steps))).otherwise(forms)
+    return F.transform(F.array_except(F.array_distinct(forms), F.array(p["value"])), lambda v: p.withField("value", v))
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    """Proposals (p) with kind and features."""
+    features = _features(F.col("p"))
+    rows = rows.select("row_id", F.col("p.start").alias("start"), F.col("p.end").alias("end"), _kind(F.col("p")).alias("kind"), "whole", "overlap", "hash", "fold", *(c.alias(n) for n, c in features.items()))
+    near = sum((F.col(f"near_{k}") for k in KINDS), F.lit(0.0))
+    rows = rows.withColumn("label", F.when(F.col("whole"), 1.0).when(~F.col("overlap") & (near == 0), 0.0))
+    return VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
+
+
+def _trees(proposals: DataFrame, precision: float, max_training_rows: int) -> DataFrame | None:
+    """The proposals (row_id, base, p, and whether p is a whole checked span or overlaps one) apart from checked spans that the
+    trees and the thresholds of their kinds select, with their scores; None if there is nothing to learn."""
+    rows = _described(proposals)
+    of = F.get(F.filter("base", lambda b: (b["start"] == F.col("p.start")) & (b["end"] == F.col("p.end"))), F.lit(0))["kind"]
+    forms = proposals.where("whole").withColumn("p", F.explode(_rewritten(F.col("p"), of)))
+    known = rows.union(_described(forms)).where("label IS NOT NULL")
+    training = known.where("fold > 0").orderBy("hash", "row_id", "start", "end", "kind").limit(max_training_rows).select("features", "label", "row_id")
     training = materialise(training.repartition(8, "row_id"))
     if training.select("label").distinct().count() < 2:
         return None
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=12, maxDepth=4, seed=7)
-    scored = trees.fit(training).transform(rows).withColumn("score", vector_to_array("probability")[1])
-    bins = scored.where("fold = 0").groupBy("kind", F.floor(F.col("score") * 100).alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("yes")).collect()
+    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=12, maxDepth=4, seed=7).fit(training)
+    scored = lambda df: trees.transform(df).withColumn("score", vector_to_array("probability")[1])
+    bins = scored(known.where("fold = 0")).groupBy("kind", F.floor(F.col("score") * 100).alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("yes")).collect()
     chosen = F.lit(False)
     for kind in KINDS:
         n = yes = 0.0
@@ -145,7 +184,21 @@ def _trees(rows: DataFrame, names: list[str], precision: float, max_training_row
                 least = r["bin"] / 100
         if least is not None:
             chosen = chosen | ((F.col("kind") == kind) & (F.col("score") >= least))
-    return scored.where(chosen & (F.col("label") == 0))
+    return scored(rows.where("NOT overlap")).where(chosen)
+
+
+def _best(spans: Column) -> Column:
+    """Of spans (start, order, end, kind, score) that overlap, the longest, then the one of the highest score."""
+    length = lambda s: s["end"] - s["start"]
+    better = lambda a, b: F.when(length(a) != length(b), length(a) > length(b)).otherwise(a["score"] >= b["score"])
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        rest = F.slice(acc, F.lit(1), F.size(acc) - 1)
+        clash = (F.size(acc) > 0) & (s["start"] < F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0)))
+        return F.when(~clash, F.concat(acc, F.array(s))).when(better(last, s), acc).otherwise(F.concat(rest, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,order:int,end:int,kind:string,score:double>>"), step)
 
 
 def find_pii(docs: DataFrame, *, precision: float = 0.99, max_training_rows: int = 20_000) -> DataFrame:
@@ -155,24 +208,23 @@ def find_pii(docs: DataFrame, *, precision: float = 0.99, max_training_rows: int
         F.monotonically_increasing_id().alias("row_id"), "doc_id", base_spans(F.col("text")).alias("base"), _proposals(F.col("text")).alias("proposals")
     )
     found = materialise(found)
-    rows = found.where(F.size("proposals") > 0).select("row_id", "doc_id", "base", F.explode("proposals").alias("p"))
-    features = _features(F.col("p"))
-    rows = rows.select(
+    proposals = found.where(F.size("proposals") > 0).select("row_id", "doc_id", "base", F.explode("proposals").alias("p"))
+    proposals = proposals.select(
         "row_id",
-        F.col("p.start").alias("start"),
-        F.col("p.end").alias("end"),
-        _kind(F.col("p")).alias("kind"),
-        overlaps(F.col("base"), F.col("p.start"), F.col("p.end")).cast("double").alias("label"),
+        "base",
+        "p",
+        F.exists("base", lambda b: (b["start"] == F.col("p.start")) & (b["end"] == F.col("p.end"))).alias("whole"),
+        overlaps(F.col("base"), F.col("p.start"), F.col("p.end")).alias("overlap"),
         F.xxhash64("doc_id", "p.start").alias("hash"),
         F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("fold"),
-        *(c.alias(n) for n, c in features.items()),
     )
-    chosen = _trees(rows, list(features), precision, max_training_rows)
+    chosen = _trees(proposals, precision, max_training_rows)
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     if chosen is None:
         return found.select("doc_id", "base", none.alias("added"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    spans = chosen.groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct("start", order.alias("order"), "end", "kind"))).alias("added"))
+    spans = chosen.groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct("start", order.alias("order"), "end", "kind", "score"))).alias("added"))
+    spans = spans.select("row_id", F.transform(_best(F.col("added")), lambda s: s.dropFields("score")).alias("added"))
     return found.join(spans, "row_id", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
 

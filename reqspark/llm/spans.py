@@ -10,25 +10,41 @@ from .common import let
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+def no_spans() -> Column:
+    return F.array().cast(SPAN)
+
+
+def _sums(values: Column) -> Column:
+    """0, then the running sums of a short array of integers."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def running_sums(values: Column) -> Column:
+    """The running sums of an array of integers that isn't empty. An array of n is summed in blocks of the root of n, so that
+    no array is copied n times."""
+
+    def of_blocks(blocks: Column) -> Column:
+        starts = _sums(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), lambda b, s: F.transform(F.slice(b, F.lit(2), F.size(b) - 1), lambda x: x + s)))
+
+    def of(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return let(F.transform(F.sequence(F.lit(0), F.size(v) - 1, size), lambda i: _sums(F.slice(v, i + 1, size))), of_blocks)
+
+    return let(values, of)
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """The leftmost non-overlapping matches of pattern: the text between matches gives their places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
 
     def places(m: Column) -> Column:
-        walked = F.aggregate(
-            F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda value, gap: F.struct(F.length(gap).alias("gap"), value.alias("value"))),
-            F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")),
-            lambda acc, x: let(
-                acc["at"] + x["gap"],
-                lambda start: F.struct(
-                    (start + F.length(x["value"])).alias("at"),
-                    F.concat(acc["spans"], F.array(F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("spans"),
-                ),
-            ),
-            lambda acc: acc["spans"],
+        steps = F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda value, gap: F.length(gap) + F.length(value))
+        spans = F.zip_with(
+            m, running_sums(steps), lambda value, end: F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"))
         )
-        return F.when(F.size(m) > 0, walked).otherwise(F.array().cast(SPAN))
+        return F.when(F.size(m) > 0, spans).otherwise(no_spans())
 
     return let(found, places)
 
@@ -46,4 +62,5 @@ def written(spans: Column) -> Column:
 
 
 def overlaps(spans: Column, start: Column, end: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < end) & (s["end"] > start))
+    """Whether any of spans overlaps [start, end)."""
+    return F.exists(spans, lambda b: (start < b["end"]) & (b["start"] < end))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from reqspark.llm import lm_scoring, mixing, packing, pii, quality_rules, secret_scan, simhash, token_files, vectors
-from reqspark.llm import line_dedup, shingle_sets, tokens
+from reqspark.llm import line_dedup, shingle_sets, spans, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, words string, id long"
 WORDS = "the of and to in a house river stone light number seven open water green mountain paper signal letter winter".split()
@@ -116,14 +116,40 @@ def test_pii(spark):
         assert [(s.kind, s.start, s.end) for s in got[k].base] == [(n, m.start(), m.end()) for n, m in out]
 
 
-def test_pii_trees_add_what_looks_alike(spark):
+def test_pii_trees_add_what_is_written_otherwise(spark):
+    """Phones without a plus sign and spelt-out addresses are added where context words stand before; dates and numbers aren't."""
     rng, texts = np.random.default_rng(3), []
     for k in range(300):
         n = "".join(map(str, rng.integers(0, 10, 10)))
-        texts += [f"please call +1 {n[:3]} {n[3:6]} {n[6:]} today", f"in {n[:4]}/{n[4:8]} it was so", f"please call 1 {n[:3]} {n[3:6]} {n[6:]} today" if k < 20 else "nothing"]
-    found = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), precision=0.5)
-    assert found.where(F.size("base") > 0).count() == 300
-    assert found.where((F.size("added") > 0) & (F.size("base") > 0)).count() == 0
+        texts += [f"please call +1 {n[:3]} {n[3:6]} {n[6:]} today", f"in {n[:4]}/{n[4:8]} it was so, item {n}", f"write a mail to joe{n}@mail.example.org soon"]
+        texts.append(f"please call 1 {n[:3]} {n[3:6]} {n[6:]} today" if k < 20 else f"write a mail to ann{n} (at) mail (dot) example (dot) org" if k < 40 else "nothing")
+    found = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), precision=0.95).collect()}
+    planted = [k for k in range(160) if k % 4 == 3]
+    for k in planted:
+        start = texts[k].index(" 1 ") + 1 if k < 80 else texts[k].index("ann")
+        end = texts[k].index(" today") if k < 80 else len(texts[k])
+        assert [(s.kind, s.start, s.end) for s in found[k].added] == [("phone" if k < 80 else "email", start, end)], texts[k]
+    assert not any(r.added for k, r in found.items() if k not in planted)
+    assert sum(len(r.base) for r in found.values()) == 600
+
+
+def test_pii_of_odd_tables(spark, docs, none):
+    assert pii.find_pii(none).count() == 0 and secret_scan.secret_scan(none).count() == 0
+    assert Counter(r.doc_id for r in pii.find_pii(docs).collect()) == Counter(r.doc_id for r in secret_scan.secret_scan(docs).collect()) == Counter(r[0] for r in rows())
+
+
+def test_the_longest_of_overlapping_spans_stays(spark):
+    spans = [(0, 0, 5, "phone", 0.7), (3, 0, 9, "card", 0.9), (8, 0, 12, "phone", 0.9), (12, 0, 14, "ip", 0.1)]
+    frame = spark.createDataFrame([(spans,), ([],)], "s array<struct<start:int,order:int,end:int,kind:string,score:double>>")
+    got = [[s.start for s in r.best] for r in frame.select(pii._best(F.col("s")).alias("best")).collect()]
+    assert got == [[3, 12], []]
+
+
+def test_spans_of_many_matches(spark):
+    for n in (1, 2, 3, 10, 1000, 20000):
+        text = "é" + "".join(f"x{k % 1000} " for k in range(n))
+        r = spark.createDataFrame([(text,)], "t string").select(spans.find_all(F.col("t"), "[0-9]+").alias("s")).first()
+        assert [(s.start, s.end, s.value) for s in r.s] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", text)]
 
 
 def brute_fingerprint(text, n):
