@@ -5,30 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FENCED = r"(?is)```(?:json)?\s*(.*?)\s*```"
+#: Where a response may hold JSON.
+FENCED = r"(?is)```(?:json)?\s*(\{.*?\})\s*```"
 BRACED = r"\{(?:[^{}]|\{[^{}]*+\})*+\}"
-FRAGMENT = r"(?s)\"test_cases\"\s*:\s*(\[.*?\])"
+FRAGMENT = r"(?is)\"test_cases\"\s*:\s*\[(.*?)\]"
 CASES = "array<struct<summary:string,action:string,data:string,expected_result:string,test_type:string>>"
 KEYS = ["summary", "action", "data", "expected_result"]
 
 
-#: An object or list by its ends, or a scalar: the parser alone also takes a value with more text behind it.
-ONE_VALUE = r"(?s)^\s*(?:\{.*\}|\[.*\]|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|\"(?:[^\"\\]|\\.)*+\")\s*$"
-
-
 def is_json(text: Column) -> Column:
-    """Whether text is one JSON value."""
-    return text.rlike(ONE_VALUE) & F.try_parse_json(text).isNotNull()
+    """Whether text is one JSON value. Parsers stop where a value ends; what follows shows when the text stands inside a list and
+    inside an object: another element or member, or no JSON at all."""
+    listed = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.size(F.json_object_keys(F.concat(F.lit('{"value":'), text, F.lit("}"))))
+    return F.coalesce((listed == 1) & (member == 1) & F.try_parse_json(text).isNotNull(), F.lit(False))
 
 
 def parse_response(response: Column) -> Column:
-    """The first valid JSON of: the whole text, fenced blocks, braced objects, a "test_cases" list. Null if none is."""
+    """The first valid JSON of: the whole text, fenced objects, braced objects, the first "test_cases" list. Null if none is."""
     first = lambda found: F.get(F.filter(found, is_json), F.lit(0))
     whole = F.btrim(response, F.lit(" \t\r\n"))
-    fenced = F.transform(F.regexp_extract_all(response, F.lit(FENCED), F.lit(1)), lambda x: F.btrim(x, F.lit(" \t\r\n")))
-    fragment = F.transform(F.regexp_extract_all(response, F.lit(FRAGMENT), F.lit(1)), lambda x: F.concat(F.lit('{"test_cases": '), x, F.lit("}")))
+    fragment = F.concat(F.lit('{"test_cases": ['), F.regexp_extract(response, FRAGMENT, 1), F.lit("]}"))
     return F.when(F.trim(response) == "", None).otherwise(
-        F.coalesce(F.when(is_json(whole), whole), first(fenced), first(F.regexp_extract_all(response, F.lit(BRACED), F.lit(0))), first(fragment))
+        F.coalesce(
+            F.when(is_json(whole), whole),
+            first(F.regexp_extract_all(response, F.lit(FENCED), F.lit(1))),
+            first(F.regexp_extract_all(response, F.lit(BRACED), F.lit(0))),
+            F.when(response.rlike(FRAGMENT) & is_json(fragment), fragment),
+        )
     )
 
 

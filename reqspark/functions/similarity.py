@@ -20,6 +20,35 @@ def ratio(a: Column, b: Column) -> Column:
     return each(a, b)
 
 
+def mean_similarity(pairs: list[tuple[Column, Column]], least: float) -> Column:
+    """The mean over pairs of fields: 1 if both are equal, 0 if one is empty, else difflib's ratio. Null if it is below least, which
+    cheap bounds tell of most pairs. Equal comparisons of a batch are made once."""
+
+    @F.pandas_udf(DoubleType())
+    def each(*fields: pd.Series) -> pd.Series:
+        n, known, out = len(fields) // 2, {}, []
+        for values in zip(*fields):
+            ends = list(zip(values[::2], values[1::2]))
+            scores = [1.0 if a == b or a and b else 0.0 for a, b in ends]  # at most
+            for k, pair in enumerate(ends):
+                if pair[0] == pair[1] or not scores[k]:
+                    continue
+                if pair not in known:
+                    matcher = SequenceMatcher(None, *pair)
+                    if sum(scores) - 1 + matcher.quick_ratio() < least * n - 1e-9:
+                        scores[k] = matcher.quick_ratio()
+                        break
+                    known[pair] = matcher.ratio()
+                scores[k] = known[pair]
+                if sum(scores) < least * n - 1e-9:
+                    break
+            mean = sum(scores) / n
+            out.append(mean if mean >= least else None)
+        return pd.Series(out, dtype="float64")
+
+    return each(*(c for pair in pairs for c in pair))
+
+
 def bound(a: Column, b: Column) -> Column:
     """No ratio is above 2 min(l1, l2) / (l1 + l2)."""
     both = F.length(a) + F.length(b)
@@ -30,6 +59,6 @@ def normal(field: Column) -> Column:
     return F.trim(F.lower(F.coalesce(field, F.lit(""))))
 
 
-def field_similarity(a: Column, b: Column, exact: bool) -> Column:
-    """1 if both are empty, 0 if one is; else the ratio (exact) or its bound."""
-    return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(ratio(a, b) if exact else bound(a, b))
+def field_bound(a: Column, b: Column) -> Column:
+    """No similarity of two fields is above it."""
+    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(bound(a, b))

@@ -8,20 +8,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import bound, field_similarity, normal, ratio
+from ..functions.similarity import bound, field_bound, mean_similarity, normal, ratio
 
 FIELDS = ("action", "data", "expected_result")
 
 
 def similar_pairs(cases: DataFrame, threshold: float = 0.7, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """requirement_id, a, b, similarity of pairs a < b of one requirement, at least threshold similar. Pairs whose bound is
-    lower never reach the exact comparison; equal fields need none."""
+    lower never reach the exact comparison."""
     keyed = cases.select("requirement_id", "idx", *(normal(F.col(f)).alias(f) for f in fields))
     a = keyed.select("requirement_id", F.col("idx").alias("a"), *(F.col(f).alias(f"a_{f}") for f in fields))
     b = keyed.select("requirement_id", F.col("idx").alias("b"), *(F.col(f).alias(f"b_{f}") for f in fields))
-    mean = lambda exact: sum((field_similarity(F.col(f"a_{f}"), F.col(f"b_{f}"), exact) for f in fields), F.lit(0.0)) / len(fields)
-    pairs = a.join(b, "requirement_id").where((F.col("a") < F.col("b")) & (mean(False) >= threshold - 1e-9))
-    return pairs.withColumn("similarity", mean(True)).where(F.col("similarity") >= threshold).select("requirement_id", "a", "b", "similarity")
+    ends = [(F.col(f"a_{f}"), F.col(f"b_{f}")) for f in fields]
+    most = sum((field_bound(x, y) for x, y in ends), F.lit(0.0)) / len(fields)
+    pairs = a.join(b, "requirement_id").where((F.col("a") < F.col("b")) & (most >= threshold - 1e-9))
+    return pairs.withColumn("similarity", mean_similarity(ends, threshold)).where("similarity IS NOT NULL").select("requirement_id", "a", "b", "similarity")
+
+
+def described_pairs(cases: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Similar pairs with the summaries of both, the most similar first."""
+    named = lambda k: cases.select("requirement_id", F.col("idx").alias(k), F.col("summary").alias(f"summary_{k}"))
+    pairs = similar_pairs(cases, threshold).join(named("a"), ["requirement_id", "a"]).join(named("b"), ["requirement_id", "b"])
+    return pairs.select("requirement_id", "a", "b", "similarity", "summary_a", "summary_b").orderBy(F.desc("similarity"), "requirement_id", "a", "b")
 
 
 def duplicate_groups(cases: DataFrame, threshold: float = 0.85, fields: tuple[str, ...] = FIELDS) -> DataFrame:

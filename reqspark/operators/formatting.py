@@ -75,12 +75,15 @@ def long_description(parts: list[tuple[str, Column]], otherwise: str = "No descr
 
 
 def schema_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """column, status: missing on the right, extra there, moved, or same."""
-    spark = left.sparkSession
-    side = lambda df, name: spark.createDataFrame([(c, k) for k, c in enumerate(df.columns)], f"column string, {name} int")
-    both = side(left, "l").join(side(right, "r"), "column", "full")
-    status = F.when(F.col("r").isNull(), "missing").when(F.col("l").isNull(), "extra").when(F.col("l") != F.col("r"), "moved").otherwise("same")
-    return both.select("column", status.alias("status"))
+    """column, status (missing on the right, extra there, moved, or same), and how many rows of each side hold a value in it."""
+
+    def profile(df: DataFrame, side: str) -> DataFrame:
+        sums = df.agg(*(F.count(F.col(f"`{c}`")).alias(f"n{k}") for k, c in enumerate(df.columns)))
+        return sums.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(k).alias(f"{side}_place"), F.col(f"n{k}").alias(f"{side}_values")) for k, c in enumerate(df.columns)))))
+
+    l, r = F.col("left_place"), F.col("right_place")
+    status = F.when(r.isNull(), "missing").when(l.isNull(), "extra").when(l != r, "moved").otherwise("same")
+    return profile(left, "left").join(profile(right, "right"), "column", "full").select("column", status.alias("status"), "left_values", "right_values")
 
 
 def value_diff(left: DataFrame, right: DataFrame, key: str = "Issue ID") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from ..functions.text import relation_type
 
 MAX_LEVEL = 10
@@ -74,14 +75,20 @@ def roots_and_leaves(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     return both.select("source_file", "id", F.coalesce("is_root", F.lit(False)).alias("is_root"), F.coalesce("is_leaf", F.lit(False)).alias("is_leaf"))
 
 
-def requirement_paths(nodes: DataFrame, relations: DataFrame, max_depth: int = MAX_LEVEL) -> DataFrame:
-    """source_file, root_id, depth, path, id: every way down from every root, once for each; a node on its own path ends it."""
+def requirement_paths(nodes: DataFrame, relations: DataFrame) -> DataFrame:
+    """source_file, root_id, depth, path, id: every way down from every root, however long, once for each; a node on its own path
+    ends it. With a text column in nodes, text is its first 100 characters. Each level is written, and is all that the next one
+    reads."""
     edges = _parent_edges(relations).select("source_file", F.col("source_id").alias("id"), F.col("target_id").alias("child")).distinct()
-    edges = edges.join(nodes.select("source_file", F.col("id").alias("child")), ["source_file", "child"], "left_semi")
-    level = roots_and_leaves(nodes, relations).where("is_root").select("source_file", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.array("id").alias("path"), "id")
-    out = level
-    for depth in range(1, max_depth + 1):
+    edges = written(edges.join(nodes.select("source_file", F.col("id").alias("child")), ["source_file", "child"], "left_semi"))
+    level = written(roots_and_leaves(nodes, relations).where("is_root").select("source_file", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.array("id").alias("path"), "id"))
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
         level = level.join(edges, ["source_file", "id"]).where(~F.array_contains("path", F.col("child")))
-        level = level.select("source_file", "root_id", F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.col("child").alias("id"))
+        level = written(level.select("source_file", "root_id", F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.col("child").alias("id")))
         out = out.union(level)
+    if "text" in nodes.columns:
+        out = out.join(nodes.select("source_file", "id", F.substring("text", 1, 100).alias("text")), ["source_file", "id"], "left")
+        out = out.select("source_file", "root_id", "depth", "path", "id", "text")
     return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+
 WORD = r"[\p{L}\p{N}_]+"
 #: Words of a domain.
 DOMAINS = {
@@ -115,23 +117,48 @@ def improvements(scored: DataFrame) -> DataFrame:
     return scored.select("example_id", required.alias("required"), optional.alias("optional"), (F.col("relevance") < 0.2).alias("regenerate"))
 
 
+def upper_median(scored: DataFrame, column: str = "overall", bins: int = 1000) -> float | None:
+    """Of n values in ascending order the one at place n // 2. A histogram of at most bins + 1
+    rows tells the bin that holds it, and only the different values of that bin are ranked."""
+    bin_ = F.floor(F.col(column) * bins)
+    counts = sorted(((r["bin"], r["n"]) for r in scored.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    place = (sum(n for _, n in counts) - 1) // 2  # in descending order
+    for bin_at, n in counts:
+        if place < n:
+            break
+        place -= n
+    else:
+        return None
+    values = scored.where(bin_ == bin_at).groupBy(column).agg(F.count("*").alias("n"))
+    up_to = F.sum("n").over(Window.orderBy(F.desc(column)))
+    return values.withColumn("up_to", up_to).where(F.col("up_to") > place).agg(F.max(column)).first()[0]
+
+
 def quality_summary(scored: DataFrame, top: int = 5) -> DataFrame:
     """One row: count, priorities, mean and upper median of overall, mean relevance, the most frequent recommendations."""
     told = scored.select(F.explode(recommendations()).alias("text")).groupBy("text").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "text").limit(top)
     told = told.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "text"))), lambda x: F.concat(x["text"], F.lit(" x"), -x["n"])), "; ").alias("top"))
     by = lambda p: F.count_if(F.col("priority") == p).alias(p)
+    median = F.lit(upper_median(scored)).cast("double")
     sums = scored.agg(
         F.count("*").alias("n"), by("high"), by("medium"), by("low"), F.round(F.avg("overall"), 6).alias("mean_overall"),
-        F.round(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY overall DESC)"), 6).alias("median_overall"), F.round(F.avg("relevance"), 6).alias("mean_relevance"),
+        F.round(median, 6).alias("median_overall"), F.round(F.avg("relevance"), 6).alias("mean_relevance"),
     )
     return sums.withColumn("key", F.lit(1)).join(told.withColumn("key", F.lit(1)), "key").drop("key")
 
 
 def curriculum_phases(scored: DataFrame) -> DataFrame:
-    """example_id, phase, overall, place: ranked within the phase."""
+    """example_id, phase, overall, place: ranked within the phase. Rows are sorted over all partitions, so a phase may hold most of
+    them; a place is the rows of the phase in earlier partitions plus that within the own one."""
     phase = F.when((F.col("complexity") <= 0.4) & (F.col("diversity") >= 0.3), "foundation").when((F.col("complexity") <= 0.7) & (F.col("diversity") >= 0.5), "intermediate").otherwise("advanced")
-    rows = scored.select("example_id", "overall", phase.alias("phase"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("phase").orderBy(F.desc("overall"), "example_id")))
+    order = ["phase", F.desc("overall"), "example_id"]
+    rows = scored.select("example_id", "overall", phase.alias("phase")).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(rows.withColumn("part", F.spark_partition_id()))
+    counts = rows.groupBy("phase", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("phase").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("phase", "part").orderBy(F.desc("overall"), "example_id")))
+    ranked = ranked.join(counts.select("phase", "part", before.alias("before")), ["phase", "part"])
+    return ranked.select("example_id", "overall", "phase", (F.col("before") + F.col("place")).alias("place"))
 
 
 def phase_gate(scored: DataFrame) -> DataFrame:

@@ -61,15 +61,16 @@ def _both(spark, sf_dir):
     return adapters.cases(spark, sf_dir), validate.signal_dictionary(adapters.interfaces(spark, sf_dir))
 
 
+def _tables(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("requirement_id"), (F.col("o_orderkey") % 4).cast("int").alias("table_rows"))
+
+
 @query("f1_signal_dictionary", f"{DICT} SELECT * FROM dict")
 def f1(spark, sf_dir):
     return validate.signal_dictionary(adapters.interfaces(spark, sf_dir))
 
 
-USED = r"\b([A-Z]{3,}[A-Z0-9_]*|[A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"
-
-
-@query("f2_action_signals", f"""{DICT}, used AS (SELECT requirement_id, idx, scope, unnest(regexp_extract_all(action, '{USED}', 1)) AS signal FROM cases)
+@query("f2_action_signals", f"""{DICT}, used AS (SELECT requirement_id, idx, scope, unnest(regexp_extract_all(action, '{validate.SIGNAL}', 1)) AS signal FROM cases)
 SELECT * FROM used u WHERE NOT EXISTS (SELECT 1 FROM dict d WHERE d.scope = u.scope AND d.signal = u.signal)""")
 def f2(spark, sf_dir):
     return validate.unknown_signals(*_both(spark, sf_dir), "action", validate.SIGNAL).select("requirement_id", "idx", "scope", "signal")
@@ -91,7 +92,7 @@ def f4(spark, sf_dir):
 @query("f5_data_format", f"""{C} SELECT requirement_id, idx, 'Data field is empty' AS issue FROM cases WHERE trim(data) = '' UNION ALL
 SELECT requirement_id, idx, 'Data part ''' || trim(p) || ''' missing ''='' assignment' FROM (SELECT requirement_id, idx, unnest(string_split(data, ',')) AS p FROM cases WHERE contains(data, '=')) WHERE NOT contains(p, '=')""")
 def f5(spark, sf_dir):
-    return validate.data_format_issues(adapters.cases(spark, sf_dir))
+    return validate.data_format_issues(adapters.cases(spark, sf_dir)).drop("place")
 
 
 @query("f6_case_verdict")
@@ -101,7 +102,8 @@ def f6(spark, sf_dir):
 
 @query("f7_validation_report")
 def f7(spark, sf_dir):
-    return validate.validation_report(validate.verdicts(*_both(spark, sf_dir)))
+    cases, names = _both(spark, sf_dir)
+    return validate.validation_report(validate.verdicts(cases, names), validate.table_coverage(cases, _tables(spark, sf_dir)))
 
 
 @query("f8_table_coverage", f"""{C}, s AS (SELECT requirement_id, count(*) AS total, count(*) FILTER (test_type = 'positive') AS positive, count(*) FILTER (test_type = 'negative') AS negative FROM cases GROUP BY 1),
@@ -110,8 +112,7 @@ r AS (SELECT t.requirement_id, n, coalesce(total, 0) AS total, coalesce(positive
 SELECT requirement_id, n AS table_rows, total, positive, negative, concat_ws(',', CASE WHEN positive < n THEN 'Table Coverage Deficiency' END, CASE WHEN negative < 3 THEN 'Negative Test Deficiency' END,
 CASE WHEN total < n + 3 THEN 'Total Test Case Count' END) AS issues, round(positive / n * 100, 6) AS coverage, positive >= n AND negative >= 3 AS adequate, n + 3 AS expected_min, n + 8 AS expected_max FROM r""")
 def f8(spark, sf_dir):
-    tables = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("requirement_id"), (F.col("o_orderkey") % 4).cast("int").alias("table_rows"))
-    return validate.table_coverage(adapters.cases(spark, sf_dir), tables).withColumn("issues", F.array_join("issues", ","))
+    return validate.table_coverage(adapters.cases(spark, sf_dir), _tables(spark, sf_dir)).withColumn("issues", F.array_join("issues", ",")).drop("texts")
 
 
 @query("g2_duplicate_groups")
@@ -121,7 +122,7 @@ def g2(spark, sf_dir):
 
 @query("g5_similar_pairs")
 def g5(spark, sf_dir):
-    return dedup.similar_pairs(adapters.cases(spark, sf_dir))
+    return dedup.described_pairs(adapters.cases(spark, sf_dir))
 
 
 @query("g6_corpus_near_dups")
@@ -202,7 +203,8 @@ def h5(spark, sf_dir):
 NAMES = ", ".join(f"('{c}', {k})" for k, c in enumerate(formatting.COLUMNS))
 
 
-@query("h6_schema_diff", f"""WITH c(name, k) AS (VALUES {NAMES}) SELECT name AS "column", CASE WHEN name = 'Labels' THEN 'missing' WHEN name = 'LinkTest' THEN 'moved' ELSE 'same' END AS status FROM c UNION ALL SELECT 'Extra', 'extra'""")
+@query("h6_schema_diff", f"""{C}, n AS (SELECT count(*) AS n FROM cases), c(name, k) AS (VALUES {NAMES}) SELECT name AS "column", CASE WHEN name = 'Labels' THEN 'missing' WHEN name = 'LinkTest' THEN 'moved' ELSE 'same' END AS status,
+n AS left_values, CASE WHEN name <> 'Labels' THEN n END AS right_values FROM c, n UNION ALL SELECT 'Extra', 'extra', NULL, n FROM n""")
 def h6(spark, sf_dir):
     table = _table(spark, sf_dir)
     return formatting.schema_diff(table, table.drop("Labels").withColumn("Extra", F.lit(1)))

@@ -156,8 +156,10 @@ def e8(spark, sf_dir):
 
 @query("e9_requirement_paths", f"""WITH RECURSIVE {EDGES}, walk AS (SELECT source_file, id AS root_id, 0 AS depth, [id] AS path, id FROM nodes WHERE id NOT IN (SELECT target_id FROM pc)
 UNION ALL SELECT w.source_file, w.root_id, w.depth + 1, list_append(w.path, e.target_id), e.target_id FROM walk w
-JOIN (SELECT DISTINCT source_id, target_id FROM pc) e ON e.source_id = w.id WHERE NOT list_contains(w.path, e.target_id) AND w.depth < 10)
-SELECT source_file, root_id, depth, array_to_string(path, '/') AS path, id FROM walk""")
+JOIN (SELECT DISTINCT source_id, target_id FROM pc) e ON e.source_id = w.id WHERE NOT list_contains(w.path, e.target_id))
+SELECT source_file, root_id, depth, array_to_string(path, '/') AS path, id, substr(text, 1, 100) AS text FROM walk LEFT JOIN (SELECT 'N' || doc_id AS id, text FROM documents) USING (id)""")
 def e9(spark, sf_dir):
     relations = adapters.relations(spark, sf_dir)
-    return graph.requirement_paths(graph.nodes_of(relations), relations).withColumn("path", F.array_join("path", "/"))
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("N"), "doc_id").alias("id"), "text")
+    nodes = graph.nodes_of(relations).join(texts, "id", "left")
+    return graph.requirement_paths(nodes, relations).withColumn("path", F.array_join("path", "/"))

@@ -31,14 +31,14 @@ KINDS = ["png", "jpeg", "gif", "xyz"]
 def _with_images(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 4 + 1).cast("int"))
-    body = F.base64(F.encode(F.substring("text", 1, 40), "UTF-8"))
+    body = F.base64(F.encode("text", "UTF-8"))
     tag = F.concat(F.lit('<p><html:img alt="x" src="data:image/'), kind, F.lit(";base64,"), body, F.lit('" /></p>'))
     data = F.concat(F.lit("pics/p"), F.col("doc_id") % 10, F.when(F.col("doc_id") % 3 == 0, ".png").when(F.col("doc_id") % 3 == 1, ".SVG").otherwise(".txt"))
     thing = F.concat(F.lit('<html:object type="application/x" data="'), data, F.lit('">t</html:object>'))
-    return docs.select("doc_id", F.col("source").alias("source_file"), F.concat(tag, thing).alias("text"), F.encode(F.substring("text", 1, 40), "UTF-8").alias("content"), data.alias("name"))
+    return docs.select("doc_id", F.col("source").alias("source_file"), F.concat(tag, thing).alias("text"), F.encode("text", "UTF-8").alias("content"), data.alias("name"))
 
 
-IMAGES = """im AS (SELECT doc_id, source AS source_file, ([{}])[doc_id % 4 + 1] AS kind, substr(text, 1, 40) AS body, 'pics/p' || (doc_id % 10) || CASE doc_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.SVG' ELSE '.txt' END AS name FROM documents)""".format(", ".join(f"'{k}'" for k in KINDS))
+IMAGES = """im AS (SELECT doc_id, source AS source_file, ([{}])[doc_id % 4 + 1] AS kind, text AS body, 'pics/p' || (doc_id % 10) || CASE doc_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.SVG' ELSE '.txt' END AS name FROM documents)""".format(", ".join(f"'{k}'" for k in KINDS))
 
 
 @query("c2_embedded_images", f"WITH {IMAGES} SELECT doc_id, 0 AS place, CASE kind WHEN 'xyz' THEN 'unknown' ELSE kind END AS format, octet_length(encode(body))::INT AS size_bytes, sha256(body) AS hash FROM im")
@@ -108,10 +108,10 @@ CHOICE = "CASE WHEN contains(lower(heading), 'the') THEN 'door' WHEN contains(lo
 
 def _headed(spark, sf_dir):
     rows = adapters.artifacts(spark, sf_dir).select("source_file", "seq", "id", clean_text(F.col("text")).alias("clean"))
-    return rows.withColumn("heading", F.substring("clean", 1, 12))
+    return rows.withColumn("heading", F.col("clean"))
 
 
-HEADED = f"{ROWS}, headed AS (SELECT source_file, seq, id, clean, substr(clean, 1, 12) AS heading FROM rows_)"
+HEADED = f"{ROWS}, headed AS (SELECT source_file, seq, id, clean, clean AS heading FROM rows_)"
 
 
 @query("d6_select_template", f"{HEADED} SELECT id, {CHOICE} AS template FROM headed")
@@ -119,21 +119,25 @@ def d6(spark, sf_dir):
     return prompts.select_template(_headed(spark, sf_dir), RULES, {"door", "window", "light", "default"}, "default").select("id", "template")
 
 
-@query("d7_format_table", """WITH r AS (SELECT p_brand, p_partkey, p_name, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
-l AS (SELECT *, 'R' || lpad(i::VARCHAR, greatest(2, 2), '0') || ': ' || p_name || ' | ' || p_size AS line FROM r WHERE i < 100)
-SELECT p_brand, 'name | size' || chr(10) || string_agg(line, chr(10) ORDER BY i) FILTER (i <= 10) || chr(10) || '... (' || (any_value(n) - 20) || ' rows omitted) ...' || chr(10) || string_agg(line, chr(10) ORDER BY i) FILTER (i > n - 10) || chr(10) || 'Total rows: ' || any_value(n) AS text
-FROM l WHERE n BETWEEN 51 AND 99 GROUP BY 1""")
+@query("d7_format_table", """WITH k AS (SELECT p_brand AS name, * FROM part UNION ALL SELECT 'all', * FROM part UNION ALL SELECT p_brand || '/' || (p_partkey % 2), * FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY name) AS n, p_name || ' | ' || p_size AS cells FROM k),
+l AS (SELECT *, printf('R%02d: ', i) || cells AS line FROM r)
+SELECT name, 'Table Data:' || chr(10) || 'name | size' || chr(10) || '-----------' || chr(10) || CASE WHEN any_value(n) <= 20 THEN string_agg(cells || ' | Row ' || i, chr(10) ORDER BY i) WHEN any_value(n) <= 50 THEN string_agg(line, chr(10) ORDER BY i)
+ELSE string_agg(line, chr(10) ORDER BY i) FILTER (i <= 10) || chr(10) || '... (showing first 10 and last 10 of ' || any_value(n) || ' total rows) ...' || chr(10) || string_agg(line, chr(10) ORDER BY i) FILTER (i > n - 10) END
+|| chr(10) || chr(10) || 'Table contains ' || any_value(n) || ' rows total.' AS text FROM l GROUP BY 1""")
 def d7(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", F.array("p_name", F.col("p_size").cast("string")).alias("cells")))).alias("all"))
-    rows = rows.where(F.size("all").between(51, 99))
-    return rows.select("p_brand", prompts.format_table(F.array(F.lit("name"), F.lit("size")), F.transform("all", lambda x: x["cells"])).alias("text"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", "p_partkey", "p_name", "p_size")
+    half = F.concat("p_brand", F.lit("/"), F.col("p_partkey") % 2)
+    rows = part.select(F.explode(F.array("p_brand", F.lit("all"), half)).alias("name"), "p_partkey", "p_name", "p_size")
+    return prompts.table_texts(rows, "name", "p_partkey", {"name": F.col("p_name"), "size": F.col("p_size")})
 
 
 @query("d8_format_lists", f"""{EX} SELECT example_id, CASE WHEN len(infos) > 0 THEN array_to_string(['- ' || x for x in infos], chr(10)) ELSE 'None' END AS info,
-CASE WHEN len(images) > 0 THEN len(images) || ' image(s): ' || array_to_string(list_sort(list_distinct([upper(x.format) for x in images])), ', ') ELSE 'None' END AS images FROM examples""")
+CASE WHEN len(images) > 0 THEN len(images) || ' diagram(s) attached (' || array_to_string(list_sort(list_distinct([upper(x.format) for x in images])), ', ') || '). ' || chr(10) || chr(10)
+|| CASE len(images) WHEN 1 THEN 'When analyzing the diagram:' ELSE 'When analyzing the diagrams:' END || chr(10) || '{prompts.GUIDANCE}' ELSE '{prompts.NO_IMAGES}' END AS images FROM examples""")
 def d8(spark, sf_dir):
     rows = adapters.examples(spark, sf_dir)
-    return rows.select("example_id", prompts.info_lines(F.col("infos")).alias("info"), prompts.image_line(F.transform("images", lambda x: x["format"])).alias("images"))
+    return rows.select("example_id", prompts.info_lines(F.col("infos")).alias("info"), prompts.image_context(F.transform("images", lambda x: x["format"])).alias("images"))
 
 
 @query("d9_render_prompts", f"""{EX} SELECT example_id, CASE WHEN requirement_text = '' THEN 'Requirement missing under ' || coalesce(nullif(heading, ''), 'No Heading') ELSE 'Under ' || coalesce(nullif(heading, ''), 'No Heading') || ': ' || requirement_text END AS prompt FROM examples""")

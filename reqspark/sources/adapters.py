@@ -147,7 +147,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
         (30000 * (i + 1) + key % 10 * 60000).cast("long").alias("size_bytes"),
         pick(["state_machine", "", "photo"], i).alias("image_type"),
         pick(["oracle", "distractor", None], i).alias("relevance"),
-        F.when(i % 2 == 0, F.substring("requirement_text", 1, 40)).otherwise("").alias("description"),
+        F.when(i % 2 == 0, F.col("requirement_text")).otherwise("").alias("description"),
     )
     images = F.when(key % 4 > 0, F.transform(F.sequence(F.lit(0), (key % 4 - 1).cast("int")), image)).otherwise(F.array().cast("array<struct<format:string,size_bytes:bigint,image_type:string,relevance:string,description:string>>"))
     return rows.withColumn("oracle", F.when(key % 7 != 0, ids).otherwise(F.array().cast("array<string>"))).withColumn("images", images)
@@ -159,4 +159,4 @@ base AS (SELECT conv_id AS example_id, coalesce(a[1], '') AS requirement_text, c
 examples AS (SELECT *, CASE WHEN example_id % 7 <> 0 THEN list_concat(list_concat(CASE WHEN example_id % 3 <> 0 AND heading <> '' THEN ['HEADING'] ELSE [] END,
   [('INFO_' || i)::VARCHAR for i in range(0, len(infos)) if (i + example_id) % 2 = 0]), [('IF_' || i)::VARCHAR for i in range(0, len(interfaces)) if i % 2 = 0]) ELSE [] END AS oracle,
   [{'format': (['PNG', 'SVG', 'JPEG'])[(example_id + i) % 3 + 1], 'size_bytes': 30000 * (i + 1) + example_id % 10 * 60000, 'image_type': (['state_machine', '', 'photo'])[(example_id + i) % 3 + 1],
-    'relevance': (['oracle', 'distractor', NULL])[(example_id + i) % 3 + 1], 'description': CASE WHEN i % 2 = 0 THEN substr(requirement_text, 1, 40) ELSE '' END} for i in range(0, example_id % 4)] AS images FROM base)"""
+    'relevance': (['oracle', 'distractor', NULL])[(example_id + i) % 3 + 1], 'description': CASE WHEN i % 2 = 0 THEN requirement_text ELSE '' END} for i in range(0, example_id % 4)] AS images FROM base)"""

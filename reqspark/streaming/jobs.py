@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_dir
+
 
 def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def session_windows(spark: SparkSession, source: str, schema, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """window_start, event_type, level, n: counts by tumbling window over what is at source now; rows later than the watermark
-    are dropped once their window has left the state."""
+def session_windows(spark: SparkSession, source: str, schema, width: str = "1 hour", late: str = "10 minutes", files: int | None = None) -> DataFrame:
+    """window_start, event_type, level, n: counts by tumbling window over what is at source now. A batch hands on only the windows
+    that it changed, windows before the watermark leave the state, and rows that come later than that are dropped. The target
+    holds every version of a window by batch; the latest one counts."""
     out = _folder(spark, "windows")
-    logs = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
+    reader = spark.readStream.schema(schema)
+    logs = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
     logs = logs.withColumn("level", F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO"))
     counts = logs.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type", "level").agg(F.count("*").alias("n"))
     counts = counts.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "level", "n")
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(out)
+    counts.writeStream.outputMode("update").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("window_start", "event_type", "level").agg(F.max_by("n", "batch").alias("n"))
 
 
 def collect_once(spark: SparkSession, source: str, schema, key: str, files: int = 1) -> DataFrame:

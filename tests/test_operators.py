@@ -1,12 +1,16 @@
 """Single operators on small rows."""
 
+import random
+import time
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from reqspark.functions import responses as R
 from reqspark.functions.text import clean_text, map_type
-from reqspark.operators import context, dedup, formatting, graph, prompts, validate
+from reqspark.operators import context, dedup, formatting, graph, prompts, quality, validate
+from reqspark.streaming import jobs
 
 
 def artifacts(spark):
@@ -91,5 +95,80 @@ def test_suggestions(spark):
 def test_formats(spark):
     row = spark.range(1).select(formatting.format_steps(F.lit("1) a, 2) b")).alias("a"), formatting.issue_id(F.lit("R1"), F.lit(None).cast("string"), F.lit(7)).alias("b")).first()
     assert tuple(row) == ("1) a\n\n2) b", "R1_TC_007")
-    table = spark.createDataFrame([(["a"], [["1"], ["2"]])], "h array<string>, r array<array<string>>")
-    assert table.select(prompts.format_table(F.col("h"), F.col("r")).alias("t")).first().t == "a\n1 | Row 1\n2 | Row 2\nTotal rows: 2"
+    assert spark.range(1).select(prompts.image_context(F.array(F.lit("png"), F.lit(None), F.lit("PNG"))).alias("t")).first().t.startswith("3 diagram(s) attached (PNG, UNKNOWN). \n\nWhen analyzing the diagrams:\n1. DESCRIBE")
+
+
+@pytest.mark.parametrize("n", [1, 20, 21, 50, 51, 120, 1005])
+def test_table_texts(spark, n):
+    rows = [("t", k, f"v{k}", k if k % 3 else None) for k in range(n)]
+    frame = spark.createDataFrame(rows, "name string, k int, a string, b int")
+    text = prompts.table_texts(frame, "name", "k", {"a": F.col("a"), "b": F.col("b")}).first().text
+    lines = [f"{a} | {'' if b is None else b}" for _, _, a, b in rows]
+    numbered = [f"R{i:02d}: {x}" for i, x in enumerate(lines, 1)]
+    body = [f"{x} | Row {i}" for i, x in enumerate(lines, 1)] if n <= 20 else numbered if n <= 50 else [*numbered[:10], f"... (showing first 10 and last 10 of {n} total rows) ...", *numbered[-10:]]
+    assert text == "Table Data:\na | b\n-----\n" + "\n".join(body) + f"\n\nTable contains {n} rows total."
+
+
+@pytest.mark.parametrize(
+    ("response", "want"),
+    [
+        ('{"a":1} and {"b":2}', '{"a":1}'),
+        ("[1] x [2]", None),
+        ('{"a":1}, {"b":2}', '{"a":1}'),
+        ('{"a":1}, "b": {"c":2}', '{"a":1}'),
+        ("[1]], [[2]", None),
+        ('{"a":1}} {"b":2}', '{"a":1}'),
+        (' [1, 2]\n', "[1, 2]"),
+        ("12", "12"),
+        ('x ```json\n{"a": {"b": 1}}\n``` y', '{"a": {"b": 1}}'),
+        ("```\n[1]\n```", None),
+        ('text {"bad": } {"a": {"b": 2}} end', '{"a": {"b": 2}}'),
+        ('"TEST_CASES": [1, 2', None),
+        ('say "test_cases" : [1, 2] and "test_cases": [3]', '{"test_cases": [1, 2]}'),
+        ("  ", None),
+        ("no json", None),
+        (None, None),
+    ],
+)
+def test_parse_response(spark, response, want):
+    row = spark.createDataFrame([(response,)], "t string").select(R.parse_response(F.col("t")).alias("p")).first()
+    assert row.p == want
+
+
+def test_paths_of_any_depth(spark):
+    edges = [(k, f"n{k}", f"n{k + 1}") for k in range(25)] + [(50, "n3", "n1"), (51, "n25", "n25")]
+    relations = spark.createDataFrame([("f", k, f"r{k}", a, b, "is parent of") for k, a, b in edges], "source_file string, seq long, id string, source_id string, target_id string, relation_type_name string")
+    nodes = graph.nodes_of(relations).withColumn("text", F.repeat("id", 100))
+    got = graph.requirement_paths(nodes, relations).collect()
+    assert sorted((r.depth, r.id, "/".join(r.path), r.text) for r in got) == sorted((k, f"n{k}", "/".join(f"n{i}" for i in range(k + 1)), (f"n{k}" * 100)[:100]) for k in range(26))
+
+
+def test_steps_as_a_list_and_no_dictionary(spark):
+    cases = spark.createDataFrame([(1, 1, "s", "a", "Set ABCDEF", ["ABCDEG = 1", "x"]), (1, 2, "t", "b", "Set ABCD", [""])], "requirement_id long, idx int, scope string, summary string, action string, test_steps array<string>")
+    names = spark.createDataFrame([("s", "ABCDEF")], "scope string, signal string")
+    got = {r.idx: (r.issues, r.valid) for r in validate.verdicts(cases, names).collect()}
+    assert got[1] == (["Signal 'ABCDEG' in data/test_steps not found. Did you mean 'ABCDEF'?"], False)
+    assert got[2] == ([], True)
+
+
+def test_upper_median_and_places(spark):
+    rng = random.Random(5)
+    for n in (1, 2, 3, 10, 101):
+        values = [rng.choice([0.1, 0.25, 0.2501, 0.7, rng.random()]) for _ in range(n)]
+        frame = spark.createDataFrame([(k, v, 0.0, 1.0) for k, v in enumerate(values)], "example_id long, overall double, complexity double, diversity double")
+        assert quality.upper_median(frame) == sorted(values)[n // 2]
+        places = {r.example_id: r.place for r in quality.curriculum_phases(frame).collect()}
+        assert places == {k: i for i, (_, k) in enumerate(sorted((-v, k) for k, v in enumerate(values)), 1)}
+    assert quality.upper_median(frame.limit(0)) is None
+
+
+def test_late_rows_of_a_stream_are_dropped(spark, tmp_path):
+    from datetime import datetime
+
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    for k, rows in enumerate([[(at(1), "a"), (at(2), "a")], [(at(9), "a")], [(at(9, 1), "a")], [(at(1, 30), "a"), (at(9, 5), "a")]]):
+        spark.createDataFrame(rows, "ts timestamp, event_type string").coalesce(1).write.parquet(f"{tmp_path}/{k}")
+        time.sleep(1.1)  # files are read in the order of their times
+    schema = spark.read.parquet(f"{tmp_path}/0").schema
+    got = {r.window_start.hour: r.n for r in jobs.session_windows(spark, f"{tmp_path}/*", schema, files=1).collect()}
+    assert got == {1: 1, 2: 1, 9: 3}  # late rows are those before the watermark of the batch before
