@@ -4,7 +4,7 @@ A line is the set of its words in lower case; a line goes when any earlier line
 Jaccard similarity of at least ``threshold`` with it. Lines without words stay.
 
 1. Documents are sorted by place and cut into lines, which are numbered in that order and written. A task writes the words of
-   equal lines once and marks the later ones as repeated.
+   equal lines once and marks the later ones as repeated; those that are equal in several tasks meet by 128 bits of their set.
 2. Words are counted over these lines in ``BUCKETS`` counters by hash. Tokens are ordered by their counter, then by hash:
    rare words first. Those over ``rare`` (and over twice the mean counter, which rises with the corpus) are frequent.
 3. Similar lines of sizes over 1 share at least two tokens in their prefixes of size - ceil(t size) + 2 tokens. A line is put
@@ -54,7 +54,7 @@ BY_BYTES = {"id", "size", "pos"}
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 DOCUMENT = ["doc", "part"]
-LINES = "id long, doc long, part long, line int, words string, piece int, counts binary"
+LINES = "id long, doc long, part long, line int, words string, print binary, piece int, counts binary"
 
 
 def document() -> list[Column]:
@@ -122,7 +122,8 @@ def _numbered_lines(docs: DataFrame) -> DataFrame:
                 place = np.arange(len(lines)) - np.repeat(np.cumsum(n) - n, n)
                 for i, j in slices(lines, SLICE):
                     tokens = Tokens(lines.slice(i, j - i))
-                    known = [x in seen or seen.add(x) for x in tokens.prints()]
+                    prints = tokens.prints()
+                    known = [x in seen or seen.add(x) for x in prints]
                     new = np.array([x is None for x in known]) & (tokens.sizes > 0)
                     counts += np.bincount(tokens.hashes[new[tokens.line]] & np.uint64(BUCKETS - 1), minlength=BUCKETS)
                     some = pa.array(np.flatnonzero(tokens.sizes))
@@ -130,14 +131,15 @@ def _numbered_lines(docs: DataFrame) -> DataFrame:
                     words = pc.if_else(pa.array(new), tokens.lines, pa.scalar(None, pa.string())).take(some)
                     ids = pa.array(next_id + np.arange(i, j)).take(some)
                     no_counts = [pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary())]
-                    yield pa.RecordBatch.from_arrays([ids, batch.column(0).take(of), batch.column(1).take(of), pa.array(place[i:j], pa.int32()).take(some), words, *no_counts], names)
+                    columns = [ids, batch.column(0).take(of), batch.column(1).take(of), pa.array(place[i:j], pa.int32()).take(some), words, pa.array(prints, pa.binary()).take(some)]
+                    yield pa.RecordBatch.from_arrays([*columns, *no_counts], names)
                     if len(seen) > REMEMBERED:
                         seen.clear()
                 next_id += len(lines)
         if counts.any():
             compress = zstandard.ZstdCompressor(level=1).compress
             pieces = [compress(x.tobytes()) for x in np.split(counts, PIECES)]
-            nothing = [pa.nulls(PIECES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())]
+            nothing = [pa.nulls(PIECES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*nothing, pa.array(range(PIECES), pa.int32()), pa.array(pieces, pa.binary())], names)
 
     rows = docs.select(*document(), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
@@ -398,7 +400,11 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256,
     spark = docs.sparkSession
     ship(spark)
     written = materialise(_numbered_lines(docs), release=True)
-    lines = written.where("words IS NOT NULL").select("id", "words")
+    # of lines with equal words in several tasks only the first goes on
+    some = written.where("words IS NOT NULL")
+    later = some.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("print", "first")
+    equal = materialise(some.select("id", "print").join(later, "print").where("id <> first").select("id"), release=True)
+    lines = materialise(some.select("id", "words").join(equal, "id", "left_anti"), release=True)
     order, frequent_from = ranks(_counters(written), rare)
     order = spark.sparkContext.broadcast(order)  # a byte a counter
     # about eight keys a line
@@ -422,7 +428,9 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256,
         gone, old = materialise(gone.union(more)), gone
         discard(old, more, still, asking)
         limit *= 8
-    discard(still, *[blocks] * (blocks is not None))
+    discard(still, lines, *[blocks] * (blocks is not None))
+    gone, old = materialise(gone.union(equal)), gone
+    discard(old, equal)
     return written, gone
 
 
