@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NONE = F.array  # an empty array; cast where it is used
 SYSTEM = (
     "You are an expert automotive test case generator with vision capabilities. "
     "Analyze both text context and diagrams to generate comprehensive test cases. "
@@ -18,6 +17,38 @@ SYSTEM = (
 DIAGRAMS = "Analyze visual information to understand system behavior, state transitions, signal flows, and test scenarios."
 
 
+def render_case_text(cases: DataFrame) -> DataFrame:
+    """requirement_id, text of the cases of each requirement in their order."""
+    data = F.when(F.trim("data") == "", "N/A").otherwise(F.col("data"))
+    text = F.concat(F.lit("Test Case "), "idx", F.lit(": "), "summary", F.lit("\nAction: "), "action", F.lit("\nData: "), data, F.lit("\nExpected: "), "expected_result", F.lit("\n"))
+    rows = cases.select("requirement_id", "idx", text.alias("text")).groupBy("requirement_id").agg(F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("all"))
+    return rows.select("requirement_id", F.array_join(F.transform("all", lambda x: x["text"]), "\n").alias("text"))
+
+
+def build_examples(requirements: DataFrame, cases: DataFrame, model: str) -> DataFrame:
+    """An example to be annotated for each requirement with cases. Requirements have requirement_id, id, text, heading, info and
+    interfaces (arrays of id and text) and images (array of path and format). Context without an id is named by its place;
+    images without a path are left out, but keep their number."""
+    no_text = F.lit("")
+    listed = lambda name, prefix: F.transform(
+        name, lambda x, i: F.struct(F.coalesce(x["id"], F.concat(F.lit(prefix), i)).alias("id"), F.coalesce(x["text"], no_text).alias("text"))
+    )
+    heading = F.coalesce("heading", F.lit("No Heading"))
+    retrieved = F.struct(F.struct(F.lit("HEADING").alias("id"), heading.alias("text")).alias("heading"), listed("info", "INFO_").alias("info_artifacts"), listed("interfaces", "IF_").alias("interfaces"))
+    named = F.transform("images", lambda x, i: F.struct(
+        F.concat(F.lit("IMG_"), i).alias("id"), x["path"].alias("path"), F.substring_index(x["path"], "/", -1).alias("filename"), F.upper(F.coalesce(x["format"], F.lit("unknown"))).alias("format")
+    ))
+    images = F.filter(named, lambda x: x["path"] != "")
+    nothing = F.array().cast("array<string>")
+    annotation = F.struct(nothing.alias("oracle_context"), nothing.alias("distractor_context"), no_text.alias("annotation_notes"), F.lit(None).cast("int").alias("quality_rating"))
+    rows = requirements.join(render_case_text(cases).withColumnRenamed("text", "generated_test_cases"), "requirement_id")
+    return rows.select(
+        "requirement_id", F.coalesce("id", F.lit("UNKNOWN")).alias("example_id"), F.coalesce("text", no_text).alias("requirement_text"), heading.alias("heading"),
+        retrieved.alias("retrieved_context"), images.alias("images"), (F.size(images) > 0).alias("has_images"), "generated_test_cases",
+        F.lit(model).alias("model_used"), annotation.alias("context_annotation"), F.lit("pending").alias("validation_status"),
+    )
+
+
 def items() -> Column:
     """array<struct<id, kind, text>>: the heading if it has text, information, interfaces."""
     item = lambda id_, kind, text: F.struct(id_.alias("id"), F.lit(kind).alias("kind"), text.alias("text"))

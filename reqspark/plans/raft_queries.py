@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import quality, raft
+from ..operators import context, quality, raft
 from ..sources import adapters
+from .context_queries import CARRIED
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,18 +44,52 @@ def _chat(spark, sf_dir):
     return raft.render_chat(_train(spark, sf_dir), F.lit("answer"))
 
 
-@query("i1_build_examples", f"{E} SELECT example_id, requirement_text, heading, array_to_string(infos, '|') AS infos, array_to_string(interfaces, '|') AS interfaces, array_to_string(oracle, ',') AS oracle, rating, status, len(images) AS n_images FROM examples")
-def i1(spark, sf_dir):
+@query("i1_example_columns", f"{E} SELECT example_id, requirement_text, heading, array_to_string(infos, '|') AS infos, array_to_string(interfaces, '|') AS interfaces, array_to_string(oracle, ',') AS oracle, rating, status, len(images) AS n_images FROM examples")
+def i1_columns(spark, sf_dir):
     rows = adapters.examples(spark, sf_dir)
     return rows.select("example_id", "requirement_text", "heading", F.array_join("infos", "|").alias("infos"), F.array_join("interfaces", "|").alias("interfaces"), F.array_join("oracle", ",").alias("oracle"), "rating", "status", F.size("images").cast("long").alias("n_images"))
 
 
-@query("i2_render_case_text", f"""WITH {adapters.CASES} SELECT requirement_id, string_agg('Test Case ' || idx || ': ' || summary || chr(10) || 'Action: ' || action || chr(10) || 'Data: ' || CASE WHEN trim(data) = '' THEN 'N/A' ELSE data END || chr(10) || 'Expected: ' || expected_result || chr(10), chr(10) ORDER BY idx) AS text FROM cases GROUP BY 1""")
+GENERATED = """texts AS (SELECT requirement_id, string_agg('Test Case ' || idx || ': ' || summary || chr(10) || 'Action: ' || action || chr(10) || 'Data: ' || CASE WHEN trim(data) = '' THEN 'N/A' ELSE data END || chr(10) || 'Expected: ' || expected_result || chr(10), chr(10) ORDER BY idx) AS text FROM cases GROUP BY 1)"""
+NO_IDS = CARRIED.replace("'ART_' || doc_id AS id", "CASE WHEN doc_id % 3 <> 0 THEN 'ART_' || doc_id END AS id")
+
+
+@query("i1_build_examples", f"""{NO_IDS}, {adapters.CASES}, {adapters.INTERFACES}, {GENERATED},
+placed AS (SELECT *, row_number() OVER (PARTITION BY source_file, segment ORDER BY seq) - 1 AS i FROM carried WHERE type = 'Information'),
+listed AS (SELECT source_file, segment, string_agg(coalesce(id, 'INFO_' || i) || ': ' || clean, chr(10) ORDER BY seq) AS infos FROM placed GROUP BY ALL),
+scopes AS (SELECT requirement_id, min(scope) AS scope FROM cases GROUP BY 1),
+ifs AS (SELECT scope, string_agg(CASE WHEN length(text) % 2 = 1 THEN id ELSE 'IF_' || i END || ': ' || text, chr(10) ORDER BY text) AS interfaces
+  FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY text) - 1 AS i FROM interfaces) GROUP BY 1),
+pics AS (SELECT *, ['IMG_' || i || ' ' || seq || '_' || i || '.png ' || CASE WHEN i % 2 = 0 THEN 'PNG' ELSE 'UNKNOWN' END for i in range(0, seq % 4) if (i + seq) % 3 <> 0] AS images FROM carried)
+SELECT c.seq AS requirement_id, coalesce(c.id, 'UNKNOWN') AS example_id, c.clean AS requirement_text, c.heading, 'HEADING: ' || c.heading AS heading_item, coalesce(l.infos, '') AS infos, ifs.interfaces,
+  array_to_string(c.images, ',') AS images, len(c.images) > 0 AS has_images, t.text AS generated, 'model' AS model_used, 0 AS n_annotated, '' AS notes, NULL::INT AS rating, 'pending' AS status
+FROM pics c JOIN texts t ON t.requirement_id = c.seq JOIN scopes s ON s.requirement_id = c.seq JOIN ifs ON ifs.scope = s.scope
+LEFT JOIN listed l ON l.source_file = c.source_file AND l.segment = c.segment WHERE c.type = 'System Requirement' AND c.clean <> ''""")
+def i1(spark, sf_dir):
+    cases, names = adapters.cases(spark, sf_dir), adapters.interfaces(spark, sf_dir)
+    scopes = cases.groupBy("requirement_id").agg(F.min("scope").alias("scope"))
+    by_scope = names.groupBy("scope").agg(F.sort_array(F.collect_list(F.struct("text", F.when(F.length("text") % 2 == 1, F.col("id")).alias("id")))).alias("interfaces"))
+    artifacts = adapters.artifacts(spark, sf_dir).withColumn("id", F.when(F.col("seq") % 3 != 0, F.col("id")))
+    rows = context.augment_requirements(artifacts).withColumn("requirement_id", F.col("seq")).join(scopes, "requirement_id").join(by_scope, "scope")
+    key = F.col("requirement_id")
+    image = lambda i: F.struct(
+        F.when((i + key) % 3 != 0, F.concat(F.lit("/images/"), key, F.lit("_"), i, F.lit(".png"))).alias("path"), F.when(i % 2 == 0, "png").alias("format")
+    )
+    images = F.when(key % 4 > 0, F.transform(F.sequence(F.lit(0), (key % 4 - 1).cast("int")), image)).otherwise(F.array().cast("array<struct<path:string,format:string>>"))
+    built = raft.build_examples(rows.withColumn("images", images), cases, "model")
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["id"], F.lit(": "), x["text"])), "\n")
+    head, note = F.col("retrieved_context.heading"), F.col("context_annotation")
+    return built.select(
+        "requirement_id", "example_id", "requirement_text", "heading", F.concat(head["id"], F.lit(": "), head["text"]).alias("heading_item"),
+        text("retrieved_context.info_artifacts").alias("infos"), text("retrieved_context.interfaces").alias("interfaces"),
+        F.array_join(F.transform("images", lambda x: F.concat_ws(" ", x["id"], x["filename"], x["format"])), ",").alias("images"), "has_images", F.col("generated_test_cases").alias("generated"), "model_used",
+        (F.size(note["oracle_context"]) + F.size(note["distractor_context"])).alias("n_annotated"), note["annotation_notes"].alias("notes"), note["quality_rating"].alias("rating"), F.col("validation_status").alias("status"),
+    )
+
+
+@query("i2_render_case_text", f"WITH {adapters.CASES}, {GENERATED} SELECT * FROM texts")
 def i2(spark, sf_dir):
-    data = F.when(F.trim("data") == "", "N/A").otherwise(F.col("data"))
-    text = F.concat(F.lit("Test Case "), "idx", F.lit(": "), "summary", F.lit("\nAction: "), "action", F.lit("\nData: "), data, F.lit("\nExpected: "), "expected_result", F.lit("\n"))
-    rows = adapters.cases(spark, sf_dir).select("requirement_id", "idx", text.alias("text")).groupBy("requirement_id").agg(F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("all"))
-    return rows.select("requirement_id", F.array_join(F.transform("all", lambda x: x["text"]), "\n").alias("text"))
+    return raft.render_case_text(adapters.cases(spark, sf_dir))
 
 
 @query("i3_collection_stats", f"""{E} SELECT count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'validated') AS validated, count(*) FILTER (status = 'rejected') AS rejected,
