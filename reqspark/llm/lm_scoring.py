@@ -11,7 +11,8 @@ and answer each block in the order asked. So a frequent word costs a task one nu
 weights need a histogram of at most some ten thousand cells (bucket and quantised odds) in the driver, however large the corpus.
 
 Defined cases: a null text is empty and has its end alone; a null doc_id counts as the text ""; rows that repeat a doc_id
-are scored row by row; without training tokens all known counts are 0 and the uniform part is all there is.
+are scored row by row; without training tokens all known counts are 0 and the uniform part is all there is; a text of more tokens
+than a block is in one block, whole; an empty table gives no row; other columns are not looked at.
 """
 
 from __future__ import annotations

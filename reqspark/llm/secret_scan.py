@@ -15,7 +15,9 @@ Formats (base spans): assign, access, hex. The battery looks at every other run
 
 DataFrame functions only. Two scans of the text, which is never shuffled; what is kept between is spans and tokens.
 
-Defined cases: a null text counts as empty; repeated doc_ids are scanned row by row; an empty table gives no row.
+Defined cases: a null text counts as empty; repeated doc_ids are scanned row by row; tokens of equal e-values are discovered
+together or not at all; a text is scanned whole, however long it is; an empty table gives no row; other columns are not looked
+at.
 """
 
 from __future__ import annotations
