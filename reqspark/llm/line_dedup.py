@@ -50,7 +50,7 @@ KEY_BITS = 25
 #: Lines that a task remembers to find equal ones.
 REMEMBERED = 1 << 21
 ROW = np.dtype([("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("pos", "<u4"), *((f"b{k}", "<u8") for k in range(4))])
-BY_BYTES = {"id", "size", "pos"}
+BY_BYTES = {"key", "id", "size", "pos"}
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 DOCUMENT = ["doc", "part"]
@@ -175,7 +175,8 @@ def ranks(counters: np.ndarray, rare: int) -> tuple[np.ndarray, int]:
 
 
 def prefix_keys(ids: np.ndarray, tokens: Tokens, order: np.ndarray, frequent_from: int, threshold: float) -> np.ndarray:
-    """ROWs of lines by their ids."""
+    """ROWs of lines by their ids. Keys have 48 bits, so that their differences are short when sorted; those that fall together only
+    cost comparisons. ``pos`` counts the tokens before that have no partner if what the key is made of is the first that two lines share."""
     line, sizes, hashes = tokens.line, tokens.sizes, tokens.hashes
     some = np.flatnonzero(sizes)
     starts = np.cumsum(sizes) - sizes
@@ -194,7 +195,7 @@ def prefix_keys(ids: np.ndarray, tokens: Tokens, order: np.ndarray, frequent_fro
     rare = np.flatnonzero(short & ((~often & (pos < size - need + 1)) | (size == 1)))  # of two rare tokens that lines share they meet under the first
     long = np.flatnonzero((size > LONG) & (pos < size - need + 1))
     frequent = np.flatnonzero(short & often & (size > 1))
-    keys, rows = [hashes[rare], hashes[long] * MIX], [rare, long]
+    keys, rows, before = [hashes[rare], hashes[long] * MIX], [rare, long], [pos[rare], pos[long]]
     step = 1
     while True:
         a, b = frequent[: len(frequent) - step], frequent[step:]
@@ -203,10 +204,11 @@ def prefix_keys(ids: np.ndarray, tokens: Tokens, order: np.ndarray, frequent_fro
             break
         keys.append((hashes[a[same]] * MIX) ^ hashes[b[same]])
         rows.append(a[same])
+        before.append(pos[b[same]] - 1)
         step += 1
     where = np.concatenate(rows)
     out = np.empty(len(where), ROW)
-    out["key"], out["id"], out["size"], out["pos"] = np.concatenate(keys), ids[line[where]], size[where], pos[where]
+    out["key"], out["id"], out["size"], out["pos"] = np.concatenate(keys) >> np.uint64(16), ids[line[where]], size[where], np.concatenate(before)
     for k in range(4):
         out[f"b{k}"] = bitmap[k][line[where]]
     return out
@@ -237,10 +239,10 @@ def passing(rows: np.ndarray, threshold: float, limit: int, open_ids: np.ndarray
         # by length
         ok = (size[other] >= least[todo]) & (size[todo] >= least[other]) & (ids[other] > floor[todo]) & (ids[todo] != ids[other])
         a, b = todo[ok], other[ok]
-        # by position in the order
+        # by position in the order: similar lines pass under the first that they share, so under others they needn't
         both = size[a] + size[b]
         need = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
-        ok = np.minimum(pos[a], pos[b]) + np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need
+        ok = np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need
         a, b, gap = a[ok], b[ok], (both - 2 * need)[ok]
         # by bitmap, folded to as many bits as the shorter line has
         d = [x[a] ^ x[b] for x in bitmap]
@@ -265,10 +267,11 @@ def passing(rows: np.ndarray, threshold: float, limit: int, open_ids: np.ndarray
 
 
 def _sealed(rows: np.ndarray) -> bytes:
-    """ROWs field by field, small numbers byte by byte, so that equal bytes come together, compressed."""
+    """ROWs, ascending by key, field by field: keys as differences, all but the bitmaps byte by byte, so that equal bytes come
+    together, compressed."""
     parts = []
     for name in ROW.names:
-        values = np.ascontiguousarray(rows[name])
+        values = np.diff(rows[name], prepend=np.uint64(0)) if name == "key" else np.ascontiguousarray(rows[name])
         parts.append((values.view(np.uint8).reshape(len(rows), -1).T if name in BY_BYTES else values).tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
@@ -281,7 +284,7 @@ def _opened(blob: bytes) -> np.ndarray:
         part = raw[at : at + size * len(out)]
         if name in BY_BYTES:
             part = np.ascontiguousarray(part.reshape(size, -1).T).reshape(-1)
-        out[name] = part.view(ROW[name])
+        out[name] = np.cumsum(part.view(ROW[name]), dtype=np.uint64) if name == "key" else part.view(ROW[name])
         at += size * len(out)
     return out
 
@@ -395,8 +398,8 @@ def _verified(found: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
 
 
 def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256, next_limit: int = 16) -> tuple[DataFrame, DataFrame]:
-    """All lines that have words (LINES, written), and the ids of those with words that have an earlier similar line; lines
-    without words repeat an equal one."""
+    """All lines that have words as (id, DOCUMENT, line, equal), written, and the ids of those that have an earlier similar line but
+    for those that are ``equal`` to one of the same task."""
     spark = docs.sparkSession
     ship(spark)
     written = materialise(_numbered_lines(docs), release=True)
@@ -406,6 +409,8 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256,
     equal = materialise(some.select("id", "print").join(later, "print").where("id <> first").select("id"), release=True)
     lines = materialise(some.select("id", "words").join(equal, "id", "left_anti"), release=True)
     order, frequent_from = ranks(_counters(written), rare)
+    places = materialise(written.where("id IS NOT NULL").select("id", *DOCUMENT, "line", F.col("words").isNull().alias("equal")))
+    discard(written)  # its words are in lines
     order = spark.sparkContext.broadcast(order)  # a byte a counter
     # about eight keys a line
     dealt = max(spark.sparkContext.defaultParallelism, -(-8 * lines.count() // DEAL))
@@ -431,7 +436,7 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256,
     discard(still, lines, *[blocks] * (blocks is not None))
     gone, old = materialise(gone.union(equal)), gone
     discard(old, equal)
-    return written, gone
+    return places, gone
 
 
 def _without(text: Column, removed: Column) -> Column:
@@ -447,12 +452,11 @@ def _without(text: Column, removed: Column) -> Column:
 
 def drop_repeated_lines(docs: DataFrame, **how) -> DataFrame:
     """row (the row of docs), doc_id, text (of the lines that stay), n_lines, n_removed."""
-    lines, gone = repeated_lines(docs, **how)
-    places = lines.where("id IS NOT NULL").select("id", *DOCUMENT, "line", F.col("words").isNull().alias("equal"))
+    places, gone = repeated_lines(docs, **how)
     gone_places = places.where("NOT equal").join(gone, "id", "left_semi").union(places.where("equal"))
     removed = gone_places.groupBy(*(F.col(k).alias(f"of_{k}") for k in DOCUMENT)).agg(F.array_sort(F.collect_list("line")).alias("removed"))
     removed = materialise(removed, release=True)
-    discard(lines, gone)
+    discard(places, gone)
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.col("text").cast("string").alias("text"), *document())
     rows = rows.join(removed, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in DOCUMENT], "left")
     rows = rows.withColumn("left", F.when(F.col("removed").isNotNull(), _without(F.col("text"), F.col("removed"))))
