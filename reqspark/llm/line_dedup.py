@@ -45,7 +45,7 @@ BUCKETS, PIECES = 1 << 20, 16
 SHORT, MIDDLE, LONG = 64, 160, 400
 #: Bytes of text that are cut at once, rows of keys that travel in a block, and rows of a deal.
 SLICE, BLOCK, DEAL = 1 << 21, 1 << 19, 1 << 18
-#: Bits of the bitmap of keys that open lines ask for.
+#: Bits of the bitmaps of keys that open lines ask for and of lines that are in pairs.
 KEY_BITS = 25
 #: Lines that a task remembers to find equal ones.
 REMEMBERED = 1 << 21
@@ -339,7 +339,11 @@ def _wanted(asking: DataFrame) -> np.ndarray:
                 bits = np.unique(_bits(_opened(blob.as_py())["key"]))
                 yield pa.RecordBatch.from_arrays([pa.array(bits + 1)], ["bit"])
 
-    bits = asking.select("rows").mapInArrow(run, "bit long")
+    return _collected(asking.select("rows").mapInArrow(run, "bit long"))
+
+
+def _collected(bits: DataFrame) -> np.ndarray:
+    """The bitmap of the bits (from 1) in ``bit``."""
     pieces = bits.groupBy(F.bitmap_bucket_number("bit").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     out = np.zeros(1 << (KEY_BITS - 3), np.uint8)
     for r in pieces.collect():
@@ -386,15 +390,32 @@ def _candidates(blocks: DataFrame, threshold: float, limit: int, dealt: int, ope
     return materialise(found, release=True)
 
 
+def _lines_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines of pairs, written, and some others: a bitmap of fixed size tells before any words are shuffled."""
+    every = pairs.select(F.explode(F.array("later", "earlier")).alias("id"))
+    bit = F.pmod(F.xxhash64("id"), F.lit(1 << KEY_BITS)) + 1
+    bits = pairs.sparkSession.sparkContext.broadcast(_collected(every.select(bit.alias("bit"))))
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(2).to_numpy() - 1
+            yield batch.filter(pa.array(bits.value[at >> 3] >> (at & 7) & 1 == 1)).select(["id", "words"])
+
+    return materialise(lines.select("id", "words", bit.alias("bit")).mapInArrow(run, "id long, words string"), release=True)
+
+
 def _verified(found: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """(id), written: the later lines of pairs whose words are as similar as asked."""
     pairs = found.select("later", "earlier").distinct()
-    side = lambda name: lines.select(F.col("id").alias(name), F.col("words").alias(f"{name}_words"))
+    some = _lines_of(pairs, lines)
+    side = lambda name: some.select(F.col("id").alias(name), F.col("words").alias(f"{name}_words"))
     both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
     parted = both.select("later", F.array_distinct(F.split("later_words", " ")).alias("a"), F.array_distinct(F.split("earlier_words", " ")).alias("b"))
     sized = parted.select("later", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("both"))
     good = sized.where(f"common >= {threshold} * (both - common) - 1e-9")
-    return materialise(good.select(F.col("later").alias("id")).distinct(), release=True)
+    out = materialise(good.select(F.col("later").alias("id")).distinct(), release=True)
+    discard(some)
+    return out
 
 
 def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256, next_limit: int = 16) -> tuple[DataFrame, DataFrame]:
