@@ -32,6 +32,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE, -1), "")
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case, all else as it is; texts of ASCII alone take the fast way."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with value evaluated once for a row, also where body uses it inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

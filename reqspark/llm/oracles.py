@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .common import LOWER, UPPER
 from .quality_rules import CLASSES, COMMON_WORDS
 
 VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
@@ -49,4 +50,25 @@ o AS (SELECT doc_id, len(words) AS n_words, length(word_text) AS word_chars, len
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM o)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (dc > 0.32 OR dw > 0.45 OR dc + dw > 0.52) AS kept FROM f"""
 
-ORACLES = {"op1_vectors": VECTORS, "op10_quality_rules": QUALITY}
+_word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_split = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_word}')"
+
+DECONTAMINATION = f"""WITH i AS (SELECT item_id::VARCHAR AS item_id, {_split} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[k:k + 9], ' ') AS win FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_split} AS w FROM documents),
+places AS (SELECT doc_id, m, p, array_to_string(w[p:p + m - 1], ' ') AS win FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m)),
+hit AS (SELECT * FROM places SEMI JOIN win USING (win, m)),
+cover AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, p + m)) AS x FROM hit) GROUP BY 1),
+held AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM hit JOIN win USING (win, m) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n IS NOT NULL AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN held USING (doc_id)"""
+
+NEGATIVES = """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS q FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_sum([a.q[i] * b.q[i] for i in range(1, len(a.q) + 1)])::BIGINT AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5"""
+
+ORACLES = {"op1_vectors": VECTORS, "op10_quality_rules": QUALITY, "op12_decontamination": DECONTAMINATION, "op13_hard_negatives": NEGATIVES}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import op12_decontamination
+from .hard_negatives import op13_hard_negatives
 from .line_dedup import op6_line_dedup
 from .lm_scoring import op3_lm_scoring
 from .mixing import op5_mixing
@@ -11,6 +13,7 @@ from .pii import op7_pii
 from .quality_rules import op10_quality_rules
 from .secret_scan import op4_secret_scan
 from .simhash import op9_simhash
+from .spelling import op11_spelling
 from .token_files import op2_token_files
 from .vectors import op1_vectors
 
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling": op11_spelling,
+    "op12_decontamination": op12_decontamination,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
