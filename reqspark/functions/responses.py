@@ -62,3 +62,12 @@ def confidence(logprobs: Column) -> Column:
     """exp of the mean log probability; null without any."""
     total = F.aggregate(logprobs, F.lit(0.0), lambda s, x: s + x)
     return F.when(F.size(logprobs) > 0, F.exp(total / F.size(logprobs)))
+
+
+def logprobs_of(written: Column) -> Column:
+    """Log probabilities as a model wrote them in JSON: a list of numbers, a list of objects with logprob, or an object with
+    token_logprobs. What is neither is left out; null if there is no such list."""
+    value = F.try_parse_json(written)
+    one = lambda x: F.coalesce(F.try_variant_get(x, "$.logprob", "double"), F.when(F.schema_of_variant(x).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(x, "$", "double")))
+    listed = F.array_compact(F.transform(F.try_variant_get(value, "$", "array<variant>"), one))
+    return F.coalesce(listed, F.try_variant_get(value, "$.token_logprobs", "array<double>"))

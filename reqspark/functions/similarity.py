@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,26 +21,45 @@ def ratio(a: Column, b: Column) -> Column:
     return each(a, b)
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """The length of the longest common subsequence: a bit for each character of a, all of which one step moves at once."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    full = open_ = (1 << len(a)) - 1
+    for c in b:
+        met = open_ & places.get(c, 0)
+        open_ = ((open_ + met) | (open_ - met)) & full
+    return len(a) - open_.bit_count()
+
+
+@lru_cache(1 << 18)
+def _at_most(a: str, b: str) -> float:
+    """No ratio is above it: difflib's blocks stand in the same order in both texts."""
+    return 2.0 * common_subsequence(a, b) / (len(a) + len(b))
+
+
+@lru_cache(1 << 18)
+def _ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
 def mean_similarity(pairs: list[tuple[Column, Column]], least: float) -> Column:
     """The mean over pairs of fields: 1 if both are equal, 0 if one is empty, else difflib's ratio. Null if it is below least, which
-    cheap bounds tell of most pairs. Equal comparisons of a batch are made once."""
+    common subsequences tell of most pairs. A worker remembers comparisons that it has made lately."""
 
     @F.pandas_udf(DoubleType())
     def each(*fields: pd.Series) -> pd.Series:
-        n, known, out = len(fields) // 2, {}, []
+        n, out = len(fields) // 2, []
         for values in zip(*fields):
             ends = list(zip(values[::2], values[1::2]))
-            scores = [1.0 if a == b or a and b else 0.0 for a, b in ends]  # at most
-            for k, pair in enumerate(ends):
-                if pair[0] == pair[1] or not scores[k]:
-                    continue
-                if pair not in known:
-                    matcher = SequenceMatcher(None, *pair)
-                    if sum(scores) - 1 + matcher.quick_ratio() < least * n - 1e-9:
-                        scores[k] = matcher.quick_ratio()
+            scores = [1.0 if a == b else 0.0 if not a or not b else None for a, b in ends]
+            open_ = [k for k, s in enumerate(scores) if s is None]
+            for of in (_at_most, _ratio):
+                for k in open_:
+                    scores[k] = of(*ends[k])
+                    if of is _ratio and sum(scores) < least * n - 1e-9:
                         break
-                    known[pair] = matcher.ratio()
-                scores[k] = known[pair]
                 if sum(scores) < least * n - 1e-9:
                     break
             mean = sum(scores) / n

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import bound, field_bound, mean_similarity, normal, ratio
+from ..functions.similarity import field_bound, mean_similarity, normal
+from .corpus_dedup import near_classes
 
 FIELDS = ("action", "data", "expected_result")
 
@@ -79,16 +80,6 @@ def number_cases(cases: DataFrame) -> DataFrame:
     return cases.withColumn("test_id", F.format_string("%s_TC_%03d", F.col("requirement_id").cast("string"), place))
 
 
-def corpus_near_dups(cases: DataFrame, threshold: float = 0.85, fields: tuple[str, ...] = FIELDS, tables: int = 8) -> DataFrame:
-    """text_a, text_b, similarity: different texts (fields joined) anywhere in the corpus that are near copies. Candidates share a
-    MinHash of their words; difflib decides. Equal texts meet as one, so copies make no pairs."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
-    text = F.concat_ws(" | ", *(normal(F.col(f)) for f in fields))
-    texts = cases.select(text.alias("text")).where("text <> ''").distinct()
-    words = texts.select("text", F.array_distinct(F.split("text", r"\s+")).alias("words"))
-    hashed = HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 18, binary=True).transform(words).select("text", "features")
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=7).fit(hashed)
-    pairs = model.approxSimilarityJoin(hashed, hashed, 0.5).select(F.col("datasetA.text").alias("text_a"), F.col("datasetB.text").alias("text_b")).where("text_a < text_b")
-    pairs = pairs.where(bound(F.col("text_a"), F.col("text_b")) >= threshold)
-    return pairs.withColumn("similarity", ratio(F.col("text_a"), F.col("text_b"))).where(F.col("similarity") >= threshold)
+def corpus_near_dups(cases: DataFrame, threshold: float = 0.85, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """text (fields joined), copies, class_text, class_size: classes of near copies anywhere in the corpus, one row a different text."""
+    return near_classes(cases.select(F.concat_ws(" | ", *(normal(F.col(f)) for f in fields)).alias("text")), threshold)

@@ -54,25 +54,100 @@ def image_format(name: Column, content: Column) -> Column:
     return F.coalesce(by_name, magic, F.lit("unknown"))
 
 
-def _number(content: Column, start: int, length: int, little: bool) -> Column:
-    parts = [F.hex(F.substring(content, start + k, 1)) for k in range(length)]
-    return F.conv(F.concat(*(reversed(parts) if little else parts)), 16, 10).cast("int")
+def _number(content: Column, start: int | Column, length: int, little: bool | Column) -> Column:
+    """The unsigned integer of length bytes from start (from 1); null beyond the end."""
+    parts = [F.hex(F.substring(content, F.lit(start) + k, F.lit(1))) for k in range(length)]
+    order = lambda p: F.conv(F.concat(*p), 16, 10).cast("int")
+    value = F.when(little, order(parts[::-1])).otherwise(order(parts)) if isinstance(little, Column) else order(parts[::-1] if little else parts)
+    return F.when(F.octet_length(content) >= F.lit(start) + (length - 1), value)
+
+
+SIZE = "struct<at:int,width:int,height:int>"
+
+
+def _jpeg_size(content: Column) -> Column:
+    """Width and height of the frame header that the chain of segments leads to; each segment tells where the next one starts."""
+    # each step passes a byte FF, so there are no more steps than those
+    steps = F.floor((F.length(F.hex(content)) - F.length(F.replace(F.hex(content), F.lit("FF"), F.lit("")))) / 2)
+    pair = lambda at: F.hex(F.substring(content, at, F.lit(2)))
+
+    def step(s: Column, _: Column) -> Column:
+        at, mark = s["at"], pair(s["at"])
+        to = lambda where, width=F.lit(None).cast("int"), height=F.lit(None).cast("int"): F.struct(where.cast("int").alias("at"), width.alias("width"), height.alias("height"))
+        frame = mark.rlike("^FFC[0-35-79A-BD-F]$")
+        size = _number(content, at + 2, 2, False)
+        return (
+            F.when(at.isNull(), s).when(frame, to(F.lit(None), _number(content, at + 7, 2, False), _number(content, at + 5, 2, False)))
+            .when(mark == "FFFF", to(at + 1)).when(mark.rlike("^FF(01|D[0-8])$"), to(at + 2)).when(mark.rlike("^FF[^0]") & (size >= 2), to(at + 2 + size)).otherwise(to(F.lit(None)))
+        )
+
+    start = F.struct(F.lit(3).alias("at"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), steps.cast("int"))), start.cast(SIZE), lambda s, x: step(s, x).cast(SIZE))
+
+
+def _tiff_size(content: Column) -> Column:
+    """Width and height among the entries of the first directory."""
+    little = F.hex(F.substring(content, 1, 2)) == "4949"
+    first = _number(content, 5, 4, little) + 1
+    n = _number(content, first, 2, little)
+    entry = lambda k: first + 2 + 12 * k
+    # short values stand in the first two bytes of their field
+    value = lambda k: F.when(_number(content, entry(k) + 2, 2, little) == 3, _number(content, entry(k) + 8, 2, little)).otherwise(_number(content, entry(k) + 8, 4, little))
+    every = F.when(n > 0, F.sequence(F.lit(0), n - 1))
+    of = lambda tag: F.get(F.transform(F.filter(every, lambda k: _number(content, entry(k), 2, little) == tag), value), F.lit(0))
+    return F.struct(F.lit(None).cast("int").alias("at"), of(256).alias("width"), of(257).alias("height"))
+
+
+def _webp_size(content: Column) -> Column:
+    """Lossy, lossless and extended forms."""
+    form = F.decode(F.substring(content, 13, 4), "ISO-8859-1")
+    bits = _number(content, 22, 4, True).cast("long")
+    raw = F.conv(F.concat(*(F.hex(F.substring(content, 25 - k, 1)) for k in range(4))), 16, 10).cast("long")
+    width = F.when(form == "VP8 ", _number(content, 27, 2, True).bitwiseAND(0x3FFF)).when(form == "VP8L", (raw.bitwiseAND(0x3FFF) + 1).cast("int")).when(form == "VP8X", _number(content, 25, 3, True) + 1)
+    height = F.when(form == "VP8 ", _number(content, 29, 2, True).bitwiseAND(0x3FFF)).when(form == "VP8L", (F.shiftright(raw, 14).bitwiseAND(0x3FFF) + 1).cast("int")).when(form == "VP8X", _number(content, 28, 3, True) + 1)
+    return F.struct(F.lit(None).cast("int").alias("at"), width.alias("width"), height.alias("height"))
+
+
+def image_size(content: Column) -> Column:
+    """width and height by what the bytes are (PNG, GIF, BMP, JPEG, TIFF, WebP), null where they can't be read."""
+    head = F.hex(F.substring(content, 1, 12))
+    fixed = lambda at, n, step, little: F.struct(F.lit(None).cast("int").alias("at"), _number(content, at, n, little).alias("width"), _number(content, at + step, n, little).alias("height"))
+    found = (
+        F.when(head.startswith("89504E470D0A1A0A"), fixed(17, 4, 4, False)).when(head.rlike("^474946383[79]61"), fixed(7, 2, 2, True)).when(head.startswith("424D"), fixed(19, 4, 4, True))
+        .when(head.startswith("FFD8FF"), _jpeg_size(content)).when(head.rlike("^(49492A00|4D4D002A)"), _tiff_size(content)).when(head.rlike("^52494646.{8}57454250"), _webp_size(content))
+    )
+    return found.cast(SIZE)
 
 
 def image_checks(rows: DataFrame) -> DataFrame:
-    """Adds width, height (from PNG, GIF and BMP headers) and warnings to rows with format and content."""
-    size = lambda at, n, step, little: (_number(F.col("content"), at, n, little), _number(F.col("content"), at + step, n, little))
-    png, gif, bmp = size(17, 4, 4, False), size(7, 2, 2, True), size(19, 4, 4, True)
-    pick = lambda k: F.when(F.col("format") == "png", png[k]).when(F.col("format") == "gif", gif[k]).when(F.col("format") == "bmp", bmp[k])
-    rows = rows.withColumns({"width": pick(0), "height": pick(1)})
+    """Adds width, height, warnings, and error (unreadable if the bytes tell no size) to rows with content."""
+    rows = rows.withColumn("size_", image_size(F.col("content")))
+    whole = F.col("size_.width").isNotNull() & F.col("size_.height").isNotNull()
+    rows = rows.withColumns({"width": F.when(whole, F.col("size_.width")), "height": F.when(whole, F.col("size_.height"))}).drop("size_")
     long, short = F.greatest("width", "height"), F.least("width", "height")
     warnings = F.array_compact(
         F.array(
-            F.when(long > 4096, "larger than 4096 pixels"), F.when(short < 32, "smaller than 32 pixels"), F.when(long > 10 * short, "aspect ratio above 10"),
+            F.when(long > 4096, "larger than 4096 pixels"), F.when(short < 32, "smaller than 32 pixels"), F.when(long > 10 * F.greatest(short, F.lit(1)), "aspect ratio above 10"),
             F.when(F.octet_length("content") > 10 * 1024 * 1024, "larger than 10 MB"),
         )
     )
-    return rows.withColumn("warnings", warnings)
+    return rows.withColumn("warnings", warnings).withColumn("error", F.when(F.col("width").isNull(), "unreadable"))
+
+
+def image_report(attached: DataFrame, embedded: DataFrame, objects: DataFrame) -> DataFrame:
+    """source_file, total, external, embedded (in texts, and objects), saved, failed: attached images have source_file and content,
+    embedded ones source_file and error, objects source_file. What has bytes is saved, what can't be decoded has failed."""
+    one = lambda rows, kind, saved, failed: rows.select("source_file", F.lit(kind).alias("kind"), saved.alias("saved"), failed.alias("failed"))
+    no, has = F.lit(False), F.col("content").isNotNull()
+    rows = one(attached, "external", has, ~has).union(one(embedded, "embedded", F.col("error").isNull(), F.col("error").isNotNull())).union(one(objects, "embedded", no, no))
+    of = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
+    return rows.groupBy("source_file").agg(F.count("*").alias("total"), of("external"), of("embedded"), F.count_if("saved").alias("saved"), F.count_if("failed").alias("failed"))
+
+
+def route_model(images: Column, vision: bool | Column = True) -> Column:
+    """vision for a requirement with an image whose bytes are saved (images have saved_path), if vision is enabled; else text."""
+    saved = F.exists(images, lambda x: F.coalesce(x["saved_path"], F.lit("")) != "")
+    return F.when(F.coalesce(saved, F.lit(False)) & vision, "vision").otherwise("text")
 
 
 def link_images(artifacts: DataFrame, images: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ status, images. All jobs on one example are column expressions: no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Texts of chat rows.
 SYSTEM = (
     "You are an expert automotive test case generator with vision capabilities. "
     "Analyze both text context and diagrams to generate comprehensive test cases. "
@@ -103,17 +104,25 @@ def _doc(x: Column) -> Column:
 
 
 def training_rows(examples: DataFrame, distractors: Column | None = None) -> DataFrame:
-    """example_id, question, oracle_context, distractor_context, oracle_images, distractor_images, has_images; without given
-    distractor ids all items that are not oracle are."""
+    """example_id, question, oracle_context, distractor_context, oracle_images, distractor_images, has_images, answer, metadata; without
+    given distractor ids all items that are not oracle are. The answer is generated_test_cases; it, annotation_notes and model_used
+    are empty where examples lack the column."""
+    given = lambda c, otherwise=None: F.col(c) if c in examples.columns else F.lit(otherwise).cast("string")
     is_oracle = lambda x: F.array_contains("oracle", x["id"])
     is_other = (lambda x: ~is_oracle(x)) if distractors is None else (lambda x: ~is_oracle(x) & F.array_contains(distractors, x["id"]))
     of = lambda keep: F.transform(F.filter(items(), keep), _doc)
     relevance = lambda x: F.coalesce(x["relevance"], F.lit("oracle"))
+    oracle_images = F.filter("images", lambda x: relevance(x) == "oracle")
+    distractor_images = F.filter("images", lambda x: relevance(x) == "distractor")
+    metadata = F.struct(
+        F.col("example_id").alias("requirement_id"), F.col("rating").alias("quality_rating"), F.coalesce(given("annotation_notes"), F.lit("")).alias("annotation_notes"),
+        given("model_used").alias("original_model"), (F.size(oracle_images) + F.size(distractor_images)).alias("image_count"), F.size(oracle_images).alias("oracle_image_count"),
+    )
     question = F.concat(F.lit("Generate comprehensive test cases for requirement "), F.col("example_id").cast("string"), F.lit(": "), F.col("requirement_text"))
     return examples.select(
         "example_id", question.alias("question"), of(is_oracle).alias("oracle_context"), of(is_other).alias("distractor_context"),
-        F.filter("images", lambda x: relevance(x) == "oracle").alias("oracle_images"), F.filter("images", lambda x: relevance(x) == "distractor").alias("distractor_images"),
-        (F.size("images") > 0).alias("has_images"), "rating",
+        oracle_images.alias("oracle_images"), distractor_images.alias("distractor_images"), (F.size("images") > 0).alias("has_images"), "rating",
+        F.coalesce(given("generated_test_cases"), F.lit("")).alias("answer"), metadata.alias("metadata"),
     )
 
 
@@ -131,11 +140,16 @@ def user_message() -> Column:
     )
 
 
-def render_chat(rows: DataFrame, answer: Column) -> DataFrame:
-    """example_id, messages (system, user, assistant), metadata of training rows."""
-    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    meta = F.struct("rating", (F.size("oracle_images") + F.size("distractor_images")).alias("image_count"), F.size("oracle_images").alias("oracle_image_count"))
-    return rows.select("example_id", F.array(message("system", F.lit(SYSTEM)), message("user", user_message()), message("assistant", answer)).alias("messages"), meta.alias("metadata"))
+def render_chat(rows: DataFrame) -> DataFrame:
+    """example_id, messages (system, user, assistant), metadata of training rows. The user's message has the images: the base64 of
+    relevant ones that have it."""
+    kind = "array<string>"
+    has_bytes = "base64" in rows.schema["oracle_images"].dataType.elementType.names
+    pictures = F.array_compact(F.transform("oracle_images", lambda x: x["base64"])) if has_bytes else F.array().cast(kind)
+    pictures = F.when(F.size("oracle_images") > 0, pictures)
+    message = lambda role, text, images=F.lit(None).cast(kind): F.struct(F.lit(role).alias("role"), text.alias("content"), images.alias("images"))
+    messages = F.array(message("system", F.lit(SYSTEM)), message("user", user_message(), pictures), message("assistant", F.col("answer")))
+    return rows.select("example_id", messages.alias("messages"), "metadata")
 
 
 def dataset_stats(chat: DataFrame) -> DataFrame:
@@ -163,3 +177,25 @@ def validate_chat(chat: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.avg(F.when(other, _count(after, "- "))), F.lit(0.0)), 6).alias("avg_distractor_docs"),
         F.count_if(F.coalesce(F.size("messages"), F.lit(0)) != 3).alias("issues"),
     )
+
+
+def chat_issues(lines: DataFrame) -> DataFrame:
+    """file, number, issue: what is wrong with which row of chat files, rows counted from 0 within a file. lines are those of
+    spark.read.text over the files.
+
+    No task sees a whole file: rows are numbered within the pieces in which files are read, and one row a piece tells how many rows
+    precede it. Only rows with an issue are joined."""
+    piece = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    rows = lines.select(*piece, F.monotonically_increasing_id().alias("at"), "value")
+    pieces = rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    messages = F.try_variant_get(F.try_parse_json("value"), "$.messages", "array<variant>")
+    n = F.size(messages)
+    issue = (
+        F.when(F.try_parse_json("value").isNull(), "not JSON").when(F.try_variant_get(F.try_parse_json("value"), "$.messages", "variant").isNull(), "Missing 'messages' field")
+        .when(messages.isNull(), "'messages' is no list").when(n != 3, F.concat(F.lit("Expected 3 messages, got "), n))
+    )
+    found = rows.select("file", "start", "at", issue.alias("issue")).where("issue IS NOT NULL").join(pieces, ["file", "start"])
+    number = F.col("before") + F.col("at") - F.col("first")
+    return found.select("file", number.alias("number"), F.concat(F.lit("Example "), number, F.lit(": "), "issue").alias("issue"))

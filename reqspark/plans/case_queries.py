@@ -52,9 +52,14 @@ def b12(spark, sf_dir):
     return _parsed(spark, sf_dir).groupBy(R.triage(F.col("response"), F.col("parsed")).alias("error_type")).agg(F.count("*").alias("n"))
 
 
-@query("b13_confidence", f"{C} SELECT requirement_id, round(exp(avg(-idx / 10.0)), 6) AS confidence FROM cases GROUP BY 1")
+@query("b13_confidence", f"{C} SELECT requirement_id, CASE WHEN requirement_id % 4 < 3 THEN round(exp(avg(-idx / 10.0)), 6) END AS confidence FROM cases GROUP BY 1")
 def b13(spark, sf_dir):
-    return adapters.responses(spark, sf_dir).select("requirement_id", F.round(R.confidence(F.col("logprobs")), 6).alias("confidence"))
+    """Log probabilities in the three shapes that models write, or none."""
+    key = F.col("requirement_id") % 4
+    objects = F.transform("logprobs", lambda x: F.struct(F.lit("t").alias("token"), x.alias("logprob")))
+    shape = F.when(key == 0, F.to_json("logprobs")).when(key == 1, F.to_json(objects)).when(key == 2, F.to_json(F.struct(F.col("logprobs").alias("token_logprobs")))).otherwise('{"other": []}')
+    rows = adapters.responses(spark, sf_dir).select("requirement_id", R.logprobs_of(shape).alias("logprobs"))
+    return rows.select("requirement_id", F.round(R.confidence(F.col("logprobs")), 6).alias("confidence"))
 
 
 def _both(spark, sf_dir):
@@ -127,8 +132,13 @@ def g5(spark, sf_dir):
 
 @query("g6_corpus_near_dups")
 def g6(spark, sf_dir):
+    return dedup.corpus_near_dups(adapters.cases(spark, sf_dir))
+
+
+@query("g6_turn_near_dups")
+def g6_turns(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return dedup.corpus_near_dups(turns.select(F.col("text").alias("action"), F.lit("").alias("data"), F.lit("").alias("expected_result")))
+    return dedup.corpus_near_dups(turns, fields=("text",))
 
 
 SAME = f"""{C}, grouped AS (SELECT *, min(idx) OVER (PARTITION BY requirement_id, trim(lower(action)), trim(lower(data)), trim(lower(expected_result))) AS anchor FROM cases)"""

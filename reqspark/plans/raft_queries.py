@@ -30,18 +30,24 @@ TRAIN = f"""{ITEMS}, kept AS (SELECT * FROM examples WHERE len(oracle) > 0 AND N
 docs AS (SELECT example_id, list_contains(oracle, id) AS o, (CASE kind WHEN 'Interface' THEN 'Interface ' || id ELSE kind END) || ': ' || text AS doc, g, i FROM items),
 ctx AS (SELECT example_id, coalesce(list(doc ORDER BY g, i) FILTER (o), []) AS oc, coalesce(list(doc ORDER BY g, i) FILTER (NOT o), []) AS dc FROM docs GROUP BY 1),
 train AS (SELECT k.example_id, 'Generate comprehensive test cases for requirement ' || k.example_id || ': ' || requirement_text AS question, coalesce(oc, []) AS oc, coalesce(dc, []) AS dc,
-  len([x for x in images if coalesce(x.relevance, 'oracle') = 'oracle']) AS n_o, len([x for x in images if x.relevance = 'distractor']) AS n_d, len(images) > 0 AS has_images, rating FROM kept k LEFT JOIN ctx USING (example_id)),
+  len([x for x in images if coalesce(x.relevance, 'oracle') = 'oracle']) AS n_o, len([x for x in images if x.relevance = 'distractor']) AS n_d, len(images) > 0 AS has_images, images, rating, 'Test Case 1: ' || requirement_text AS answer FROM kept k LEFT JOIN ctx USING (example_id)),
 chat AS (SELECT *, 'Relevant Context:' || chr(10) || array_to_string(['- ' || x for x in oc], chr(10)) || CASE WHEN len(dc) > 0 THEN chr(10) || chr(10) || 'Additional Context (may not be relevant):' || chr(10) || array_to_string(['- ' || x for x in dc], chr(10)) ELSE '' END
   || CASE WHEN n_o > 0 THEN chr(10) || chr(10) || 'Relevant Diagrams: ' || n_o || ' diagram(s) provided. {raft.DIAGRAMS}' ELSE '' END
   || CASE WHEN n_d > 0 THEN chr(10) || chr(10) || 'Additional Diagrams (may not be relevant): ' || n_d || ' diagram(s).' ELSE '' END || chr(10) || chr(10) || question AS content FROM train)"""
 
 
 def _train(spark, sf_dir):
-    return raft.training_rows(raft.filter_training(adapters.examples(spark, sf_dir)))
+    key = F.col("example_id")
+    body = lambda x: F.when(x["format"] != "SVG", F.base64(F.encode(F.concat(x["format"], x["size_bytes"]), "UTF-8")))
+    rows = raft.filter_training(adapters.examples(spark, sf_dir)).withColumns({
+        "images": F.transform("images", lambda x: x.withField("base64", body(x))), "generated_test_cases": F.concat(F.lit("Test Case 1: "), "requirement_text"),
+        "model_used": F.concat(F.lit("model-"), key % 3), "annotation_notes": F.when(key % 4 > 0, F.concat(F.lit("note "), key)),
+    })
+    return raft.training_rows(rows)
 
 
 def _chat(spark, sf_dir):
-    return raft.render_chat(_train(spark, sf_dir), F.lit("answer"))
+    return raft.render_chat(_train(spark, sf_dir))
 
 
 @query("i1_example_columns", f"{E} SELECT example_id, requirement_text, heading, array_to_string(infos, '|') AS infos, array_to_string(interfaces, '|') AS interfaces, array_to_string(oracle, ',') AS oracle, rating, status, len(images) AS n_images FROM examples")
@@ -138,14 +144,26 @@ def i10(spark, sf_dir):
     return _train(spark, sf_dir).select("example_id", F.size("oracle_images").cast("long").alias("oracle_images"), F.size("distractor_images").cast("long").alias("distractor_images"))
 
 
-@query("i11_training_rows", f"{TRAIN} SELECT example_id, question, len(oc) AS n_oracle, len(dc) AS n_distractor, has_images, rating FROM train")
+NOTES = "CASE WHEN example_id % 4 > 0 THEN 'note ' || example_id ELSE '' END"
+META = f"concat_ws('|', example_id::VARCHAR, coalesce(rating::VARCHAR, '-'), {NOTES}, 'model-' || (example_id % 3), (n_o + n_d)::VARCHAR, n_o::VARCHAR)"
+
+
+def _meta():
+    m = F.col("metadata")
+    return F.concat_ws("|", m["requirement_id"], F.coalesce(m["quality_rating"].cast("string"), F.lit("-")), m["annotation_notes"], m["original_model"], m["image_count"], m["oracle_image_count"])
+
+
+@query("i11_training_rows", f"{TRAIN} SELECT example_id, question, len(oc) AS n_oracle, len(dc) AS n_distractor, has_images, rating, answer, {META} AS metadata FROM train")
 def i11(spark, sf_dir):
-    return _train(spark, sf_dir).select("example_id", "question", F.size("oracle_context").cast("long").alias("n_oracle"), F.size("distractor_context").cast("long").alias("n_distractor"), "has_images", "rating")
+    return _train(spark, sf_dir).select("example_id", "question", F.size("oracle_context").cast("long").alias("n_oracle"), F.size("distractor_context").cast("long").alias("n_distractor"), "has_images", "rating", "answer", _meta().alias("metadata"))
 
 
-@query("i12_render_chat", f"{TRAIN} SELECT example_id, content FROM chat")
+@query("i12_render_chat", f"""{TRAIN} SELECT example_id, '{raft.SYSTEM}' AS system, content, answer AS assistant, {META} AS metadata, CASE WHEN n_o > 0 THEN
+array_to_string([to_base64(encode(x.format || x.size_bytes)) for x in images if coalesce(x.relevance, 'oracle') = 'oracle' and x.format <> 'SVG'], ',') ELSE 'none' END AS images FROM chat""")
 def i12(spark, sf_dir):
-    return _chat(spark, sf_dir).select("example_id", F.get("messages", F.lit(1))["content"].alias("content"))
+    said = lambda k, part: F.get("messages", F.lit(k))[part]
+    pictures = F.coalesce(F.array_join(said(1, "images"), ","), F.lit("none"))
+    return _chat(spark, sf_dir).select("example_id", said(0, "content").alias("system"), said(1, "content").alias("content"), said(2, "content").alias("assistant"), _meta().alias("metadata"), pictures.alias("images"))
 
 
 @query("i13_dataset_stats", f"""{TRAIN} SELECT count(*) AS total, count(*) FILTER (n_o + n_d > 0) AS vision, count(*) FILTER (n_o + n_d = 0) AS text_only, round(count(*) FILTER (n_o + n_d > 0) / count(*) * 100, 6) AS vision_share,

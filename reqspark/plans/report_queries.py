@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import responses as R
 from ..functions.text import clean_text
-from ..operators import context, images, prompts, reports
+from ..operators import context, images, prompts, raft, reports
 from ..sources import adapters
 from ..streaming import jobs
-from .context_queries import ROWS
+from . import raft_queries
+from .context_queries import CARRIED, ROWS
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,14 +64,28 @@ def c5(spark, sf_dir):
     return _with_images(spark, sf_dir).groupBy(F.sha2("content", 256).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
-@query("c6_image_checks", """WITH s AS (SELECT doc_id, (doc_id * 7) % 6000 AS w, (doc_id * 13) % 5000 + 1 AS h FROM documents)
-SELECT doc_id, w::INT AS width, h::INT AS height, concat_ws(';', CASE WHEN greatest(w, h) > 4096 THEN 'larger than 4096 pixels' END, CASE WHEN least(w, h) < 32 THEN 'smaller than 32 pixels' END, CASE WHEN greatest(w, h) > 10 * least(w, h) THEN 'aspect ratio above 10' END) AS warnings FROM s""")
+@query("c6_image_checks", """WITH s AS (SELECT doc_id, (doc_id * 7) % 6000 + 1 AS w, (doc_id * 13) % 5000 + 1 AS h, doc_id % 13 = 0 AS cut, octet_length(encode(text)) > 10485000 AS heavy FROM documents)
+SELECT doc_id, CASE WHEN NOT cut THEN w::INT END AS width, CASE WHEN NOT cut THEN h::INT END AS height, CASE WHEN cut THEN '' ELSE concat_ws(';', CASE WHEN greatest(w, h) > 4096 THEN 'larger than 4096 pixels' END, CASE WHEN least(w, h) < 32 THEN 'smaller than 32 pixels' END,
+CASE WHEN greatest(w, h) > 10 * least(w, h) THEN 'aspect ratio above 10' END) END AS warnings, CASE WHEN cut THEN 'unreadable' END AS error FROM s""")
 def c6(spark, sf_dir):
+    """Headers of six formats, each before the bytes of a text, some cut off."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    four = lambda n: F.lpad(F.hex(n), 8, "0")
-    header = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), four(F.col("doc_id") * 7 % 6000), four(F.col("doc_id") * 13 % 5000 + 1)))
-    rows = images.image_checks(docs.select("doc_id", F.lit("png").alias("format"), header.alias("content")))
-    return rows.select("doc_id", "width", "height", F.array_join("warnings", ";").alias("warnings"))
+    key, w, h = F.col("doc_id"), F.col("doc_id") * 7 % 6000 + 1, F.col("doc_id") * 13 % 5000 + 1
+    big = lambda n, size: F.lpad(F.hex(n), 2 * size, "0")
+    little = lambda n, size: F.concat(*(F.substring(big(n, size), 2 * size - 1 - 2 * k, 2) for k in range(size)))
+    # a comment of up to 9 bytes and a table stand before the frame of a JPEG; the directory of a TIFF has another entry first
+    comment = F.concat(F.lit("FFFE"), big(key % 10 + 2, 2), F.repeat(F.lit("FF"), (key % 10).cast("int")), F.lit("FFC40003AA"))
+    entry = lambda tag, n: F.concat(F.lit(tag + "0400" + "01000000"), little(n, 4))
+    heads = [
+        F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4)), F.concat(F.lit("474946383961"), little(w, 2), little(h, 2)),
+        F.concat(F.lit("424D" + "00" * 16), little(w, 4), little(h, 4)), F.concat(F.lit("FFD8FFE000044A46"), comment, F.lit("FFC2001108"), big(h, 2), big(w, 2)),
+        F.concat(F.lit("49492A00080000000300"), entry("FE00", F.lit(0)), entry("0001", w), entry("0101", h)), F.concat(F.lit("5249464600000000574542505650385800000000" + "00" * 4), little(w - 1, 3), little(h - 1, 3)),
+    ]
+    header = F.unhex(F.element_at(F.array(*heads), (key % 6 + 1).cast("int")))
+    whole = F.concat(header, F.encode("text", "UTF-8"))
+    content = F.when(key % 13 == 0, F.substring(header, F.lit(1), F.octet_length(header) - 4)).otherwise(whole)
+    rows = images.image_checks(docs.select("doc_id", content.alias("content")))
+    return rows.select("doc_id", "width", "height", F.array_join("warnings", ";").alias("warnings"), "error")
 
 
 @query("c7_link_images", f"""WITH {IMAGES}, attached AS (SELECT DISTINCT source_file, name FROM im WHERE doc_id % 2 = 0)
@@ -82,11 +97,13 @@ def c7(spark, sf_dir):
     return linked.select("source_file", "id", F.size("images").alias("n"))
 
 
-@query("c8_image_report", f"""WITH {IMAGES} SELECT source_file, count(*) + count(*) FILTER (doc_id % 3 < 2) AS total, count(*) AS base64, count(*) FILTER (doc_id % 3 < 2) AS objects FROM im GROUP BY 1""")
+@query("c8_image_report", f"""WITH {IMAGES} SELECT source_file, 2 * count(*) + count(*) FILTER (doc_id % 3 < 2) AS total, count(*) AS external, count(*) + count(*) FILTER (doc_id % 3 < 2) AS embedded,
+count(*) FILTER (doc_id % 8 > 0) + count(*) FILTER (doc_id % 9 > 0) AS saved, count(*) FILTER (doc_id % 8 = 0) + count(*) FILTER (doc_id % 9 = 0) AS failed FROM im GROUP BY 1""")
 def c8(spark, sf_dir):
     rows = _with_images(spark, sf_dir)
-    each = images.embedded_images(rows, "source_file").select("source_file", F.lit("b").alias("k")).union(images.object_images(rows, "source_file").select("source_file", F.lit("o")))
-    return each.groupBy("source_file").agg(F.count("*").alias("total"), F.count_if(F.col("k") == "b").alias("base64"), F.count_if(F.col("k") == "o").alias("objects"))
+    attached = rows.select("source_file", F.when(F.col("doc_id") % 8 > 0, F.col("content")).alias("content"))
+    spoilt = rows.withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.replace("text", F.lit("base64,"), F.lit("base64,*"))).otherwise(F.col("text")))
+    return images.image_report(attached, images.embedded_images(spoilt, "source_file"), images.object_images(rows, "source_file"))
 
 
 @query("a9_image_names", "SELECT page_id, regexp_replace(regexp_extract(url, '[^/]*$'), '[<>:\"/\\\\|?*]', '_', 'g') AS name FROM pages")
@@ -97,9 +114,13 @@ def a9(spark, sf_dir):
 EX = f"WITH {adapters.EXAMPLES}"
 
 
-@query("d5_route_model", f"{EX} SELECT CASE WHEN len(images) > 0 THEN 'vision' ELSE 'text' END AS model, count(*) AS n FROM examples GROUP BY 1")
+@query("d5_route_model", f"{EX} SELECT example_id % 10 > 0 AS enabled, CASE WHEN example_id % 10 > 0 AND len([x for x in images if x.image_type <> '']) > 0 THEN 'vision' ELSE 'text' END AS model, count(*) AS n FROM examples GROUP BY ALL")
 def d5(spark, sf_dir):
-    return adapters.examples(spark, sf_dir).groupBy(F.when(F.size("images") > 0, "vision").otherwise("text").alias("model")).agg(F.count("*").alias("n"))
+    """Images without a type were not saved; every tenth requirement has vision disabled."""
+    rows = adapters.examples(spark, sf_dir)
+    saved = F.transform("images", lambda x: F.struct(F.when(x["image_type"] != "", F.concat(F.lit("/images/"), x["image_type"])).alias("saved_path")))
+    enabled = F.col("example_id") % 10 > 0
+    return rows.groupBy(enabled.alias("enabled"), images.route_model(saved, enabled).alias("model")).agg(F.count("*").alias("n"))
 
 
 RULES = [("heading", "the", "door"), ("heading", "der", "unknown"), ("id", "art_1", "window"), ("heading", "la", "light")]
@@ -158,15 +179,26 @@ def _requirements(spark, sf_dir):
     return rows.select("requirement_id", F.concat(F.lit("F"), F.col("requirement_id") % 20).alias("source_file"), kind.alias("error_type"), (F.col("requirement_id") % 9).alias("seconds"))
 
 
+def _timed(spark, sf_dir):
+    return _requirements(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("requirement_id")))
+
+
 REQS = f"""WITH {adapters.CASES}, req AS (SELECT requirement_id, 'F' || (requirement_id % 20) AS source_file, CASE requirement_id % 5 WHEN 4 THEN 'EmptyResponse' WHEN 3 THEN 'InvalidJSONStructure' ELSE 'ok' END AS error_type, requirement_id % 9 AS seconds,
 count(*) FILTER (test_type = 'positive') AS p, count(*) FILTER (test_type = 'negative') AS n FROM cases GROUP BY requirement_id),
 rep AS (SELECT source_file, count(*) AS requirements, count(*) FILTER (error_type = 'ok') AS successful, count(*) FILTER (error_type <> 'ok') AS failed, coalesce(sum(p) FILTER (error_type = 'ok'), 0)::BIGINT AS positive, coalesce(sum(n) FILTER (error_type = 'ok'), 0)::BIGINT AS negative, sum(seconds)::BIGINT AS seconds FROM req GROUP BY 1)"""
 
 
-@query("j1_file_report", f"""{REQS} SELECT source_file, requirements, successful, failed, positive, negative, CASE WHEN successful > 0 THEN round((positive + negative) / successful, 2) ELSE 0 END AS tests_per_requirement,
-round(successful / requirements * 100, 1) AS success_percent, round(requirements / seconds, 2) AS per_second, round(seconds / requirements, 2) AS mean_seconds FROM rep""")
+@query("j1_file_report", f"""{REQS}, {adapters.ARTIFACTS}, found AS (SELECT 'F' || substr(source_file, 4) AS source_file, type, text FROM artifacts),
+kinds AS (SELECT source_file, string_agg(type || '=' || n, ',' ORDER BY type) AS artifacts, sum(n)::BIGINT AS n_artifacts FROM (SELECT source_file, type, count(*) AS n FROM found GROUP BY ALL) GROUP BY 1),
+skip AS (SELECT source_file, count(*) FILTER (type = 'System Requirement' AND text = '') AS skipped FROM found GROUP BY 1)
+SELECT source_file, requirements, successful, failed, positive, negative, CASE WHEN successful > 0 THEN round((positive + negative) / successful, 2) ELSE 0 END AS tests_per_requirement,
+round(successful / requirements * 100, 1) AS success_percent, round(requirements / seconds, 2) AS per_second, round(seconds / requirements, 2) AS mean_seconds, coalesce(artifacts, '') AS artifacts, coalesce(n_artifacts, 0) AS n_artifacts, coalesce(skipped, 0) AS skipped
+FROM rep LEFT JOIN kinds USING (source_file) LEFT JOIN skip USING (source_file)""")
 def j1(spark, sf_dir):
-    return reports.file_report(_requirements(spark, sf_dir), adapters.cases(spark, sf_dir))
+    found = adapters.artifacts(spark, sf_dir).withColumn("source_file", F.concat(F.lit("F"), F.substring("source_file", 4, 99)))
+    rows = reports.file_report(_requirements(spark, sf_dir), adapters.cases(spark, sf_dir), found)
+    kinds = F.array_sort(F.transform(F.map_entries("artifacts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return rows.withColumn("artifacts", F.array_join(kinds, ","))
 
 
 @query("j2_run_performance", "SELECT round(avg((event_type <> 'error')::INT) * 100, 1) AS success_percent, round(avg(value), 1) AS mean, round(max(value), 1) AS peak FROM events")
@@ -174,9 +206,17 @@ def j2(spark, sf_dir):
     return reports.run_performance(spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_type") != "error").alias("success"), "value"))
 
 
-@query("j3_failure_details", f"{REQS} SELECT source_file, string_agg(DISTINCT error_type, ',' ORDER BY error_type) AS errors, count(*) AS failed FROM req WHERE error_type <> 'ok' GROUP BY 1")
+@query("j3_failure_details", f"""{REQS} SELECT source_file, requirement_id, error_type AS error, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * requirement_id AS at FROM req WHERE error_type <> 'ok'""")
 def j3(spark, sf_dir):
-    return reports.failure_details(_requirements(spark, sf_dir)).withColumn("errors", F.array_join("errors", ","))
+    return reports.failure_details(_timed(spark, sf_dir)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("j3_file_warnings", f"""{REQS}, said AS (SELECT source_file, requirement_id, 'slow: ' || seconds || ' s' AS warning FROM req WHERE seconds > 6 UNION ALL SELECT source_file, requirement_id, error_type FROM req WHERE error_type = 'InvalidJSONStructure')
+SELECT source_file, warning, count(*) AS n, min(requirement_id) AS first FROM said GROUP BY ALL""")
+def j3_warnings(spark, sf_dir):
+    slow = F.when(F.col("seconds") > 6, F.concat(F.lit("slow: "), "seconds", F.lit(" s")))
+    odd = F.when(F.col("error_type") == "InvalidJSONStructure", F.col("error_type"))
+    return reports.file_warnings(_timed(spark, sf_dir).withColumn("warnings", F.array_compact(F.array(slow, odd))))
 
 
 @query("j4_session_metrics", """SELECT user_id AS session_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'signup') AS warnings, count(*) FILTER (event_type = 'purchase' AND value > 50) AS files,
@@ -192,10 +232,21 @@ def j5(spark, sf_dir):
     return reports.directory_result(j1(spark, sf_dir))
 
 
-@query("j6_extraction_audit", f"""WITH {adapters.ARTIFACTS} SELECT source_file, count(*) AS artifacts, count(DISTINCT type) AS types, count(*) FILTER (type = 'System Requirement') AS requirements,
-count(*) FILTER (type = 'System Requirement' AND text <> '') AS with_text, count(*) FILTER (type = 'Information') AS infos, count(*) FILTER (type = 'System Interface') AS interfaces FROM artifacts GROUP BY 1""")
+@query("j5_while_writing", f"{REQS} SELECT count(*) AS requirements, count(*) FILTER (error_type = 'ok') AS successful, count(*) FILTER (error_type <> 'ok') AS failed, sum(seconds)::BIGINT AS seconds, max(seconds)::BIGINT AS slowest, count(*) FILTER (error_type = 'ok') > 0 AS success FROM req")
+def j5_observed(spark, sf_dir):
+    return reports.write_observed(_requirements(spark, sf_dir), jobs._folder(spark, "requirements"))
+
+
+@query("j6_extraction_audit", f"""{CARRIED}, marked AS (SELECT *, text <> '' AND seq % 6 = 0 AS tabled FROM artifacts),
+sums AS (SELECT source_file, count(*) AS artifacts, count(DISTINCT type) AS types, count(*) FILTER (type = 'System Requirement') AS requirements, count(*) FILTER (type = 'System Requirement' AND text <> '') AS with_text,
+count(*) FILTER (type = 'System Requirement' AND tabled) AS with_tables, coalesce(sum(seq % 3 + 1) FILTER (type = 'System Requirement' AND tabled), 0)::BIGINT AS tables, count(*) FILTER (type = 'Information') AS infos, count(*) FILTER (type = 'System Interface') AS interfaces FROM marked GROUP BY 1),
+ctx AS (SELECT source_file, round(avg(n_info), 6) AS infos_per_requirement, max(n_info) AS most_infos FROM reqs GROUP BY 1)
+SELECT s.*, types >= 2 AS varied, coalesce(infos_per_requirement, 0) AS infos_per_requirement, coalesce(most_infos, 0) AS most_infos FROM sums s LEFT JOIN ctx USING (source_file)""")
 def j6(spark, sf_dir):
-    return reports.extraction_audit(adapters.artifacts(spark, sf_dir))
+    rows = adapters.artifacts(spark, sf_dir)
+    table = F.repeat(F.lit("<table><tr><td>a</td></tr></table>"), (F.col("seq") % 3 + 1).cast("int"))
+    marked = rows.withColumn("text", F.when((F.col("text") != "") & (F.col("seq") % 6 == 0), F.concat("text", table)).otherwise(F.col("text")))
+    return reports.extraction_audit(marked, context.info_context(rows))
 
 
 @query("k1_stream_session_metrics", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, count(*) AS n FROM events GROUP BY ALL")
@@ -204,7 +255,26 @@ def k1(spark, sf_dir):
     return jobs.session_windows(spark, f"{path}*", spark.read.parquet(path).schema)
 
 
-@query("k2_stream_collection", "SELECT count(DISTINCT conv_id) AS examples FROM conversations")
+#: Files a batch of the streams below.
+FILES = 16
+
+
+@query("k2_stream_collection", "SELECT conv_id, count(*) AS copies FROM conversations GROUP BY 1")
 def k2(spark, sf_dir):
-    path = f"{sf_dir}/conversations.parquet"
-    return jobs.collect_once(spark, f"{path}*", spark.read.parquet(path).schema, "conv_id").agg(F.count("*").alias("examples"))
+    """Each conversation once, though its turns come in several files, with how many rows stood for it."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    path = jobs._folder(spark, "turns")
+    turns.write.partitionBy("role").parquet(path)
+    once = jobs.collect_once(spark, f"{path}/*", turns.drop("role").schema, "conv_id", files=FILES)
+    return once.select("conv_id").join(turns.groupBy("conv_id").agg(F.count("*").alias("copies")), "conv_id")
+
+
+@query("k2_running_stats", raft_queries.ORACLES["i3_collection_stats"])
+def k2_stats(spark, sf_dir):
+    """The figures of all examples after the last batch; examples come as files by status, and every second one comes twice."""
+    rows, path = adapters.examples(spark, sf_dir), jobs._folder(spark, "examples")
+    for part in (rows, rows.where("example_id % 2 = 0")):
+        part.write.mode("append").json(path)
+    after = jobs.running_stats(spark, path, rows.schema, "example_id", raft.collection_stats, files=FILES, form="json")
+    last = after.agg(F.max_by(F.struct(*(c for c in after.columns if c != "batch")), "batch").alias("last"))
+    return last.select("last.*")

@@ -131,7 +131,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.get(said("assistant"), F.lit(0)), F.lit("")).alias("requirement_text"),
         F.coalesce(F.get(said("system"), F.lit(0)), F.lit("")).alias("heading"),
         said("user").alias("infos"),
-        F.slice(said("assistant"), 2, 1000).alias("interfaces"),
+        F.slice(said("assistant"), F.lit(2), F.greatest(F.lit(0), F.size(said("assistant")))).alias("interfaces"),
         F.when(key % 12 != 0, (key % 6).cast("int")).alias("rating"),
         F.when(key % 5 == 0, "pending").when(key % 5 == 1, "rejected").otherwise("validated").alias("status"),
     )

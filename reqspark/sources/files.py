@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHAT = "example_id long, messages array<struct<role:string,content:string,images:array<string>>>, metadata struct<rating:int,image_count:int,oracle_image_count:int>"
+from ..operators.images import safe_name
+from .sinks import file_name, write_named
+
+CHAT = "example_id long, messages array<struct<role:string,content:string,images:array<string>>>, metadata struct<requirement_id:long,quality_rating:int,annotation_notes:string,original_model:string,image_count:int,oracle_image_count:int>"
 LOG = "event_id long, timestamp string, level string, session_id long, event_type string, value double"
 
 
@@ -23,15 +26,32 @@ def read_logs(spark: SparkSession, path: str, schema: str = LOG) -> DataFrame:
     return spark.read.schema(schema).json(path).withColumn("ts", F.to_timestamp("timestamp"))
 
 
+def read_open_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Log records whose fields differ from event to event: ts, level, message, event_type, session_id, uptime_seconds, and the open parts
+    extra and final_metrics as variants, and the whole record."""
+    rows = spark.read.format("json").option("singleVariantColumn", "record").load(path)
+    field = lambda name, kind: F.try_variant_get("record", f"$.{name}", kind).alias(name)
+    names = ["level", "message", "event_type", "session_id"]
+    return rows.select(
+        F.try_to_timestamp(F.try_variant_get("record", "$.timestamp", "string")).alias("ts"), *(field(n, "string") for n in names), field("uptime_seconds", "double"),
+        field("extra", "variant"), field("final_metrics", "variant"), "record",
+    )
+
+
 def read_cases_csv(spark: SparkSession, path: str) -> DataFrame:
     """A case table of an earlier run: quoted cells may span lines; a byte-order mark goes."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     return rows.toDF(*(c.lstrip("﻿") for c in rows.columns))
 
 
-def write_cases(table: DataFrame, folder: str, by: str) -> None:
-    """CSV, a folder for each value of by."""
-    table.write.partitionBy(by).option("header", True).option("escape", '"').option("quoteAll", True).csv(folder)
+def write_cases(table: DataFrame, folder: str, by: str, order: tuple[str, ...] = ()) -> None:
+    """One CSV file for each value of by, called after it, its rows in order. A null value's rows go to a file called unknown."""
+    columns = [c for c in table.columns if c != by]
+    line = F.concat(F.to_csv(F.struct(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in columns)), {"quoteAll": "true", "escape": '"'}), F.lit("\n"))
+    rows = table.select(file_name(F.coalesce(F.col(by).cast("string"), F.lit("unknown")), ".csv").alias("name"), line.alias("content"), *(F.col(f"`{c}`").alias(f"order_{k}") for k, c in enumerate(order)))
+    rows = rows.repartition("name").sortWithinPartitions("name", *(f"order_{k}" for k in range(len(order))))
+    head = ",".join('"' + c.replace('"', '""') + '"' for c in columns) + "\n"
+    write_named(rows.select("name", "content"), folder, head=head)
 
 
 def write_chat(chat: DataFrame, folder: str) -> None:
@@ -46,5 +66,7 @@ def write_examples(examples: DataFrame, folder: str) -> None:
 
 
 def write_images(images: DataFrame, folder: str) -> None:
-    """Names and bytes, a folder for each archive."""
-    images.write.partitionBy("source_file").parquet(folder)
+    """source_file, seq, name, content as image files, a folder for each archive; bytes aren't shuffled. Of images that get the same
+    name the last one stays."""
+    name = F.concat_ws("/", file_name(F.col("source_file")), safe_name(F.col("name")))
+    write_named(images.select(name.alias("name"), "content", F.col("seq").cast("long").alias("place")), folder, whole="true")

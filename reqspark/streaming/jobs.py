@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,18 +34,46 @@ def session_windows(spark: SparkSession, source: str, schema, width: str = "1 ho
     return spark.read.parquet(out).groupBy("window_start", "event_type", "level").agg(F.max_by("n", "batch").alias("n"))
 
 
-def collect_once(spark: SparkSession, source: str, schema, key: str, files: int = 1) -> DataFrame:
-    """The rows at source, each key once: every micro-batch (of so many files) appends the keys that the target lacks. A batch
-    that runs again overwrites its own folder."""
-    out = _folder(spark, "collection")
+@contextmanager
+def _states_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Keys of a stream that are remembered forever belong in RocksDB, not in the executors' heaps."""
+    name, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
+def _once(spark: SparkSession, source: str, schema, key: str, files: int, form: str) -> DataFrame:
+    """The stream of what is at source, each key once: the state knows which keys have come."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(form).load(source).dropDuplicates([key])
+
+
+def collect_once(spark: SparkSession, source: str, schema, key: str, files: int = 1, form: str = "parquet", out: str | None = None) -> DataFrame:
+    """The rows at source, each key once. A batch of so many files reads its files and the state of its keys, nothing else, so its work
+    doesn't grow with what came before; a batch that runs again overwrites its own folder. With out, a later call goes on where the
+    last one ended."""
+    out = out or _folder(spark, "collection")
 
     def add(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates([key])
-        if number:
-            known = spark.read.parquet(*(f"{out}/batch={k}" for k in range(number))).select(key)
-            new = new.join(known, key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-    rows.writeStream.option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    with _states_on_disk(spark):
+        rows = _once(spark, source, schema, key, files, form)
+        rows.writeStream.option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
     return spark.read.parquet(out).drop("batch")
+
+
+def running_stats(spark: SparkSession, source: str, schema, key: str, stats: Callable[[DataFrame], DataFrame], files: int = 1, form: str = "parquet", out: str | None = None) -> DataFrame:
+    """batch and the columns of stats (one row of aggregates of a table) after each batch, over all rows at source so far, each key
+    once. Sums are kept in the state, and a batch adds its own rows to them. With out, a later call goes on."""
+    out = out or _folder(spark, "stats")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    with _states_on_disk(spark):
+        rows = stats(_once(spark, source, schema, key, files, form))
+        rows.writeStream.outputMode("update").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(out)

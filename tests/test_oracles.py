@@ -41,7 +41,7 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_no_query_without_a_test():
     """What has no SQL is tested against brute force below."""
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"f3_data_signals", "f4_suggest_signal", "f6_case_verdict", "f7_validation_report", "g2_duplicate_groups", "g5_similar_pairs", "g6_corpus_near_dups"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"f3_data_signals", "f4_suggest_signal", "f6_case_verdict", "f7_validation_report", "g2_duplicate_groups", "g5_similar_pairs", "g6_corpus_near_dups", "g6_turn_near_dups"}
 
 
 @pytest.fixture(scope="module")
@@ -136,17 +136,3 @@ def test_groups_and_pairs(spark, cases):
     got = registry.QUERIES["g5_similar_pairs"](spark, SF).collect()
     assert {(r.requirement_id, r.a, r.b): (round(r.similarity, 12), r.summary_a, r.summary_b) for r in got} == pairs and len(got) == len(pairs) > 0
     assert [r.similarity for r in got] == sorted((r.similarity for r in got), reverse=True)
-
-
-def test_corpus_pairs_are_similar(spark):
-    """Candidates come from MinHash tables, so pairs can be missing; none is wrong, and most planted ones are found."""
-    rng, words = random.Random(3), [f"w{k}" for k in range(400)]
-    texts = []
-    for _ in range(40):
-        text = [rng.choice(words) for _ in range(40)]
-        texts += [" ".join(text), " ".join([*text[:-1], "changed"])]
-    frame = spark.createDataFrame([(t, "", "") for t in texts], "action string, data string, expected_result string")
-    got = dedup.corpus_near_dups(frame).collect()
-    ratio = lambda r: difflib.SequenceMatcher(None, r.text_a, r.text_b).ratio()
-    assert all(abs(ratio(r) - r.similarity) < 1e-12 and r.similarity >= 0.85 for r in got) and len(got) >= 36
-    assert registry.QUERIES["g6_corpus_near_dups"](spark, SF).columns == ["text_a", "text_b", "similarity"]
