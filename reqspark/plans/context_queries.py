@@ -88,11 +88,12 @@ def d3(spark, sf_dir):
     return context.interface_context(adapters.artifacts(spark, sf_dir))
 
 
-@query("d4_augment_requirements", f"""{CARRIED} SELECT r.source_file, seq, id, clean AS text, heading, info, n_info, coalesce(n, 0) AS n_interfaces FROM reqs r
-LEFT JOIN (SELECT source_file, count(*) AS n FROM artifacts WHERE type = 'System Interface' GROUP BY 1) i USING (source_file)""")
+@query("d4_augment_requirements", f"""{CARRIED} SELECT r.source_file, seq, id, clean AS text, heading, info, n_info, coalesce(interfaces, '') AS interfaces, coalesce(n, 0) AS n_interfaces FROM reqs r
+LEFT JOIN (SELECT source_file, string_agg(id || ': ' || clean, chr(10) ORDER BY seq) AS interfaces, count(*) AS n FROM rows_ WHERE type = 'System Interface' GROUP BY 1) i USING (source_file)""")
 def d4(spark, sf_dir):
-    rows = context.augment_requirements(adapters.artifacts(spark, sf_dir))
-    return rows.select("source_file", "seq", "id", "text", "heading", _info_text().alias("info"), F.size("info").cast("long").alias("n_info"), "n_interfaces")
+    lines = lambda items: F.array_join(F.transform(items, lambda x: F.concat(x["id"], F.lit(": "), x["text"])), "\n")
+    rows = context.augment_requirements(adapters.artifacts(spark, sf_dir), shown=lines)
+    return rows.select("source_file", "seq", "id", "text", "heading", _info_text().alias("info"), F.size("info").cast("long").alias("n_info"), "interfaces", "n_interfaces")
 
 
 EDGES = f"""{adapters.RELATIONS}, edges AS (SELECT *, {tests_sql("lower(coalesce(relation_type_name, ''))", RELATION_TESTS, "'unknown'")} AS relation_type

@@ -76,7 +76,7 @@ def i1(spark, sf_dir):
     scopes = cases.groupBy("requirement_id").agg(F.min("scope").alias("scope"))
     by_scope = names.groupBy("scope").agg(F.sort_array(F.collect_list(F.struct("text", F.when(F.length("text") % 2 == 1, F.col("id")).alias("id")))).alias("interfaces"))
     artifacts = adapters.artifacts(spark, sf_dir).withColumn("id", F.when(F.col("seq") % 3 != 0, F.col("id")))
-    rows = context.augment_requirements(artifacts).withColumn("requirement_id", F.col("seq")).join(scopes, "requirement_id").join(by_scope, "scope")
+    rows = context.augment_requirements(artifacts).drop("interfaces").withColumn("requirement_id", F.col("seq")).join(scopes, "requirement_id").join(by_scope, "scope")
     key = F.col("requirement_id")
     image = lambda i: F.struct(
         F.when((i + key) % 3 != 0, F.concat(F.lit("/images/"), key, F.lit("_"), i, F.lit(".png"))).alias("path"), F.when(i % 2 == 0, "png").alias("format")
