@@ -75,23 +75,25 @@ def mix(docs: DataFrame, *, weights: dict[str | None, float] | None = None, bloc
     least = min(weights.values(), default=1) if weights else 1
     shares = exact_shares([weights.get(r["source"], least) if weights else math.isqrt(r["n"]) for r in sizes]) if sizes else []
     slots = schedule(shares, [-(-r["n"] // block_rows) for r in sizes])
-    plan = [(r["source"], max(1, -(-r["n"] // bucket_rows)), x) for r, x in zip(sizes, slots)]
-    plans = docs.sparkSession.createDataFrame(plan, "mixed_as string, buckets int, slots array<long>")
+    session = docs.sparkSession
+    plan = [(r["source"], k, max(1, -(-r["n"] // bucket_rows)), len(x)) for k, (r, x) in enumerate(zip(sizes, slots))]
+    plans = session.createDataFrame(plan, "mixed_as string, own int, buckets int, n_slots long")
+    taken = session.createDataFrame([(k, i, slot) for k, x in enumerate(slots) for i, slot in enumerate(x)], "own int, turn long, at long")
     if sum(map(len, slots)) <= MAX_BROADCAST:
-        plans = F.broadcast(plans)
+        plans, taken = F.broadcast(plans), F.broadcast(taken)
+    # a row carries its source's number, never its slots; all that follows is dealt by (source, bucket), so rows move once
     rows = rows.join(plans, F.col("source").eqNullSafe(F.col("mixed_as")))
-    key = ["mixed_as", "bucket"]
+    key = ["own", "bucket"]
     rows = rows.withColumn("hash", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("hash", F.col("buckets")).cast("int"))
-    before = Window.partitionBy("mixed_as").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    counts = counts.select(*(F.col(k).alias(f"b_{k}") for k in key), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    match = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in key]
+    before = Window.partitionBy("own").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n")).select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     place = F.row_number().over(Window.partitionBy(*key).orderBy("hash", "doc_id"))
-    ranked = rows.withColumn("place", place).join(counts, match).withColumn("rank", F.col("first") + F.col("place") - 1)
-    block = F.floor(F.col("rank") / block_rows)
+    ranked = rows.withColumn("place", place).join(counts, key).withColumn("rank", F.col("first") + F.col("place") - 1)
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_rows)).withColumn("turn", F.col("block") % F.col("n_slots"))
     period = sum(shares) if shares and len(slots[0]) == shares[0] else 0  # all blocks are scheduled: none comes round again
-    slot = F.floor(block / F.size("slots")) * F.lit(period) + F.get("slots", (block % F.size("slots")).cast("int"))
-    return ranked.select("row", "doc_id", "mixed_as", block.alias("block"), slot.cast("long").alias("slot"), (slot * block_rows + F.col("rank") % block_rows).cast("long").alias("mix_position"))
+    slot = F.floor(F.col("block") / F.col("n_slots")) * F.lit(period) + F.col("at")
+    placed = ranked.join(taken, ["own", "turn"])
+    return placed.select("row", "doc_id", "mixed_as", "block", slot.cast("long").alias("slot"), (slot * block_rows + F.col("rank") % block_rows).cast("long").alias("mix_position"))
 
 
 def in_mixed_order(docs: DataFrame, **how) -> DataFrame:
