@@ -237,13 +237,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, bits: int = 64, radius:
 
 def drop_near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs without those that have a near duplicate of smaller doc_id in their class: classes join texts whose
-    shingles have a Jaccard similarity of at least threshold, counted and not estimated (fingerprints of 128 bits at radius
-    22 lose pairs and link others). doc_id is a row's identity: of rows that repeat one, one stays; rows without one stay."""
+    shingles have a Jaccard similarity of at least threshold, counted and not estimated. A row's identity is its doc_id with its
+    text: of rows that repeat both, one stays, and different texts of one doc_id are rows of their own; rows without doc_id stay."""
     found = similar_documents(docs, words=words, threshold=threshold)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    row = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row")).join(gone.withColumnRenamed("doc_id", "id"), "id", "left_anti")
-    once = F.row_number().over(Window.partitionBy("id").orderBy("id"))
-    return row.withColumn("once", F.when(F.col("id").isNull(), 1).otherwise(once)).where("once = 1").select("row.*")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id"), "part").distinct()
+    row = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("part"), F.struct("*").alias("row"))
+    once = F.row_number().over(Window.partitionBy("id", "part").orderBy("id"))
+    known = row.where("id IS NOT NULL").join(gone, ["id", "part"], "left_anti").withColumn("once", once).where("once = 1")
+    return known.select("row.*").union(row.where("id IS NULL").select("row.*"))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

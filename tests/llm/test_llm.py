@@ -210,6 +210,10 @@ def test_drop_near_duplicates(docs, none):
     assert kept.columns == docs.columns
     ids = sorted(r.doc_id or -1 for r in kept.collect())
     assert 2 not in ids and ids.count(1) == 1 and {4, 6, 7, 8, 9, 11, 12, -1} <= set(ids)
+    # different texts of one doc_id stay, equal ones don't
+    texts = [(1, prose(1, 60)), (1, prose(2, 60)), (1, prose(2, 60)), (2, prose(1, 60)), (None, prose(1, 60)), (None, prose(1, 60))]
+    left = simhash.drop_near_duplicates(docs.sparkSession.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([texts[0], texts[1], texts[4], texts[5]], key=str)
 
 
 @pytest.fixture(scope="module")
