@@ -4,9 +4,11 @@ Formats (base spans): email, ip, card, phone; what fails its check is dropped. T
 looser, overlapping spans (runs of digits and separators, runs of digits alone, addresses with "(at)" and "(dot)").
 Gradient-boosted trees, trained here, tell from format and context features whether a proposal is personal data. They learn
 from other forms than the checked ones: each checked span stands for itself and for its rewritten forms (``REWRITTEN``: an
-address spelt out, a number without its plus sign or with other separators); a proposal that overlaps no checked span and has
-no context word before it is no personal data; one with a context word, or that is a part of a checked span, is left open. No feature sees the checks or the signs
-that only they ask for (the plus sign, the at sign).
+address spelt out, a number without its plus sign or with other separators), and, in the same place, after the same words,
+for values that are none (``SPOILT``: dates, ranges, references), so that a context word alone tells nothing. A proposal that
+overlaps no checked span and has no word of its own kind before it is no personal data, whatever words of other kinds stand there;
+one with such a word, or that is a part of a checked span, is left open. No feature sees the checks or the signs that only they
+ask for (the plus sign, the at sign).
 
 On held-out labels each kind gets the lowest probability threshold that keeps the share of right ones at ``precision`` or
 more; a kind without one adds nothing. Proposals that overlap no base span and reach the threshold of their kind are
@@ -24,6 +26,9 @@ only, train no trees and add nothing; other columns are not looked at.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -60,6 +65,10 @@ REWRITTEN = {
     "card": [[(r"[\x20-]", ".")], [(r"[\x20-]", "/")]],
     "ip": [],
 }
+#: What the digits of a checked number become to learn what is none: a date, a range of years, references.
+SPOILT = [
+    (r"^(..)(..)(....).*$", "$1/$2/$3"), (r"^(....)(....).*$", "$1-$2"), (r"^(...)(....).*$", "$1/$2"), (r"^(....)(..)(..).*$", "$1-$2-$3"),
+]
 
 
 def _digits(value: Column) -> Column:
@@ -126,7 +135,10 @@ def _features(p: Column) -> dict[str, Column]:
         "joined": before.rlike("[a-z0-9]$").cast("double"),
         "goes_on": p["after"].rlike("[A-Za-z0-9]").cast("double"),
     }
-    return out | {f"near_{k}": before.rlike(w).cast("double") for k, w in CONTEXT.items()}
+    near = {k: before.rlike(w) for k, w in CONTEXT.items()}
+    own = lambda k: F.col("kind") == k
+    mine = reduce(or_, (own(k) & near[k] for k in KINDS))
+    return out | {"near_own": mine.cast("double"), "near_other": reduce(or_, (~own(k) & near[k] for k in KINDS)).cast("double")}
 
 
 def _kind(p: Column) -> Column:
@@ -151,12 +163,18 @@ def _rewritten(p: Column, kind: Column) -> Column:
     return F.transform(F.array_except(F.array_distinct(forms), F.array(p["value"])), lambda v: p.withField("value", v))
 
 
-def _described(rows: DataFrame) -> DataFrame:
+def _spoilt(p: Column, kind: Column) -> Column:
+    """In the place of a checked number, values of like length that are no such data."""
+    digits = _digits(p["value"])
+    values = F.when(kind.isin("phone", "card"), F.array(*(F.regexp_replace(digits, *form) for form in SPOILT))).otherwise(F.array().cast("array<string>"))
+    return F.transform(values, lambda v: p.withField("value", v))
+
+
+def _described(rows: DataFrame, label: Column | None = None) -> DataFrame:
     """Proposals (p) with kind and features."""
     features = _features(F.col("p"))
-    rows = rows.select("row_id", F.col("p.start").alias("start"), F.col("p.end").alias("end"), _kind(F.col("p")).alias("kind"), "whole", "overlap", "hash", "fold", *(c.alias(n) for n, c in features.items()))
-    near = sum((F.col(f"near_{k}") for k in KINDS), F.lit(0.0))
-    rows = rows.withColumn("label", F.when(F.col("whole"), 1.0).when(~F.col("overlap") & (near == 0), 0.0))
+    rows = rows.withColumn("kind", _kind(F.col("p"))).select("row_id", F.col("p.start").alias("start"), F.col("p.end").alias("end"), "kind", "whole", "overlap", "hash", "fold", *(c.alias(n) for n, c in features.items()))
+    rows = rows.withColumn("label", F.when(F.col("whole"), 1.0).when(~F.col("overlap") & (F.col("near_own") == 0), 0.0) if label is None else label)
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
 
 
@@ -165,9 +183,11 @@ def _trees(proposals: DataFrame, precision: float, max_training_rows: int) -> Da
     trees and the thresholds of their kinds select, with their scores; None if there is nothing to learn."""
     rows = _described(proposals)
     of = F.get(F.filter("base", lambda b: (b["start"] == F.col("p.start")) & (b["end"] == F.col("p.end"))), F.lit(0))["kind"]
-    forms = proposals.where("whole").withColumn("p", F.explode(_rewritten(F.col("p"), of)))
-    known = rows.union(_described(forms)).where("label IS NOT NULL")
-    training = known.where("fold > 0").orderBy("hash", "row_id", "start", "end", "kind").limit(max_training_rows).select("features", "label", "row_id")
+    checked = proposals.where("whole")
+    forms = _described(checked.withColumn("p", F.explode(_rewritten(F.col("p"), of))), F.lit(1.0))
+    others = _described(checked.withColumn("p", F.explode(_spoilt(F.col("p"), of))), F.lit(0.0))
+    known = rows.union(forms).union(others).where("label IS NOT NULL")
+    training = known.where("fold > 0").orderBy("hash", "row_id", "start", "end", "kind", "length", "groups", "label").limit(max_training_rows).select("features", "label", "row_id")
     training = materialise(training.repartition(8, "row_id"))
     if training.select("label").distinct().count() < 2:
         return None

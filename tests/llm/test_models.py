@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from reqspark.llm import lm_scoring, secret_scan
+from reqspark.llm import lm_scoring, pii, secret_scan
 
 WORDS = "the of and to in a house river stone light number seven open water green mountain paper signal letter winter".split()
 
@@ -108,3 +108,25 @@ def test_battery(spark):
         text = sum(model[x + y] for x, y in zip("^" + "".join(map(kind, plain)), map(kind, plain)))
         assert abs(got[t].log_e - (-len(plain) * math.log(len(alphabet)) - text)) < 1e-6
     assert sum(got[t].p >= 0.01 for t in tokens[:28]) >= 26 and all(got[t].p < 0.01 for t in tokens[28:30])
+
+
+def test_pii_context_of_another_kind_tells_nothing(spark):
+    """At the default precision: numbers after words of other kinds, and dates after the right words, aren't added; phones without a plus
+    sign after the right words are."""
+    rng, texts = np.random.default_rng(8), {}
+    number = lambda: "".join(map(str, rng.integers(1, 10, 10)))
+    for k in range(1200):
+        n = number()
+        texts[k] = f"write to mail joe{n}@example.org or call phone +49 {n[:3]} {n[3:]} now"
+    order, mobile, date = range(2000, 2600), range(3000, 3100), range(4000, 4100)
+    for k in order:
+        n = number()
+        texts[k] = f"please write down order 49 {n[:3]} {n[3:]} and go on"
+    for k in mobile:
+        n = number()
+        texts[k] = f"my mobile 49 {n[:3]} {n[3:]} is on"
+    for k in date:
+        texts[k] = f"call me on {10 + k % 18}/{10 + k % 3}/20{10 + k % 15}, please"
+    added = {r.doc_id: r.added for r in pii.find_pii(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    right = sum([(s.kind, texts[k][s.start : s.end]) for s in added[k]] == [("phone", texts[k][10 : texts[k].index(" is")])] for k in mobile)
+    assert right >= 95 and not any(added[k] for k in [*order, *date])
