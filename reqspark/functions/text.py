@@ -63,3 +63,8 @@ def classify_text(text: Column) -> Column:
 
 def relation_type(name: Column) -> Column:
     return _first_match(F.lower(F.coalesce(name, F.lit(""))), RELATION_TESTS, F.lit("unknown"))
+
+
+def is_blank(text: Column) -> Column:
+    """Whether clean_text of it is empty; told at the first sign outside of tags, without cleaning the rest."""
+    return F.coalesce(text, F.lit("")).rlike(r"^(?:<[^>]+>|[\x20\x09-\x0D])*+$")

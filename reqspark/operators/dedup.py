@@ -18,6 +18,8 @@ def similar_pairs(cases: DataFrame, threshold: float = 0.7, fields: tuple[str, .
     """requirement_id, a, b, similarity of pairs a < b of one requirement, at least threshold similar. Pairs whose bound is
     lower never reach the exact comparison."""
     keyed = cases.select("requirement_id", "idx", *(normal(F.col(f)).alias(f) for f in fields))
+    # comparing takes far more time than its few bytes suggest: a fixed number of partitions isn't coalesced by their size
+    keyed = keyed.repartition(int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions")), "requirement_id")
     a = keyed.select("requirement_id", F.col("idx").alias("a"), *(F.col(f).alias(f"a_{f}") for f in fields))
     b = keyed.select("requirement_id", F.col("idx").alias("b"), *(F.col(f).alias(f"b_{f}") for f in fields))
     ends = [(F.col(f"a_{f}"), F.col(f"b_{f}")) for f in fields]

@@ -14,6 +14,7 @@ DOMAINS = {
     "aerospace": ["aircraft", "avionics", "flight", "altitude", "pressure", "temperature", "navigation", "radar", "GPS", "inertial", "hydraulics", "pneumatics"],
     "medical": ["patient", "therapy", "diagnosis", "monitoring", "alarm", "sensor", "dosage", "infusion", "ventilation", "anesthesia", "radiation"],
 }
+#: Words and signs of complex requirements, words and kinds of images, weights of scores, and the phases.
 CLAUSES = ["shall", "must", "should", "will", "may", "can", "if", "when", "then"]
 TECHNICAL = [r"\b\d+\.\d+\b", r"[A-Z]{3,}", r"[<>]=", "±", "°", "%"]
 VISUAL = ["diagram", "state", "flow", "chart", "graph", "timing", "sequence", "transition", "ui", "interface", "display", "screen", "button", "menu", "visual", "shown", "depicted"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import bound, ratio
 
+#: How signals are written.
 SIGNAL = r"\b([A-Z]{3,}[A-Z0-9_]*|[A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"
 DATA_SIGNAL = r"([A-Za-z_][A-Za-z0-9_]+)\s*="
 

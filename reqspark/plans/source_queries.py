@@ -158,6 +158,20 @@ def _written(spark, name: str, write) -> str:
     return path
 
 
+@query("a2_read_examples", f"""WITH {adapters.EXAMPLES} SELECT CASE WHEN example_id % 3 = 0 THEN 'raft_' || example_id || '.json' ELSE example_id || '_annotated.json' END AS file, example_id, status, rating, len(infos) AS n_infos,
+array_to_string(oracle, ',') AS oracle FROM examples WHERE example_id % 11 <> 5 AND example_id % 7 <> 3""")
+def a2(spark, sf_dir):
+    """One JSON file an example, in folders by status; files of other names and broken ones are left out."""
+    key, rows = F.col("example_id"), adapters.examples(spark, sf_dir)
+    name = F.when(key % 11 == 5, F.concat(F.lit("other_"), key, F.lit(".json"))).when(key % 3 == 0, F.concat(F.lit("raft_"), key, F.lit(".json"))).otherwise(F.concat(key, F.lit("_annotated.json")))
+    text = F.to_json(F.struct("example_id", "infos", "oracle", "rating"), {"pretty": "true"})
+    text = F.when(key % 7 == 3, F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))).otherwise(text)
+    path = _written(spark, "examples", lambda p: sinks.write_named(rows.select(F.concat_ws("/", "status", name).alias("name"), text.alias("content")), p, whole="true"))
+    found = files.read_examples(spark, path, "example_id long, infos array<string>, oracle array<string>, rating int", "{raft_*,*_annotated}.json")
+    parts = F.split("file", "/")
+    return found.select(F.element_at(parts, -1).alias("file"), "example_id", F.element_at(parts, -2).alias("status"), "rating", F.size("infos").cast("long").alias("n_infos"), F.array_join("oracle", ",").alias("oracle"))
+
+
 @query("a3_read_chat_jsonl", f"{raft_queries.TRAIN} SELECT example_id, content FROM chat")
 def a3(spark, sf_dir):
     path = _written(spark, "chat", lambda p: files.write_chat(raft_queries._chat(spark, sf_dir), p))

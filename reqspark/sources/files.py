@@ -13,8 +13,8 @@ LOG = "event_id long, timestamp string, level string, session_id long, event_typ
 
 
 def read_examples(spark: SparkSession, folder: str, schema: str, glob: str = "*.json") -> DataFrame:
-    """One JSON object a file; unreadable files are left out. Adds file."""
-    rows = spark.read.schema(f"{schema}, _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").option("pathGlobFilter", glob).json(folder)
+    """One JSON object a file, in any folder below; unreadable files are left out. Adds file."""
+    rows = spark.read.schema(f"{schema}, _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").option("pathGlobFilter", glob).option("recursiveFileLookup", True).json(folder)
     return rows.withColumn("file", F.input_file_name()).where("_broken IS NULL").drop("_broken")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reqspark.functions import responses as R
-from reqspark.functions.text import clean_text, map_type
+from reqspark.functions.text import clean_text, is_blank, map_type
 from reqspark.operators import context, dedup, formatting, graph, prompts, quality, validate
 from reqspark.streaming import jobs
 
@@ -30,6 +30,17 @@ def test_context_is_the_same_for_every_chunk_size(spark):
         }
 
 
+def test_blank_is_what_cleaning_leaves_empty(spark):
+    texts = [None, "", " \n", "<p> </p>", "<p>x</p>", "<", "<>", "<a <b>", "<a", "< >\t<br/>", "<p>\u00a0</p>", "a", "<p></p>." , "<!-- x -->", "<a\n>"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", is_blank(F.col("t")).alias("b"), (clean_text(F.col("t")) == "").alias("c")).collect()
+    assert [r.b for r in rows] == [r.c for r in rows] and any(r.b for r in rows) and not all(r.b for r in rows)
+
+
+def test_interfaces_of_the_file(spark):
+    rows = {r.id: [(i.id, i.text) for i in r.interfaces] for r in context.augment_requirements(artifacts(spark)).collect()}
+    assert rows == {"REQ_001": [("IF", "CANSignal - ACCSP")], "REQ_002": [("IF", "CANSignal - ACCSP")], "REQ_003": [], "REQ_004": [("IF", "CANSignal - ACCSP")]}
+
+
 def test_types_and_texts(spark):
     row = spark.range(1).select(
         map_type(F.lit("Design Information")).alias("a"), map_type(F.lit("Design Information"), strict=True).alias("b"), map_type(F.lit(None).cast("string")).alias("c"),

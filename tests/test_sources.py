@@ -184,3 +184,9 @@ def test_images(spark):
     keys = [("f", found.hash, "i1"), ("f", "b.png", "i2"), ("g", "c.svg", "i3")]
     linked = images.link_images(rows, spark.createDataFrame(keys, "source_file string, ref_key string, image_id string"))
     assert linked.first().images == ["i1", "i2"]
+
+
+def test_no_chat_rows_are_an_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="no chat rows"):
+        files.write_chat(spark.createDataFrame([], files.CHAT), str(tmp_path / "chat"))
+    assert not (tmp_path / "chat").exists()
