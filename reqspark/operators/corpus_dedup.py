@@ -51,17 +51,12 @@ class Tile:
         self.pairs = np.array([count(p[:-1] * 31 + p[1:], PAIRS) for p in points])
 
 
-def possible(a: Tile, b: Tile, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs whose bounds by counts reach the threshold."""
-    left, right = [], []
-    for i in range(len(a.texts)):
-        both = a.lengths[i] + b.lengths
-        j = np.flatnonzero(2 * np.minimum(a.lengths[i], b.lengths) >= threshold * both - 1e-9)
-        j = j[2 * np.minimum(a.characters[i], b.characters[j]).sum(axis=1) >= threshold * both[j] - 1e-9]
-        j = j[2 * (np.minimum(a.pairs[i], b.pairs[j]).sum(axis=1) + both[j] + 1) >= 3 * threshold * both[j] - 1e-9]
-        left.append(np.full(len(j), i))
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right)
+def possible(a: Tile, i: int, b: Tile, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Those of the places j of b whose bounds by counts with place i of a reach the threshold."""
+    both = a.lengths[i] + b.lengths
+    j = j[2 * np.minimum(a.lengths[i], b.lengths[j]) >= threshold * both[j] - 1e-9]
+    j = j[2 * np.minimum(a.characters[i], b.characters[j]).sum(axis=1) >= threshold * both[j] - 1e-9]
+    return j[2 * (np.minimum(a.pairs[i], b.pairs[j]).sum(axis=1) + both[j] + 1) >= 3 * threshold * both[j] - 1e-9]
 
 
 def similar(x: str, y: str, threshold: float) -> bool:
@@ -71,26 +66,19 @@ def similar(x: str, y: str, threshold: float) -> bool:
 
 def joined(a: Tile, b: Tile | None, classes: list[int], threshold: float) -> list[tuple[int, int]]:
     """Links between places of a and b (of a alone, if b is None) that join different classes; b's places follow a's."""
-    root, out, shift = list(range(len(classes))), [], len(a.texts)
-
-    def of(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for k, c in enumerate(classes):
-        root[k] = c
-    for i, j in zip(*possible(a, b or a, threshold)):
-        if b is None and j <= i:
-            continue
-        x, y = of(int(i)), of(int(j) + (shift if b else 0))
-        if x == y:
-            continue
-        one, other = a.texts[i], (b or a).texts[j]
-        if 2 * common_subsequence(one, other) >= threshold * (len(one) + len(other)) - 1e-9 and similar(one, other, threshold):
-            root[max(x, y)] = min(x, y)
-            out.append((int(i), int(j) + (shift if b else 0)))
+    labels, out, other = np.array(classes), [], b or a
+    shift = len(a.texts) if b else 0
+    for i, one in enumerate(a.texts):
+        rest = np.arange(0 if b else i + 1, len(other.texts))
+        rest = possible(a, i, other, rest[labels[rest + shift] != labels[i]], threshold)
+        while len(rest):
+            j, rest = int(rest[0]), rest[1:]
+            text = other.texts[j]
+            if 2 * common_subsequence(one, text) >= threshold * (len(one) + len(text)) - 1e-9 and similar(one, text, threshold):
+                out.append((i, j + shift))
+                x, y = sorted((labels[i], labels[j + shift]))
+                labels[labels == y] = x
+                rest = rest[labels[rest + shift] != labels[i]]
     return out
 
 
@@ -146,7 +134,10 @@ def _links(tiles: DataFrame, threshold: float) -> DataFrame:
                 at = lambda k: (p["tile"] << 10) + k if k < n else (p["other"] << 10) + k - n  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array([at(i) for i, _ in found], pa.int64()), pa.array([at(j) for _, j in found], pa.int64())], ["a", "b"])
 
-    across = pairs.select("tile", "texts", "classes", "other", "other_texts", "other_classes").mapInArrow(run, "a long, b long")
+    # a pair of tiles takes far more time than its few bytes suggest: a fixed number of partitions isn't coalesced by their size
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.select("tile", "texts", "classes", "other", "other_texts", "other_classes").repartition(parts, "tile", "other")
+    across = pairs.mapInArrow(run, "a long, b long")
     within = tiles.select("tile", F.posexplode("classes").alias("k", "c")).where("k <> c")
     at = lambda k: F.shiftleft("tile", 10) + F.col(k)
     return across.union(within.select(at("k"), at("c")))

@@ -119,20 +119,20 @@ def improvements(scored: DataFrame) -> DataFrame:
 
 
 def upper_median(scored: DataFrame, column: str = "overall", bins: int = 1000) -> float | None:
-    """Of n values in ascending order the one at place n // 2. A histogram of at most bins + 1
-    rows tells the bin that holds it, and only the different values of that bin are ranked."""
-    bin_ = F.floor(F.col(column) * bins)
-    counts = sorted(((r["bin"], r["n"]) for r in scored.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    place = (sum(n for _, n in counts) - 1) // 2  # in descending order
-    for bin_at, n in counts:
-        if place < n:
-            break
-        place -= n
-    else:
-        return None
-    values = scored.where(bin_ == bin_at).groupBy(column).agg(F.count("*").alias("n"))
-    up_to = F.sum("n").over(Window.orderBy(F.desc(column)))
-    return values.withColumn("up_to", up_to).where(F.col("up_to") > place).agg(F.max(column)).first()[0]
+    """Of n values in ascending order the one at place n // 2. A histogram of at most bins rows tells the bin that holds it, which is
+    split again until it holds one value: no task orders values, however many of them lie close together."""
+    values = written(scored.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL"))
+    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    place = n // 2
+    while n and low < high:
+        part = F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1))
+        rows = values.where(F.col("v").between(low, high)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for r in sorted(rows.collect()):
+            if place < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            place -= r["n"]
+    return low
 
 
 def quality_summary(scored: DataFrame, top: int = 5) -> DataFrame:

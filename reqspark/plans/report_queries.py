@@ -56,7 +56,7 @@ def c3(spark, sf_dir):
 def c4(spark, sf_dir):
     magic = F.element_at(F.array(*map(F.lit, ["89504E470D0A1A0A", "FFD8FFE0", "474946383961", "00"])), (F.col("doc_id") % 4 + 1).cast("int"))
     rows = _with_images(spark, sf_dir)
-    return rows.select("doc_id", images.image_format(F.col("name"), F.concat(F.unhex(magic), F.lit(b"  "))).alias("format"))
+    return rows.select("doc_id", images.image_format(F.col("name"), F.concat(F.unhex(magic), F.col("content"))).alias("format"))
 
 
 @query("c5_image_hash_dedup", f"WITH {IMAGES} SELECT sha256(body) AS hash, count(*) AS n, min(doc_id) AS first FROM im GROUP BY 1")

@@ -190,3 +190,9 @@ def test_no_chat_rows_are_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="no chat rows"):
         files.write_chat(spark.createDataFrame([], files.CHAT), str(tmp_path / "chat"))
     assert not (tmp_path / "chat").exists()
+    rows = [{"example_id": k, "messages": [{"role": "user", "content": "x\ny"}]} for k in range(3)]
+    (tmp_path / "array.json").write_text(json.dumps(rows, indent=1))
+    (tmp_path / "lines.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    for name, lines in (("array.json", False), ("lines.jsonl", True)):
+        got = files.read_chat(spark, str(tmp_path / name), lines=lines).orderBy("example_id").collect()
+        assert [(r.example_id, r.messages[0].content) for r in got] == [(k, "x\ny") for k in range(3)]
