@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from reqspark.llm import lm_scoring, pii, secret_scan
+from reqspark.llm import lm_scoring, pii, secret_scan, shingle_sets
 
 WORDS = "the of and to in a house river stone light number seven open water green mountain paper signal letter winter".split()
 
@@ -130,3 +130,17 @@ def test_pii_context_of_another_kind_tells_nothing(spark):
     added = {r.doc_id: r.added for r in pii.find_pii(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     right = sum([(s.kind, texts[k][s.start : s.end]) for s in added[k]] == [("phone", texts[k][10 : texts[k].index(" is")])] for k in mobile)
     assert right >= 95 and not any(added[k] for k in [*order, *date])
+
+
+def test_a_templated_family_verifies_few_pairs(spark, monkeypatch):
+    """Texts of one template that are no near duplicates meet under many keys, but few of their pairs bring texts together."""
+    rng, frame = np.random.default_rng(9), [f"t{k}" for k in range(230)]
+    texts = [" ".join(w if rng.random() > 0.06 else f"x{rng.integers(10**6)}" for w in frame) for _ in range(400)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(226)} for t in texts]
+    most = max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(400) for j in range(i))
+    pairs, real = [], shingle_sets.likely_pairs
+    monkeypatch.setattr(shingle_sets, "likely_pairs", lambda *a: pairs.append(real(*a)) or pairs[-1])
+    monkeypatch.setattr(shingle_sets, "discard", lambda *a: None)
+    got = shingle_sets.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert most < 0.8 and len(got) == 400 and all(r.doc_id == r.component_id for r in got)
+    assert sum(p.count() for p in pairs) < 2000
