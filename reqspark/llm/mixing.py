@@ -13,8 +13,9 @@ all blocks (weights of few decimals, and the default ones, have short periods).
 ``bucket_rows`` rows by a hash of doc_id; a rank is the rows in earlier buckets plus the place within the bucket, so no task
 sees a whole source.
 
-Defined cases: a null source is a source; rows that repeat a doc_id keep a place each; rows without a doc_id are mixed like
-any other; an empty table gives none; other columns are kept in ``row`` and not looked at; the text isn't read.
+Defined cases: a null source is a source; rows that repeat a doc_id keep a place each, in the order of hashes of whole rows
+(equal rows are interchangeable); rows without a doc_id are dealt and ordered by those hashes; an empty table gives none; other
+columns are kept in ``row``. Very long texts are only hashed.
 """
 
 from __future__ import annotations
@@ -84,10 +85,12 @@ def mix(docs: DataFrame, *, weights: dict[str | None, float] | None = None, bloc
     # a row carries its source's number, never its slots; all that follows is dealt by (source, bucket), so rows move once
     rows = rows.join(plans, F.col("source").eqNullSafe(F.col("mixed_as")))
     key = ["own", "bucket"]
-    rows = rows.withColumn("hash", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("hash", F.col("buckets")).cast("int"))
+    rows = rows.withColumn("tie", F.xxhash64(*(F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind)))
+    rows = rows.withColumn("hash", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.col("tie")))
+    rows = rows.withColumn("bucket", F.pmod("hash", F.col("buckets")).cast("int"))
     before = Window.partitionBy("own").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*key).agg(F.count("*").alias("n")).select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("hash", "doc_id"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("hash", "doc_id", "tie"))
     ranked = rows.withColumn("place", place).join(counts, key).withColumn("rank", F.col("first") + F.col("place") - 1)
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_rows)).withColumn("turn", F.col("block") % F.col("n_slots"))
     period = sum(shares) if shares and len(slots[0]) == shares[0] else 0  # all blocks are scheduled: none comes round again

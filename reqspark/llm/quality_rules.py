@@ -11,7 +11,8 @@ is small and else joins by language.
 
 Defined cases: a null text has no words; a null language has no reference, so only the counting rules hold; a language
 without a list of common words has no word test;
-repeated doc_ids are judged row by row; other columns of the input are not looked at.
+repeated doc_ids are judged row by row; an empty text has no words and fails for too few; a very long text is counted whole; an empty
+table gives no rows; other columns of the input are not looked at.
 """
 
 from __future__ import annotations

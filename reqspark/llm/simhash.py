@@ -15,7 +15,8 @@ Skew: copies collapse into a node before anything is paired. A block of over ``m
 bands: by pairs of single bytes for an exact radius, which leaves at most 2^16 different fingerprints of 64 bits.
 
 Defined cases: a text of fewer words than a shingle is one shingle; a null or empty text, or one without words, has
-fingerprint 0 and links like any other; repeated doc_ids keep a row each; other columns are not looked at.
+fingerprint 0 and links like any other; repeated doc_ids keep a row each; an empty table gives no rows; a very long text is hashed
+whole, in chunks of shingles; other columns are not looked at.
 """
 
 from __future__ import annotations
