@@ -6,11 +6,13 @@ Jaccard similarity of at least ``threshold`` with it. Lines without words stay.
 1. Documents are sorted by place and cut into lines, which are numbered in that order and written. A task writes the words of
    equal lines once and marks the later ones as repeated; those that are equal in several tasks meet by 128 bits of their set.
 2. Words are counted over these lines in ``BUCKETS`` counters by hash. Tokens are ordered by their counter, then by hash:
-   rare words first. Those over ``rare`` (and over twice the mean counter, which rises with the corpus) are frequent.
+   rare words first. Those over ``rare`` (and over twice the mean counter, which rises with the corpus) are frequent. The cut
+   trades rows under a key for keys a line: few tokens of a prefix are over it, so a line has about as many keys as its prefix
+   has tokens, however large the corpus.
 3. Similar lines of sizes over 1 share at least two tokens in their prefixes of size - ceil(t size) + 2 tokens. A line is put
    under each rare token of its prefix and each pair of frequent ones, so similar lines meet under a key. Lines of over
    ``LONG`` tokens are put under each token of the ordinary prefix instead (lines near that size under both).
-4. Lines under a key are compared by length, by position in the order, and by a parity bitmap of 64 bits (128 or
+4. Lines under a key are sorted by class of size (a step of 1 / t) and compared with those of their own and the next classes, by length, by position in the order, and by a parity bitmap of 64 bits (128 or
    256 for lines of over ``SHORT`` or ``MIDDLE`` tokens) whose difference can't exceed that of the sets. Each line is verified, by words, against the
    earliest line that passes. Lines that it doesn't remove and that met more get the next 16 that pass, then the next 128,
    and so on until each has been removed or held against all that pass. So large groups of similar lines make about one
@@ -217,33 +219,51 @@ def prefix_keys(ids: np.ndarray, tokens: Tokens, order: np.ndarray, frequent_fro
 def passing(rows: np.ndarray, threshold: float, limit: int, open_ids: np.ndarray | None = None, after: np.ndarray | None = None):
     """Pairs (later, earlier, more) that pass the filters under a key: for each later row the ``limit`` earliest, more being
     whether it passes with others beyond this one. With open_ids (ascending) only these are later rows, and only ids above
-    their ``after`` are earlier ones."""
-    rows = rows[np.lexsort((rows["id"], rows["key"]))]
-    new = np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])
-    begin = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-    todo = np.flatnonzero(~new)
+    their ``after`` are earlier ones. A row is held against rows of its own and the two next classes of size alone, as similar
+    lines are at most one class apart."""
+    rank = np.unique(rows["id"], return_inverse=True)
+    ids_up, rank = rank[0], rank[1].astype(np.int64)
+    group = np.floor(np.log(np.maximum(rows["size"], 1)) / (-np.log(threshold) * (1 + 1e-9))).astype(np.int64) if threshold < 1 else rows["size"].astype(np.int64)
+    by = np.lexsort((rank, group, rows["key"]))
+    rows, rank, group = rows[by], rank[by], group[by]
     ids, size, pos = rows["id"], rows["size"].astype(np.int64), rows["pos"].astype(np.int64)
-    floor = np.full(len(rows), -1, np.int64)
+    # runs of a key and a class; places of rows ascend by run, then id
+    new = np.concatenate([[True], (rows["key"][1:] != rows["key"][:-1]) | (group[1:] != group[:-1])])[: len(rows)]
+    run, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    next_to = np.append((rows["key"][first[1:]] == rows["key"][first[:-1]]) & (group[first[1:]] == group[first[:-1]] + 1), False)[: len(first)]
+    places = run * (len(ids_up) + 1) + rank
+    mine = np.arange(len(rows))
+    floor = np.zeros(len(rows), np.int64)  # rank from which others are looked at
     if open_ids is not None:
         at = np.minimum(np.searchsorted(open_ids, ids), len(open_ids) - 1)
-        floor = np.where(open_ids[at] == ids, after[at], -2)
-        todo = todo[floor[todo] != -2]
+        mine = mine[open_ids[at] == ids]
+        floor = np.searchsorted(ids_up, after[at], "right")
+    todo, of = [], []
+    for apart in (-1, 0, 1):
+        other = run[mine] + apart
+        there = np.ones(len(mine), bool) if apart == 0 else next_to[run[mine]] if apart > 0 else (other >= 0) & next_to[other]
+        todo.append(mine[there])
+        of.append(other[there])
+    todo, of = np.concatenate(todo), np.concatenate(of) * (len(ids_up) + 1)
+    other, stop = np.searchsorted(places, of + floor[todo]), np.searchsorted(places, of + rank[todo])  # earliest first
     bitmap = [np.ascontiguousarray(rows[f"b{k}"]) for k in range(4)]
     least = np.ceil(threshold * size - 1e-9).astype(np.int64)
-    seen = np.zeros(len(rows), np.int64)
-    later, earlier, step = [], [], 0
-    while len(todo):
-        other = begin[todo] + step  # earliest first
-        live = other < todo
-        todo, other = todo[live], other[live]
+    seen = np.zeros(len(todo), np.int64)
+    later, earlier = [], []
+    while True:
+        live = (other < stop) & (seen <= limit)
+        if not live.all():
+            todo, other, stop, seen = todo[live], other[live], stop[live], seen[live]
+        if not len(todo):
+            break
         # by length
-        ok = (size[other] >= least[todo]) & (size[todo] >= least[other]) & (ids[other] > floor[todo]) & (ids[todo] != ids[other])
-        a, b = todo[ok], other[ok]
+        some = np.flatnonzero((size[other] >= least[todo]) & (size[todo] >= least[other]))
+        a, b = todo[some], other[some]
         # by position in the order: similar lines pass under the first that they share, so under others they needn't
         both = size[a] + size[b]
         need = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
         ok = np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need
-        a, b, gap = a[ok], b[ok], (both - 2 * need)[ok]
+        a, b, some, gap = a[ok], b[ok], some[ok], (both - 2 * need)[ok]
         # by bitmap, folded to as many bits as the shorter line has
         d = [x[a] ^ x[b] for x in bitmap]
         bits = lambda *words: sum(np.bitwise_count(x).astype(np.int64) for x in words)
@@ -251,12 +271,10 @@ def passing(rows: np.ndarray, threshold: float, limit: int, open_ids: np.ndarray
         ok = bits(d[0] ^ d[1] ^ d[2] ^ d[3]) <= gap
         ok &= (shorter <= SHORT) | (bits(d[0] ^ d[2], d[1] ^ d[3]) <= gap)
         ok &= (shorter <= MIDDLE) | (bits(*d) <= gap)
-        a, b = a[ok], b[ok]
-        seen[a] += 1
-        later.append(ids[a])
-        earlier.append(ids[b])
-        todo = todo[seen[todo] <= limit]
-        step += 1
+        seen[some[ok]] += 1
+        later.append(ids[a[ok]])
+        earlier.append(ids[b[ok]])
+        other = other + 1
     pairs = np.stack([np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later, earlier)])
     pairs = np.unique(pairs, axis=1) if pairs.shape[1] else pairs  # by later, then earlier
     new = np.concatenate([[True], pairs[0][1:] != pairs[0][:-1]]) if pairs.shape[1] else np.zeros(0, bool)
@@ -418,7 +436,7 @@ def _verified(found: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
     return out
 
 
-def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 256, next_limit: int = 16) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 1024, next_limit: int = 16) -> tuple[DataFrame, DataFrame]:
     """All lines that have words as (id, DOCUMENT, line, equal), written, and the ids of those that have an earlier similar line but
     for those that are ``equal`` to one of the same task."""
     spark = docs.sparkSession
