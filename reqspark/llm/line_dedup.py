@@ -408,24 +408,30 @@ def _candidates(blocks: DataFrame, threshold: float, limit: int, dealt: int, ope
     return materialise(found, release=True)
 
 
-def _lines_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The lines of pairs, written, and some others: a bitmap of fixed size tells before any words are shuffled."""
-    every = pairs.select(F.explode(F.array("later", "earlier")).alias("id"))
+def _flagged(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, words, met) of lines: met where a bitmap of fixed size doesn't rule out that the id is among ids. No words are shuffled
+    for it, so that only those of lines that are met go into joins."""
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << KEY_BITS)) + 1
-    bits = pairs.sparkSession.sparkContext.broadcast(_collected(every.select(bit.alias("bit"))))
+    bits = lines.sparkSession.sparkContext.broadcast(_collected(ids.select(bit.alias("bit"))))
 
     def run(batches):
         for batch in batches:
             at = batch.column(2).to_numpy() - 1
-            yield batch.filter(pa.array(bits.value[at >> 3] >> (at & 7) & 1 == 1)).select(["id", "words"])
+            met = pa.array(bits.value[at >> 3] >> (at & 7) & 1 == 1, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), met], ["id", "words", "met"])
 
-    return materialise(lines.select("id", "words", bit.alias("bit")).mapInArrow(run, "id long, words string"), release=True)
+    return lines.select("id", "words", bit.alias("bit")).mapInArrow(run, "id long, words string, met boolean")
+
+
+def _lines_of(ids: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines of ids, written, and some others."""
+    return materialise(_flagged(lines, ids).where("met").select("id", "words"), release=True)
 
 
 def _verified(found: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """(id), written: the later lines of pairs whose words are as similar as asked."""
     pairs = found.select("later", "earlier").distinct()
-    some = _lines_of(pairs, lines)
+    some = _lines_of(pairs.select(F.explode(F.array("later", "earlier")).alias("id")), lines)
     side = lambda name: some.select(F.col("id").alias(name), F.col("words").alias(f"{name}_words"))
     both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
     parted = both.select("later", F.array_distinct(F.split("later_words", " ")).alias("a"), F.array_distinct(F.split("earlier_words", " ")).alias("b"))
@@ -446,7 +452,9 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 1024,
     some = written.where("words IS NOT NULL")
     later = some.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("print", "first")
     equal = materialise(some.select("id", "print").join(later, "print").where("id <> first").select("id"), release=True)
-    lines = materialise(some.select("id", "words").join(equal, "id", "left_anti"), release=True)
+    flagged = materialise(_flagged(some, equal), release=True)
+    others = materialise(flagged.where("met").select("id", "words").join(equal, "id", "left_anti"), release=True)
+    lines = flagged.where("NOT met").select("id", "words").union(others)
     order, frequent_from = ranks(_counters(written), rare)
     places = materialise(written.where("id IS NOT NULL").select("id", *DOCUMENT, "line", F.col("words").isNull().alias("equal")))
     discard(written)  # its words are in lines
@@ -463,7 +471,9 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 1024,
         discard(found)
         if still.isEmpty():
             break
-        asking = materialise(_blocks(lines.join(still, "id"), order, frequent_from, threshold, dealt), release=True)
+        asked = _lines_of(still.select("id"), lines)
+        asking = materialise(_blocks(asked.join(still, "id"), order, frequent_from, threshold, dealt), release=True)
+        discard(asked)
         if blocks is None:  # rows of the keys of lines that are open after the first round serve all others
             wanted = spark.sparkContext.broadcast(_wanted(asking))
             blocks = materialise(_blocks(every, order, frequent_from, threshold, dealt, wanted))
@@ -472,7 +482,7 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 1024,
         gone, old = materialise(gone.union(more)), gone
         discard(old, more, still, asking)
         limit *= 8
-    discard(still, lines, *[blocks] * (blocks is not None))
+    discard(still, flagged, others, *[blocks] * (blocks is not None))
     gone, old = materialise(gone.union(equal)), gone
     discard(old, equal)
     return places, gone
