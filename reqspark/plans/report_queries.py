@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import responses as R
+from ..functions.tables import with_once
 from ..functions.text import clean_text
 from ..operators import context, images, prompts, raft, reports
 from ..sources import adapters
@@ -174,9 +175,9 @@ def d10(spark, sf_dir):
 
 
 def _requirements(spark, sf_dir):
-    rows = adapters.responses(spark, sf_dir)
-    kind = R.triage(F.col("response"), R.parse_response(F.col("response")))
-    return rows.select("requirement_id", F.concat(F.lit("F"), F.col("requirement_id") % 20).alias("source_file"), kind.alias("error_type"), (F.col("requirement_id") % 9).alias("seconds"))
+    rows = with_once(adapters.responses(spark, sf_dir), "parsed", R.parse_response(F.col("response")))
+    rows = with_once(rows, "error_type", R.triage(F.col("response"), F.col("parsed")))
+    return rows.select("requirement_id", F.concat(F.lit("F"), F.col("requirement_id") % 20).alias("source_file"), "error_type", (F.col("requirement_id") % 9).alias("seconds"))
 
 
 def _timed(spark, sf_dir):
