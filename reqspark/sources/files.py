@@ -66,7 +66,9 @@ def write_examples(examples: DataFrame, folder: str) -> None:
 
 
 def write_images(images: DataFrame, folder: str) -> None:
-    """source_file, seq, name, content as image files, a folder for each archive; bytes aren't shuffled. Of images that get the same
-    name the last one stays."""
+    """source_file, seq, name, content as image files, a folder for each archive. Of images that get the same name the last one stays:
+    the last place of each name is found first, so that no others are written."""
     name = F.concat_ws("/", file_name(F.col("source_file")), safe_name(F.col("name")))
-    write_named(images.select(name.alias("name"), "content", F.col("seq").cast("long").alias("place")), folder, whole="true")
+    rows = images.select(name.alias("name"), "content", F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("place"))
+    last = rows.groupBy("name").agg(F.max("place").alias("place"))
+    write_named(rows.join(last, ["name", "place"], "left_semi").select("name", "content", "place"), folder, whole="true")

@@ -51,3 +51,13 @@ def test_pairs_are_compared_before_they_are_sorted(spark):
     rows = dedup.described_pairs(adapters.cases(spark, SF))
     assert "PythonUDF" not in rows._jdf.queryExecution().executedPlan().toString() and "each(" not in rows._jdf.queryExecution().executedPlan().toString()
     assert rows.columns == ["requirement_id", "a", "b", "similarity", "summary_a", "summary_b"]
+
+
+def test_only_the_last_image_of_a_name_is_written(spark, monkeypatch):
+    from reqspark.sources import files
+
+    seen = {}
+    monkeypatch.setattr(files, "write_named", lambda rows, folder, **options: seen.update(rows={r.name: (r.place, r.content) for r in rows.collect()}, n=rows.count()))
+    images = spark.createDataFrame([("s", k if k else None, f"p{k % 3}.png", b"%d" % k) for k in range(30)], "source_file string, seq long, name string, content binary")
+    files.write_images(images, "unused")
+    assert seen == {"n": 3, "rows": {"s/p0.png": (27, b"27"), "s/p1.png": (28, b"28"), "s/p2.png": (29, b"29")}}
