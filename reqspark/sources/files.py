@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.images import safe_name
 from .sinks import file_name, write_named
 
+#: Partitions over which the names of case tables are dealt, at least.
+APART = 256
 CHAT = "example_id long, messages array<struct<role:string,content:string,images:array<string>>>, metadata struct<requirement_id:long,quality_rating:int,annotation_notes:string,original_model:string,image_count:int,oracle_image_count:int>"
 LOG = "event_id long, timestamp string, level string, session_id long, event_type string, value double"
 
@@ -45,11 +47,12 @@ def read_cases_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_cases(table: DataFrame, folder: str, by: str, order: tuple[str, ...] = ()) -> None:
-    """One CSV file for each value of by, called after it, its rows in order. A null value's rows go to a file called unknown."""
+    """One CSV file for each value of by, called after it, its rows in order. A null value's rows go to a file called unknown.
+    One task writes a file; names are dealt over so many partitions that few share one."""
     columns = [c for c in table.columns if c != by]
     line = F.concat(F.to_csv(F.struct(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in columns)), {"quoteAll": "true", "escape": '"'}), F.lit("\n"))
     rows = table.select(file_name(F.coalesce(F.col(by).cast("string"), F.lit("unknown")), ".csv").alias("name"), line.alias("content"), *(F.col(f"`{c}`").alias(f"order_{k}") for k, c in enumerate(order)))
-    rows = rows.repartition("name").sortWithinPartitions("name", *(f"order_{k}" for k in range(len(order))))
+    rows = rows.repartition(max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), APART), "name").sortWithinPartitions("name", *(f"order_{k}" for k in range(len(order))))
     head = ",".join('"' + c.replace('"', '""') + '"' for c in columns) + "\n"
     write_named(rows.select("name", "content"), folder, head=head)
 

@@ -61,3 +61,13 @@ def test_only_the_last_image_of_a_name_is_written(spark, monkeypatch):
     images = spark.createDataFrame([("s", k if k else None, f"p{k % 3}.png", b"%d" % k) for k in range(30)], "source_file string, seq long, name string, content binary")
     files.write_images(images, "unused")
     assert seen == {"n": 3, "rows": {"s/p0.png": (27, b"27"), "s/p1.png": (28, b"28"), "s/p2.png": (29, b"29")}}
+
+
+def test_case_tables_dont_share_a_task(spark, monkeypatch):
+    from reqspark.sources import files
+
+    seen = []
+    monkeypatch.setattr(files, "write_named", lambda rows, folder, **options: seen.extend(rows.select("name", F.spark_partition_id().alias("part")).distinct().collect()))
+    table = spark.range(200).select(F.col("id").alias("LinkTest"), F.concat(F.lit("F"), F.col("id") % 20).alias("source_file"))
+    files.write_cases(table, "unused", "source_file")
+    assert len({r.name for r in seen}) == len({r.part for r in seen}) == len(seen) == 20
