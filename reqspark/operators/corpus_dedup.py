@@ -8,22 +8,27 @@ texts, so that the ratio is 2 M / S:
 - characters: M is at most the size of the common multiset of characters;
 - order: blocks stand in the same order in both texts, so M is at most their longest common subsequence;
 - pairs of characters: between two blocks at least one character is in none, so there are at most S - 2 M + 1 blocks, and the common
-  multiset of character pairs has at least M minus that many members: M is at most (common pairs + S + 1) / 3.
+  multiset of character pairs has at least M minus that many members: M is at most (common pairs + S + 1) / 3;
+- anchors, if both texts have 200 characters or more: there difflib leaves out the characters that the second text has more than
+  length / 100 + 1 times, so each block holds one of the R others, but for one block at the start of both texts. A block of n
+  characters has n - 3 runs of four: M is at most the common runs and 3 (R + 1). In prose R is small, and only near copies pass.
 
-Characters and pairs are counted by their remainders in vectors of fixed size; this can only raise what is common.
+Characters, pairs and runs are counted by their remainders in vectors of fixed size; this can only raise what is common. The bound by
+anchors is one product of matrices for a pair of tiles. Common subsequences of one text with all of a tile are found at once, each text
+of the tile having its own bits of one long integer.
 
 At scale: equal texts are one. Texts are range-partitioned by length and cut into tiles of at most ``TILE`` texts or ``BYTES``. A tile
 knows its own classes. Tiles whose lengths allow a link meet by an equi-join on bands of lengths, where a band of many tiles is
 dealt over as many groups as it needs, so that a length that a third of all texts have is spread. Bounds are evaluated for a whole
 pair of tiles at a time; difflib sees only pairs that pass all of them and aren't in one class yet, so a family of near copies
 costs about one comparison a text, not one a pair. A pair of tiles gives at most one link for each two classes that it joins.
-The number of pairs of tiles within a band grows with the square of its texts: no exact filter for this ratio is selective enough
-to leave it out.
+The number of pairs of tiles within a band grows with the square of its texts.
 """
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +41,14 @@ from ..functions.similarity import common_subsequence
 from ..functions.tables import written
 from .components import components
 
-#: Texts and bytes a tile; tiles a group; sizes of the vectors of characters and of pairs.
-TILE, BYTES, GROUP, CHARACTERS, PAIRS = 512, 1 << 22, 8, 64, 512
+#: Texts (at most 1024) and bytes a tile; tiles a group; sizes of the vectors of characters and of pairs; of runs of four, for texts
+#: of up to 512 characters and for longer ones.
+TILE, BYTES, GROUP, CHARACTERS, PAIRS, RUNS = 1000, 1 << 22, 8, 64, 512, (2039, 8191)
+#: Fixed value of difflib: from so many characters on it leaves frequent ones out.
+LONG = 200
+#: Common subsequences with a whole tile are found at once if its texts are no longer, it has no more different characters, and more
+#: places than these are open.
+LANE, KINDS, FEW = 512, 1000, 16
 
 
 class Tile:
@@ -49,6 +60,60 @@ class Tile:
         self.texts, self.lengths = texts, np.array([len(p) for p in points])
         self.characters = np.array([count(p, CHARACTERS) for p in points])
         self.pairs = np.array([count(p[:-1] * 31 + p[1:], PAIRS) for p in points])
+        self._points = points
+
+    def runs(self, size: int) -> np.ndarray:
+        runs = [((p[:-3] * 31 + p[1:-2]) * 31 + p[2:-1]) * 31 + p[3:] for p in self._points]
+        return np.array([np.bincount(r % size, minlength=size).astype(np.float32) for r in runs])
+
+    @cached_property
+    def anchors(self) -> np.ndarray:
+        """How many characters of each text difflib doesn't leave out."""
+        counts = [np.unique(p, return_counts=True)[1] for p in self._points]
+        return np.array([int(c[c <= n // 100 + 1].sum()) for c, n in zip(counts, self.lengths)])
+
+    @cached_property
+    def lanes(self) -> tuple[dict[str, int], int, np.ndarray] | None:
+        """The places of each character in all texts, a bit each and one free bit after each text; all places; where texts start."""
+        if self.lengths.max() > LANE:
+            return None
+        starts = np.concatenate([[0], np.cumsum(self.lengths + 1)])
+        held = np.ones(starts[-1], bool)
+        held[starts[1:] - 1] = False
+        points = np.zeros(starts[-1], np.int64)
+        points[held] = np.concatenate(self._points)
+        bits = lambda places: int.from_bytes(np.packbits(places, bitorder="little").tobytes(), "little")
+        kinds = np.unique(points[held])
+        return ({chr(c): bits(held & (points == c)) for c in kinds.tolist()}, bits(held), starts) if len(kinds) <= KINDS else None
+
+
+def common_subsequences(text: str, tile: Tile) -> np.ndarray:
+    """The length of the longest common subsequence of text with each text of a tile that has lanes: steps of
+    similarity.common_subsequence on all of them at once. What a step carries out of a text stays in its free bit."""
+    places, full, starts = tile.lanes
+    open_ = full
+    for c in text:
+        if met := open_ & places.get(c, 0):
+            open_ = ((open_ + met) | (open_ - met)) & full
+    bits = np.frombuffer(open_.to_bytes(-(-int(starts[-1]) // 8), "little"), np.uint8)
+    return tile.lengths - np.add.reduceat(np.unpackbits(bits, bitorder="little", count=int(starts[-1])), starts[:-1], dtype=np.int64)
+
+
+def anchored(a: Tile, b: Tile, threshold: float) -> np.ndarray | None:
+    """Which places of a (rows) and b may link by the bound by anchors; None if it tells nothing."""
+    if max(a.lengths.min(), b.lengths.min()) < LONG and min(a.lengths.max(), b.lengths.max()) < LONG:
+        return None
+    size = RUNS[int(max(a.lengths.max(), b.lengths.max()) > 512)]
+    x, y = a.runs(size), b.runs(size)
+    # so many common runs are needed; what one text has of those that the other has at all is no less than what is common
+    least = threshold / 2 * (a.lengths[:, None] + b.lengths) - 3 * (np.maximum(a.anchors[:, None], b.anchors) + 1) - 1e-2
+    short = np.minimum(a.lengths[:, None], b.lengths) < LONG
+    open_ = short | (x @ np.minimum(y, 1).T >= least)
+    i, j = np.nonzero(open_ & ~short)
+    for k in range(0, len(i), 256):
+        p, q = i[k : k + 256], j[k : k + 256]
+        open_[p, q] = np.minimum(x[p], y[q]).sum(axis=1) >= least[p, q]
+    return open_
 
 
 def possible(a: Tile, i: int, b: Tile, j: np.ndarray, threshold: float) -> np.ndarray:
@@ -68,9 +133,15 @@ def joined(a: Tile, b: Tile | None, classes: list[int], threshold: float) -> lis
     """Links between places of a and b (of a alone, if b is None) that join different classes; b's places follow a's."""
     labels, out, other = np.array(classes), [], b or a
     shift = len(a.texts) if b else 0
+    open_ = anchored(a, other, threshold)
     for i, one in enumerate(a.texts):
         rest = np.arange(0 if b else i + 1, len(other.texts))
+        if open_ is not None:
+            rest = rest[open_[i, rest]]
         rest = possible(a, i, other, rest[labels[rest + shift] != labels[i]], threshold)
+        if len(rest) > FEW and other.lanes:
+            both = len(one) + other.lengths[rest]
+            rest = rest[2 * common_subsequences(one, other)[rest] >= threshold * both - 1e-9]
         while len(rest):
             j, rest = int(rest[0]), rest[1:]
             text = other.texts[j]

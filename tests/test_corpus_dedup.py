@@ -89,6 +89,35 @@ def test_bounds_hold():
     assert common_subsequence("abcbdab", "bdcaba") == 4 and common_subsequence("abcbdab", "xyz") == common_subsequence("", "a") == 0
 
 
+def test_common_subsequences_with_a_whole_tile():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdé東") for _ in range(rng.randint(1, 80))) for _ in range(200)]
+    tile = corpus_dedup.Tile(texts)
+    for one in texts[:40]:
+        assert corpus_dedup.common_subsequences(one, tile).tolist() == [common_subsequence(one, t) for t in texts]
+    assert corpus_dedup.Tile(["a" * 600]).lanes is None
+
+
+def test_long_texts_of_one_vocabulary_stay_out_of_subsequences(monkeypatch):
+    """Prose of 200 characters or more differs by the runs that difflib's anchors can hold together; near copies stay in, with a block
+    without an anchor at the start, and across the length of 200."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("eeeettaaooiinnsshrrdlu") for _ in range(rng.randint(3, 9))) for _ in range(2_000)]
+    prose = [" ".join(rng.choice(words) for _ in range(n)) for n in (50, 60, 70) for _ in range(60)]
+    calls, real = Counter(), corpus_dedup.common_subsequence
+    monkeypatch.setattr(corpus_dedup, "common_subsequence", lambda *a: calls.update(n=1) or real(*a))
+    tile = corpus_dedup.Tile(prose)
+    assert tile.lengths.min() >= 200 and corpus_dedup.joined(tile, None, list(range(180)), 0.85) == [] and calls["n"] < 20
+    for _ in range(300):
+        x = "".join(rng.choice("aaaaeeeebcdxyzqé"[: rng.randint(2, 16)]) for _ in range(rng.randint(190, 260)))
+        k, m = rng.randrange(len(x)), rng.randrange(len(x))
+        y = rng.choice([x[:k] + "#" + x[k:], x[:k] + x[k + 9 :], x[k:] + x[:k], x[: max(k, 150)] + x[:k][::-1], x[:m] + "".join(rng.choice("ab") for _ in range(20)) + x[m:]])
+        if x != y and ratio(x, y) >= 0.85:
+            calls["near"] += 1
+            assert corpus_dedup.joined(corpus_dedup.Tile([x]), corpus_dedup.Tile([y]), [0, 1], 0.85) == [(0, 1)]
+    assert calls["near"] > 50
+
+
 def test_a_family_costs_few_comparisons(monkeypatch):
     """A thousand near copies are told by about one comparison each, and templated texts that differ by their words by few."""
     calls = Counter()
