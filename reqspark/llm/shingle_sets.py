@@ -1,10 +1,11 @@
 """Documents whose sets of five-word shingles have a Jaccard similarity of at least ``threshold``.
 
-1. Each text becomes the set of its shingles' hashes (XXH64) and from that a fingerprint of the set (XXH3, 128 bits) and
-   ``BANDS`` keys, each of ``ROWS`` minima of hashes. Texts of equal sets are one node.
-2. Nodes meet under a key: at a similarity of 0.8 a pair misses each other with the chance (1 - 0.8^5)^32 = 3 in a million,
+1. Each text becomes the set of its shingles' hashes (XXH64) and from that a fingerprint of the set (XXH3, 128 bits), its SimHash (a bit
+   is set if it is in over half of the hashes) and ``BANDS`` keys, each of ``ROWS`` minima of hashes. Texts of equal sets are one node.
+2. Nodes first meet as the caller says (``meet``: simhash.drop_near_duplicates lets those of near SimHash fingerprints meet). What
+   that misses meets under a key: at a similarity of 0.8 a pair misses each other with the chance (1 - 0.8^5)^32 = 3 in a million,
    less above. How large a block is changes nothing in that.
-3. First each node is held against the least node that it meets, and what is linked joins into classes. Then all pairs
+3. First what ``meet`` gives, and each node with the least node under its keys, is compared, and what is linked joins into classes. Then all pairs
    under a key whose nodes are not of one class yet are compared, so copies of one text never make all their pairs. A
    block of over ``max_block`` nodes is dealt into parts, and every two parts meet as a group of their own.
 4. Bands let pairs through far below the threshold, all those of a large family of one template among them. A pair first brings
@@ -19,6 +20,8 @@ stand in no order and are neither removed nor a reason to remove.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -67,8 +70,16 @@ def fingerprint(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
+def majority(hashes: np.ndarray) -> bytes:
+    """The SimHash of a set of hashes, big-endian: bits that are set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 15):
+        counts += np.unpackbits(hashes[k : k + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
+
+
 def _keyed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, part, fp, n, keys, minima); part is the hash of the text."""
+    """(doc_id, part, fp, n, keys, minima, simhash); part is the hash of the text."""
 
     def run(batches):
         for batch in batches:
@@ -76,10 +87,10 @@ def _keyed(docs: DataFrame, words: int) -> DataFrame:
             keyed = [band_keys(s) for s in sets]
             keys = np.concatenate([k for k, _ in keyed]) if sets else np.zeros(0, np.int64)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys))
-            columns = [batch.column(0), batch.column(2), pa.array(map(fingerprint, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), keys, pa.array([m for _, m in keyed], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "fp", "n", "keys", "minima"])
+            columns = [batch.column(0), batch.column(2), pa.array(map(fingerprint, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), keys, pa.array([m for _, m in keyed], pa.binary()), pa.array(map(majority, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "fp", "n", "keys", "minima", "simhash"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("part")).mapInArrow(run, "doc_id long, part long, fp binary, n int, keys array<long>, minima binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("part")).mapInArrow(run, "doc_id long, part long, fp binary, n int, keys array<long>, minima binary, simhash binary")
 
 
 def _texts(docs: DataFrame, ends: DataFrame, words: int) -> DataFrame:
@@ -154,22 +165,25 @@ def _open_pairs(met: DataFrame, roots: DataFrame, done: DataFrame, threshold: fl
     return materialise(both.join(done, ["a", "b"], "left_anti"), release=True)
 
 
-def similar_documents(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, max_block: int = 1024) -> DataFrame:
-    """doc_id, part (the hash of its text) and component_id (the smallest doc_id of the class) of every row that has a doc_id."""
+def similar_documents(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, max_block: int = 1024, meet: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id, part (the hash of its text) and component_id (the smallest doc_id of the class) of every row that has a doc_id. meet
+    gives written pairs (a, b; a > b) of the nodes (fp, simhash) to be compared first."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     keyed = materialise(_keyed(docs, words))
-    nodes = materialise(keyed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("minima").alias("minima")))
+    nodes = materialise(keyed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("simhash").alias("simhash")))
     # rows of equal sets have equal keys
     entries = keyed.join(nodes, (keyed["fp"] == nodes["fp"]) & (keyed["doc_id"] == nodes["least"])).select(keyed["fp"], keyed["n"], F.explode("keys").alias("key"))
     blocks = entries.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first <> last").select("key", "first")
     met = materialise(entries.join(blocks, "key").distinct(), release=True)
-    tried = materialise(met.where("fp <> first").groupBy("fp").agg(F.min("first").alias("b")).select(F.col("fp").alias("a"), "b"), release=True)
+    tried = met.where("fp <> first").groupBy("fp").agg(F.min("first").alias("b")).select(F.col("fp").alias("a"), "b")
+    near = meet(nodes.select("fp", "simhash")) if meet else None
+    tried = materialise(tried.union(near).distinct() if near else tried, release=True)
     links = _linked(tried, docs, nodes, words, threshold)
     roots = _classes(links, nodes)
     pairs = _open_pairs(met.select("fp", "n", "key"), roots, tried, threshold, max_block)
     more = _linked(pairs, docs, nodes, words, threshold)
-    discard(met, tried, pairs, roots)
+    discard(met, tried, pairs, roots, *([near] if near else []))
     roots = _classes(links.union(more), nodes)
     classes = roots.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     out = materialise(keyed.select("doc_id", "part", "fp").join(roots, "fp").join(classes, "root").select("doc_id", "part", "component_id"), release=True)

@@ -236,11 +236,24 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, bits: int = 64, radius:
     return prints.join(known, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def nodes_that_meet(nodes: DataFrame, *, radius: int = 14, bands: int = 8) -> DataFrame:
+    """(a, b), written, a > b: nodes (fp, simhash) whose fingerprints are equal or lie within the radius, enough to connect them."""
+    prints = materialise(nodes.groupBy("simhash").agg(F.min("fp").alias("first")))
+    near = near_pairs(prints.select(F.col("simhash").alias("fp")), bits=64, radius=radius, bands=bands)
+    side = lambda name: prints.select(F.col("simhash").alias(name), F.col("first").alias(f"{name}_first"))
+    across = near.join(side("a"), "a").join(side("b"), "b").select(F.greatest("a_first", "b_first").alias("a"), F.least("a_first", "b_first").alias("b"))
+    same = nodes.join(prints, "simhash").where("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    out = materialise(across.union(same), release=True)
+    discard(prints, near)
+    return out
+
+
 def drop_near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs without those that have a near duplicate of smaller doc_id in their class: classes join texts whose
-    shingles have a Jaccard similarity of at least threshold, counted and not estimated. A row's identity is its doc_id with its
+    shingles have a Jaccard similarity of at least threshold, counted and not estimated. Texts whose SimHash fingerprints are near are
+    compared first; what fingerprints miss at that similarity is found by minima of shingles, so that no link is lost. A row's identity is its doc_id with its
     text: of rows that repeat both, one stays, and different texts of one doc_id are rows of their own; rows without doc_id stay."""
-    found = similar_documents(docs, words=words, threshold=threshold)
+    found = similar_documents(docs, words=words, threshold=threshold, meet=nodes_that_meet)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id"), "part").distinct()
     row = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("part"), F.struct("*").alias("row"))
     once = F.row_number().over(Window.partitionBy("id", "part").orderBy("id"))

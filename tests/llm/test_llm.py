@@ -519,6 +519,25 @@ def test_near_duplicates_are_those_of_jaccard(spark):
     assert (lost, false) == (0, 0)
 
 
+def test_near_duplicates_come_from_fingerprints(spark, monkeypatch):
+    """Most pairs at 0.9 meet by their SimHash fingerprints alone, equal fingerprints too, and unlike texts don't."""
+    near = pairs_at(0.9, 0.95, 100, 3, 0)
+    sets, seen, real = {}, [], simhash.nodes_that_meet
+    for k, text in near:
+        hashes = shingle_sets.shingles(text.encode(), 5)
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        assert np.unpackbits(np.frombuffer(shingle_sets.majority(hashes), np.uint8)).tolist() == (2 * bits.sum(axis=0) > len(hashes)).astype(int).tolist()
+        sets[shingle_sets.fingerprint(hashes)] = k
+    monkeypatch.setattr(simhash, "nodes_that_meet", lambda nodes: seen.append(nodes) or real(nodes))
+    monkeypatch.setattr(shingle_sets, "discard", lambda *a: None)
+    left = simhash.drop_near_duplicates(spark.createDataFrame(near, "doc_id long, text string")).count()
+    met = {tuple(sorted((sets[bytes(r.a)], sets[bytes(r.b)]))) for r in real(seen[0]).collect()}
+    assert left == 100 and len(seen) == 1
+    assert len(met & {(k, k + 1) for k in range(0, 200, 2)}) >= 80 and len(met) < 110, len(met & {(k, k + 1) for k in range(0, 200, 2)})
+    nodes = spark.createDataFrame([(bytearray(b"%d" % k), bytearray(8)) for k in range(3)], "fp binary, simhash binary")
+    assert sorted((bytes(r.a), bytes(r.b)) for r in real(nodes).collect()) == [(b"1", b"0"), (b"2", b"0")]
+
+
 def test_near_duplicates_in_parts_of_blocks(spark):
     """A block of any size gives the classes of all pairs: chains, copies, and texts that open alike."""
     rng, texts = np.random.default_rng(6), []
