@@ -31,6 +31,16 @@ def test_partitions_grow_with_the_lines(spark, monkeypatch):
         assert registry.QUERIES[name](spark, SF).rdd.getNumPartitions() == parts, name
 
 
+def test_many_lines_are_dealt_by_number_whatever_the_session_has(spark, monkeypatch):
+    """Also a session of enough partitions: adaptive execution would merge those of a plain join."""
+    before = sorted(adapters.cases(spark, SF).collect())
+    monkeypatch.setattr(adapters, "EACH", 1_000)
+    for rows in (adapters.cases(spark, SF), adapters.responses(spark, SF)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan
+    assert sorted(adapters.cases(spark, SF).collect()) == before
+
+
 def test_responses_are_parsed_once(spark):
     once = adapters.responses(spark, SF).select(R.parse_response(F.col("response")).alias("parsed"))
     parses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("objectkeys")
