@@ -81,3 +81,24 @@ def test_case_tables_dont_share_a_task(spark, monkeypatch):
     table = spark.range(200).select(F.col("id").alias("LinkTest"), F.concat(F.lit("F"), F.col("id") % 20).alias("source_file"))
     files.write_cases(table, "unused", "source_file")
     assert len({r.name for r in seen}) == len({r.part for r in seen}) == len(seen) == 20
+
+
+def test_lists_of_a_file_are_written_once_a_task(spark, tmp_path):
+    """Lists of more than Parquet's usual dictionary, in a caller's session that stays as it is."""
+    from reqspark.operators import context
+
+    own = tables.session_with(spark, context.LONG_LISTS)
+    long = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.sha2(F.concat_ws("/", "seq", k), 256)), " ")
+    kind = F.when(F.col("seq") % 5 == 0, "System Interface").otherwise("System Requirement")
+    rows = own.range(500).select(F.lit("f").alias("source_file"), F.col("id").alias("seq"), F.col("id").cast("string").alias("id")).withColumn("type", kind)
+    rows = rows.withColumn("text", F.when(F.col("type") == "System Interface", long).otherwise("x"))
+    lines = lambda items: F.array_join(F.transform(items, lambda x: x["text"]), "\n")
+    augmented = context.augment_requirements(rows, 100, shown=lines, together=150)
+    augmented.write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out").groupBy(F.xxhash64("interfaces"), "n_interfaces").agg(F.count("*"), F.max(F.length("interfaces")), F.countDistinct("seq")).collect()
+    assert [tuple(r)[1:] for r in out] == [(100, 400, 100 * (300 * 65) - 1, 400)]
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 3 * 100 * 300 * 65
+    from reqspark.plans import registry
+
+    assert registry.QUERIES["d4_augment_requirements"](spark, SF).sparkSession.conf.get("parquet.dictionary.page.size") == str(1 << 30)
+    assert spark.conf.get("parquet.dictionary.page.size", None) is None
