@@ -18,8 +18,8 @@ Jaccard similarity of at least ``threshold`` with it. Lines without words stay.
    and so on until each has been removed or held against all that pass. So large groups of similar lines make about one
    pair a line, never all pairs, and no line is left out.
 
-Keys travel as compressed blocks of numbers, dealt by key (so many deals that each has about ``DEAL`` rows). For further rounds
-only the rows under keys of open lines are made again (by a bitmap of fixed size, which lets some others through) and written.
+Keys travel as compressed blocks of numbers, dealt by key (so many deals that each has about ``DEAL`` rows), and are written: for further
+rounds only the rows under keys of open lines are taken from them (by a bitmap of fixed size, which lets some others through).
 No text is shuffled for the comparison.
 
 Defined cases: a null text has no lines and stays null, an empty one has one line without words; a document is a doc_id with a
@@ -66,9 +66,10 @@ def document() -> list[Column]:
 
 class Tokens:
     """The different tokens of lines: ``line`` (ascending) and ``hashes`` of each, and ``sizes`` of the lines' sets. ``lines``
-    has white space that isn't one space between words taken out."""
+    has white space that isn't one space between words taken out. With ``order``, the place of each counter, the tokens of a line
+    are in that order, then by hash: different words are sorted once, not where they stand."""
 
-    def __init__(self, lines: pa.Array):
+    def __init__(self, lines: pa.Array, order: np.ndarray | None = None):
         for sign in "\t\r\x0b\x0c":
             if pc.any(pc.match_substring(lines, sign)).as_py():
                 lines = pc.replace_substring(lines, sign, " ")
@@ -84,10 +85,16 @@ class Tokens:
             single = [" ".join(filter(None, x.split(" "))) for x in lines.take(pa.array(odd)).to_pylist()]
             lines = pc.replace_with_mask(lines, pa.array(mask), pa.array(single, pa.string()))
             line, codes = line[~blank], codes[~blank]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        if order is not None:
+            by = np.lexsort((hashes, order[hashes & np.uint64(BUCKETS - 1)]))
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            codes, hashes = place[codes], hashes[by]
         pairs = np.sort(line << 32 | codes)
         pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
         self.lines, self.line = lines, pairs >> 32
-        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[pairs & 0xFFFFFFFF]
+        self.hashes = hashes[pairs & 0xFFFFFFFF]
         self.sizes = np.bincount(self.line, minlength=len(lines))
 
     def prints(self) -> list[bytes]:
@@ -177,7 +184,7 @@ def ranks(counters: np.ndarray, rare: int) -> tuple[np.ndarray, int]:
 
 
 def prefix_keys(ids: np.ndarray, tokens: Tokens, order: np.ndarray, frequent_from: int, threshold: float) -> np.ndarray:
-    """ROWs of lines by their ids. Keys have 48 bits, so that their differences are short when sorted; those that fall together only
+    """ROWs of lines, whose tokens are in order, by their ids. Keys have 48 bits, so that their differences are short when sorted; those that fall together only
     cost comparisons. ``pos`` counts the tokens before that have no partner if what the key is made of is the first that two lines share."""
     line, sizes, hashes = tokens.line, tokens.sizes, tokens.hashes
     some = np.flatnonzero(sizes)
@@ -188,9 +195,8 @@ def prefix_keys(ids: np.ndarray, tokens: Tokens, order: np.ndarray, frequent_fro
     for k in range(4):
         if len(some):
             bitmap[k, some] = np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), starts[some])
-    rank = order[hashes & np.uint64(BUCKETS - 1)].astype(np.int64)
-    by = np.lexsort((hashes, line << 8 | rank))
-    hashes, often = hashes[by], rank[by] >= frequent_from
+    rank = order[hashes & np.uint64(BUCKETS - 1)]
+    often = rank >= frequent_from
     pos, size = np.arange(len(hashes)) - starts[line], sizes[line]
     need = np.ceil(threshold * size - 1e-9).astype(np.int64)
     short = (size <= LONG / threshold) & ((pos < size - need + 2) | (size == 1))
@@ -311,9 +317,9 @@ def _bits(keys: np.ndarray) -> np.ndarray:
     return (keys * MIX >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
 
-def _blocks(lines: DataFrame, order, frequent_from: int, threshold: float, dealt: int, wanted=None) -> DataFrame:
+def _blocks(lines: DataFrame, order, frequent_from: int, threshold: float, dealt: int) -> DataFrame:
     """(dealt, rows, after): compressed ROWs of many lines (id, words, after), by what their keys are dealt to, and the after
-    of each row. With a bitmap of wanted keys, only rows of keys whose bit is set."""
+    of each row."""
 
     def run(batches):
         def made(rows, after):
@@ -330,13 +336,9 @@ def _blocks(lines: DataFrame, order, frequent_from: int, threshold: float, dealt
         for batch in batches:
             ids, after = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for a, b in slices(batch.column(1), SLICE):
-                rows = prefix_keys(np.arange(a, b), Tokens(batch.column(1).slice(a, b - a)), order.value, frequent_from, threshold)
+                rows = prefix_keys(np.arange(a, b), Tokens(batch.column(1).slice(a, b - a), order.value), order.value, frequent_from, threshold)
                 place = rows["id"].copy()
                 rows["id"] = ids[place]
-                if wanted is not None:
-                    at = _bits(rows["key"])
-                    some = wanted.value[at >> 3] >> (at & 7) & 1 == 1
-                    rows, place = rows[some], place[some]
                 waiting.append((rows, after[place]))
                 size += len(rows)
                 if size >= BLOCK:
@@ -348,6 +350,24 @@ def _blocks(lines: DataFrame, order, frequent_from: int, threshold: float, dealt
     return lines.select("id", "words", "after").mapInArrow(run, "dealt int, rows binary, after binary")
 
 
+def _asked_for(blocks: DataFrame, wanted) -> DataFrame:
+    """The rows of blocks whose keys have their bit set in the bitmap wanted."""
+
+    def run(batches):
+        for batch in batches:
+            dealt, blobs = [], []
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = _opened(blob.as_py())
+                at = _bits(rows["key"])
+                rows = rows[wanted.value[at >> 3] >> (at & 7) & 1 == 1]
+                if len(rows):
+                    dealt.append(k)
+                    blobs.append(_sealed(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(dealt), pa.binary())], ["dealt", "rows", "after"])
+
+    return blocks.mapInArrow(run, "dealt int, rows binary, after binary")
+
+
 def _wanted(asking: DataFrame) -> np.ndarray:
     """The bitmap of the keys of blocks: 2^KEY_BITS bits come to the driver, however many keys there are."""
 
@@ -462,8 +482,9 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 1024,
     # about eight keys a line
     dealt = max(spark.sparkContext.defaultParallelism, -(-8 * lines.count() // DEAL))
     every = lines.withColumn("after", F.lit(-1).cast("long"))
-    found = _candidates(_blocks(every, order, frequent_from, threshold, dealt), threshold, 1, dealt)
-    gone, limit, blocks = _verified(found, lines, threshold), next_limit, None
+    blocks, all_keys = materialise(_blocks(every, order, frequent_from, threshold, dealt)), True
+    found = _candidates(blocks, threshold, 1, dealt)
+    gone, limit = _verified(found, lines, threshold), next_limit
     while True:
         # a deal that had more has looked at all up to the last that it gave
         still = found.where("more").groupBy(F.col("later").alias("id")).agg(F.min("earlier").alias("after"))
@@ -474,15 +495,16 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 1024,
         asked = _lines_of(still.select("id"), lines)
         asking = materialise(_blocks(asked.join(still, "id"), order, frequent_from, threshold, dealt), release=True)
         discard(asked)
-        if blocks is None:  # rows of the keys of lines that are open after the first round serve all others
+        if all_keys:  # rows of the keys of lines that are open after the first round serve all others
             wanted = spark.sparkContext.broadcast(_wanted(asking))
-            blocks = materialise(_blocks(every, order, frequent_from, threshold, dealt, wanted))
+            blocks, old, all_keys = materialise(_asked_for(blocks, wanted)), blocks, False
+            discard(old)
         found = _candidates(blocks, threshold, limit, dealt, asking)
         more = _verified(found, lines, threshold)
         gone, old = materialise(gone.union(more)), gone
         discard(old, more, still, asking)
         limit *= 8
-    discard(still, flagged, others, *[blocks] * (blocks is not None))
+    discard(still, flagged, others, blocks)
     gone, old = materialise(gone.union(equal)), gone
     discard(old, equal)
     return places, gone

@@ -592,3 +592,15 @@ def test_quality_references_of_all_languages(spark):
     data += [(500, prose(500, 300), "zz"), (501, "4711 " * 30 + prose(501, 20) + " 12 34" * 40, "zz")]
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
     assert len(got) == len(data) and min(got[500].char_distance, got[501].char_distance) > 0.1 and not got[501].kept
+
+
+def test_tokens_of_lines_are_in_order():
+    """By the place of their counter, then by hash, line by line; white space of all kinds and blank lines change nothing."""
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in r.integers(0, 300, r.integers(0, 40))) for _ in range(200)] + ["", "  ", "a\t b  a", "b a\x0b"]
+    order = r.integers(0, 9, line_dedup.BUCKETS).astype(np.uint8)
+    plain, ordered = line_dedup.Tokens(pa.array(texts)), line_dedup.Tokens(pa.array(texts), order)
+    assert ordered.sizes.tolist() == plain.sizes.tolist() and ordered.line.tolist() == plain.line.tolist() and ordered.prints() == plain.prints()
+    rank = order[plain.hashes & np.uint64(line_dedup.BUCKETS - 1)]
+    assert ordered.hashes.tolist() == plain.hashes[np.lexsort((plain.hashes, rank, plain.line))].tolist()
