@@ -36,21 +36,26 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from ..functions.tables import with_once
 from .common import discard, let, materialise, slices, table
 
 #: Counters, and the pieces in which a task hands them on.
 BUCKETS, PIECES = 1 << 20, 16
 SHORT, MIDDLE, LONG = 64, 160, 400
 #: Bytes of text that are cut at once, rows of keys that travel in a block, and rows of a deal.
-SLICE, BLOCK, DEAL = 1 << 21, 1 << 19, 1 << 18
+SLICE, BLOCK, DEAL = 1 << 19, 1 << 19, 1 << 18
 #: Bits of the bitmaps of keys that open lines ask for and of lines that are in pairs.
 KEY_BITS = 25
+#: Words of 64 bits in a row of a broadcast bitmap.
+WORDS = 512
 #: Lines that a task remembers to find equal ones.
 REMEMBERED = 1 << 21
+#: Bytes of words that are hashed together.
+WIDE = 256
 ROW = np.dtype([("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("pos", "<u4"), *((f"b{k}", "<u8") for k in range(4))])
 BY_BYTES = {"key", "id", "size", "pos"}
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -64,30 +69,69 @@ def document() -> list[Column]:
     return [F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("part")]
 
 
+def _held(strings: pa.Array) -> tuple[pa.Buffer | None, np.ndarray]:
+    """The bytes of strings, and where in them each begins and the last ends."""
+    _, offsets, data = strings.buffers()
+    kind = np.int64 if pa.types.is_large_string(strings.type) else np.int32
+    ends = np.frombuffer(offsets, kind)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64) if len(strings) else np.zeros(1, np.int64)
+    return data, ends
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each word: eight bytes at a time are mixed in, one to one. Very long words are hashed one by one."""
+    data, ends = _held(words)
+    starts, size = ends[:-1], np.diff(ends)
+    out = size.astype(np.uint64) * MIX
+    if data is None:
+        return out
+    raw = np.frombuffer(data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() + bytes(8), np.uint8)
+    starts = starts - ends[0]
+    eight = np.lib.stride_tricks.as_strided(raw[:8].view(np.uint64), (len(raw) - 7,), (1,), writeable=False)
+    live, at = np.flatnonzero((size > 0) & (size <= WIDE)), 0
+    while len(live):
+        left = np.minimum(size[live] - at, 8).astype(np.uint64)
+        h = out[live] ^ (eight[starts[live] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8))))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[live] = h ^ (h >> np.uint64(31))
+        at += 8
+        live = live[size[live] > at]
+    for k in np.flatnonzero(size > WIDE).tolist():
+        out[k] = xxhash.xxh64_intdigest(raw[starts[k] : starts[k] + size[k]].tobytes())
+    return out
+
+
 class Tokens:
     """The different tokens of lines: ``line`` (ascending) and ``hashes`` of each, and ``sizes`` of the lines' sets. ``lines``
     has white space that isn't one space between words taken out. With ``order``, the place of each counter, the tokens of a line
     are in that order, then by hash: different words are sorted once, not where they stand."""
 
     def __init__(self, lines: pa.Array, order: np.ndarray | None = None):
+        data, ends = _held(lines)
+        held = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if data else b""
         for sign in "\t\r\x0b\x0c":
-            if pc.any(pc.match_substring(lines, sign)).as_py():
+            if sign.encode() in held:
                 lines = pc.replace_substring(lines, sign, " ")
         parted = pc.split_pattern(lines, " ")
         coded = parted.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         line = np.repeat(np.arange(len(lines)), pc.list_value_length(parted).to_numpy(zero_copy_only=False))
-        if "" in words:
-            blank = codes == words.index("")
+        none = pc.index(words, "").as_py()
+        if none >= 0:
+            blank = codes == none
             odd = np.unique(line[blank])
             mask = np.zeros(len(lines), bool)
             mask[odd] = True
             single = [" ".join(filter(None, x.split(" "))) for x in lines.take(pa.array(odd)).to_pylist()]
             lines = pc.replace_with_mask(lines, pa.array(mask), pa.array(single, pa.string()))
             line, codes = line[~blank], codes[~blank]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        hashes = _hashes(words)
         if order is not None:
-            by = np.lexsort((hashes, order[hashes & np.uint64(BUCKETS - 1)]))
+            rank = order[hashes & np.uint64(BUCKETS - 1)].astype(np.uint64)
+            both = rank << np.uint64(56) | hashes >> np.uint64(8)
+            by = np.argsort(both)
+            if (np.diff(both[by]) == 0).any():
+                by = np.lexsort((hashes, rank))
             place = np.empty(len(by), np.int64)
             place[by] = np.arange(len(by))
             codes, hashes = place[codes], hashes[by]
@@ -111,8 +155,8 @@ class Tokens:
 
 
 def _numbered_lines(docs: DataFrame) -> DataFrame:
-    """LINES: all lines that have words, ids ascending by place, words null where an earlier line of the task has equal ones;
-    and the task's counters, in pieces."""
+    """LINES: all lines that have words, ids ascending by place, words and print null where an earlier line of the task has equal
+    ones; and the task's counters, in pieces."""
 
     def run(batches):
         names = [x.split()[0] for x in LINES.split(", ")]
@@ -134,13 +178,13 @@ def _numbered_lines(docs: DataFrame) -> DataFrame:
                     prints = tokens.prints()
                     known = [x in seen or seen.add(x) for x in prints]
                     new = np.array([x is None for x in known]) & (tokens.sizes > 0)
-                    counts += np.bincount(tokens.hashes[new[tokens.line]] & np.uint64(BUCKETS - 1), minlength=BUCKETS)
+                    np.add.at(counts, (tokens.hashes[new[tokens.line]] & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
                     some = pa.array(np.flatnonzero(tokens.sizes))
                     of = pa.array(row[i:j]).take(some)
                     words = pc.if_else(pa.array(new), tokens.lines, pa.scalar(None, pa.string())).take(some)
                     ids = pa.array(next_id + np.arange(i, j)).take(some)
                     no_counts = [pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary())]
-                    columns = [ids, batch.column(0).take(of), batch.column(1).take(of), pa.array(place[i:j], pa.int32()).take(some), words, pa.array(prints, pa.binary()).take(some)]
+                    columns = [ids, batch.column(0).take(of), batch.column(1).take(of), pa.array(place[i:j], pa.int32()).take(some), words, pa.array(prints, pa.binary(), mask=~new).take(some)]
                     yield pa.RecordBatch.from_arrays([*columns, *no_counts], names)
                     if len(seen) > REMEMBERED:
                         seen.clear()
@@ -300,16 +344,25 @@ def _sealed(rows: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def _opened(blob: bytes) -> np.ndarray:
+def _opened(blob: bytes, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The ROWs of a block; with wanted, a bitmap, those whose keys have their bit set in it."""
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    out, at = np.empty(len(raw) // ROW.itemsize, ROW), 0
+    n, at, some = len(raw) // ROW.itemsize, 0, slice(None)
     for name in ROW.names:
         size = ROW[name].itemsize
-        part = raw[at : at + size * len(out)]
+        part = raw[at : at + size * n]
         if name in BY_BYTES:
-            part = np.ascontiguousarray(part.reshape(size, -1).T).reshape(-1)
-        out[name] = np.cumsum(part.view(ROW[name]), dtype=np.uint64) if name == "key" else part.view(ROW[name])
-        at += size * len(out)
+            part = np.ascontiguousarray(part.reshape(size, -1)[:, some].T).reshape(-1)
+        values = part.view(ROW[name])
+        if name == "key":
+            values = np.cumsum(values, dtype=np.uint64)
+            if wanted is not None:
+                bits = _bits(values)
+                some = np.flatnonzero(wanted[bits >> 3] >> (bits & 7) & 1)
+                values = values[some]
+            out = np.empty(len(values), ROW)
+        out[name] = values if name in BY_BYTES else values[some]
+        at += size * n
     return out
 
 
@@ -324,8 +377,8 @@ def _blocks(lines: DataFrame, order, frequent_from: int, threshold: float, dealt
     def run(batches):
         def made(rows, after):
             to = (rows["key"] >> np.uint64(8)) % np.uint64(dealt)
-            by = np.lexsort((rows["key"], to))
-            rows, to, after = rows[by], to[by], after[by]
+            by = np.argsort(to << np.uint64(48) | rows["key"]) if dealt < 1 << 16 else np.lexsort((rows["key"], to))
+            rows, to, after = rows.view(f"V{ROW.itemsize}")[by].view(ROW), to[by], after[by]
             cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist()
             cuts = list(zip(cuts, [*cuts[1:], len(rows)]))
             blobs, floors = [_sealed(rows[a:b]) for a, b in cuts], [after[a:b].tobytes() if after[a] >= 0 else None for a, b in cuts]
@@ -357,9 +410,7 @@ def _asked_for(blocks: DataFrame, wanted) -> DataFrame:
         for batch in batches:
             dealt, blobs = [], []
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = _opened(blob.as_py())
-                at = _bits(rows["key"])
-                rows = rows[wanted.value[at >> 3] >> (at & 7) & 1 == 1]
+                rows = _opened(blob.as_py(), wanted.value)
                 if len(rows):
                     dealt.append(k)
                     blobs.append(_sealed(rows))
@@ -430,17 +481,14 @@ def _candidates(blocks: DataFrame, threshold: float, limit: int, dealt: int, ope
 
 def _flagged(lines: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, words, met) of lines: met where a bitmap of fixed size doesn't rule out that the id is among ids. No words are shuffled
-    for it, so that only those of lines that are met go into joins."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << KEY_BITS)) + 1
-    bits = lines.sparkSession.sparkContext.broadcast(_collected(ids.select(bit.alias("bit"))))
-
-    def run(batches):
-        for batch in batches:
-            at = batch.column(2).to_numpy() - 1
-            met = pa.array(bits.value[at >> 3] >> (at & 7) & 1 == 1, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), met], ["id", "words", "met"])
-
-    return lines.select("id", "words", bit.alias("bit")).mapInArrow(run, "id long, words string, met boolean")
+    for it, nor do they leave the JVM, so that only those of lines that are met go into joins."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(1 << KEY_BITS))
+    bits = _collected(ids.select((bit + 1).alias("bit"))).view("<i8")
+    n = len(bits) // WORDS
+    parts = pa.table([pa.array(range(n), pa.int64()), pa.ListArray.from_arrays(pa.array(range(0, len(bits) + 1, WORDS), pa.int32()), pa.array(bits))], ["part", "bits"])
+    parts = F.broadcast(lines.sparkSession.createDataFrame(parts))
+    placed = lines.select("id", "words", bit.alias("bit")).join(parts, F.expr(f"bit div {64 * WORDS} = part"))
+    return placed.select("id", "words", F.expr(f"shiftright(get(bits, int(bit div 64 % {WORDS})), int(bit % 64)) & 1 = 1").alias("met"))
 
 
 def _lines_of(ids: DataFrame, lines: DataFrame) -> DataFrame:
@@ -448,18 +496,20 @@ def _lines_of(ids: DataFrame, lines: DataFrame) -> DataFrame:
     return materialise(_flagged(lines, ids).where("met").select("id", "words"), release=True)
 
 
-def _verified(found: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """(id), written: the later lines of pairs whose words are as similar as asked."""
-    pairs = found.select("later", "earlier").distinct()
-    some = _lines_of(pairs.select(F.explode(F.array("later", "earlier")).alias("id")), lines)
+def alike(later: Column, earlier: Column) -> Column:
+    """struct<common, every>: the different words that two lines share, and those of both."""
+    return F.struct(F.size(F.array_intersect(later, earlier)).alias("common"), F.size(F.array_union(later, earlier)).alias("every"))
+
+
+def _verified(found: DataFrame, lines: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id), written: the later lines of pairs whose words are as similar as asked; and the lines of all pairs, written."""
+    some = _lines_of(found.select(F.explode(F.array("later", "earlier")).alias("id")), lines.where("words IS NOT NULL"))
     side = lambda name: some.select(F.col("id").alias(name), F.col("words").alias(f"{name}_words"))
-    both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
-    parted = both.select("later", F.array_distinct(F.split("later_words", " ")).alias("a"), F.array_distinct(F.split("earlier_words", " ")).alias("b"))
-    sized = parted.select("later", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("both"))
-    good = sized.where(f"common >= {threshold} * (both - common) - 1e-9")
-    out = materialise(good.select(F.col("later").alias("id")).distinct(), release=True)
-    discard(some)
-    return out
+    both = found.select("later", "earlier").distinct().join(side("later"), "later").join(side("earlier"), "earlier")
+    parted = both.select("later", F.split("later_words", " ").alias("a"), F.split("earlier_words", " ").alias("b"))
+    sized = with_once(parted, "n", alike(F.col("a"), F.col("b")))
+    good = sized.where(f"n.common >= {threshold} * n.every - 1e-9")
+    return materialise(good.select(F.col("later").alias("id")).distinct(), release=True), some
 
 
 def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 1024, next_limit: int = 16) -> tuple[DataFrame, DataFrame]:
@@ -469,22 +519,22 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 1024,
     ship(spark)
     written = materialise(_numbered_lines(docs), release=True)
     # of lines with equal words in several tasks only the first goes on
-    some = written.where("words IS NOT NULL")
-    later = some.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("print", "first")
-    equal = materialise(some.select("id", "print").join(later, "print").where("id <> first").select("id"), release=True)
-    flagged = materialise(_flagged(some, equal), release=True)
-    others = materialise(flagged.where("met").select("id", "words").join(equal, "id", "left_anti"), release=True)
+    some = written.where("print IS NOT NULL")
+    first = F.min("id").over(Window.partitionBy("print"))  # a task writes a print once, or as often as it forgets
+    equal = materialise(some.select("id", first.alias("first")).where("id <> first").select("id"), release=True)
+    flagged, met = _flagged(some, equal), _lines_of(equal, some)
+    others = materialise(met.join(equal, "id", "left_anti"), release=True)
+    discard(met)
     lines = flagged.where("NOT met").select("id", "words").union(others)
     order, frequent_from = ranks(_counters(written), rare)
-    places = materialise(written.where("id IS NOT NULL").select("id", *DOCUMENT, "line", F.col("words").isNull().alias("equal")))
-    discard(written)  # its words are in lines
+    places = written.where("id IS NOT NULL").select("id", *DOCUMENT, "line", F.col("print").isNull().alias("equal"))
     order = spark.sparkContext.broadcast(order)  # a byte a counter
     # about eight keys a line
-    dealt = max(spark.sparkContext.defaultParallelism, -(-8 * lines.count() // DEAL))
+    dealt = max(spark.sparkContext.defaultParallelism, -(-8 * some.count() // DEAL))
     every = lines.withColumn("after", F.lit(-1).cast("long"))
     blocks, all_keys = materialise(_blocks(every, order, frequent_from, threshold, dealt)), True
     found = _candidates(blocks, threshold, 1, dealt)
-    gone, limit = _verified(found, lines, threshold), next_limit
+    (gone, pairs), limit = _verified(found, written, threshold), next_limit
     while True:
         # a deal that had more has looked at all up to the last that it gave
         still = found.where("more").groupBy(F.col("later").alias("id")).agg(F.min("earlier").alias("after"))
@@ -492,21 +542,21 @@ def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, rare: int = 1024,
         discard(found)
         if still.isEmpty():
             break
-        asked = _lines_of(still.select("id"), lines)
-        asking = materialise(_blocks(asked.join(still, "id"), order, frequent_from, threshold, dealt), release=True)
-        discard(asked)
+        asking = materialise(_blocks(pairs.join(still, "id"), order, frequent_from, threshold, dealt), release=True)  # still are among the later lines of pairs
+        discard(pairs)
         if all_keys:  # rows of the keys of lines that are open after the first round serve all others
             wanted = spark.sparkContext.broadcast(_wanted(asking))
             blocks, old, all_keys = materialise(_asked_for(blocks, wanted)), blocks, False
             discard(old)
         found = _candidates(blocks, threshold, limit, dealt, asking)
-        more = _verified(found, lines, threshold)
+        more, pairs = _verified(found, written, threshold)
         gone, old = materialise(gone.union(more)), gone
         discard(old, more, still, asking)
         limit *= 8
-    discard(still, flagged, others, blocks)
+    discard(still, pairs, others, blocks)
     gone, old = materialise(gone.union(equal)), gone
     discard(old, equal)
+    places.written_at = written.written_at
     return places, gone
 
 

@@ -564,6 +564,17 @@ def test_line_dedup_keeps_lines_of_rows_that_share_a_doc_id(spark):
     assert Counter(got) == Counter(want)
 
 
+def test_words_stay_in_the_jvm_while_lines_are_looked_up(spark):
+    lines = spark.range(1000).select("id", F.concat(F.lit("word "), "id").alias("words"))
+    flagged = line_dedup._flagged(lines, lines.where("id % 7 = 0").select("id"))
+    assert "InArrow" not in flagged._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.words for r in flagged.where("met").collect()}
+    assert set(range(0, 1000, 7)) <= set(got) and len(got) < 160 and all(w == f"word {k}" for k, w in got.items())
+    words = ["", "a", "b", "a\0", "\0", "12345678", "123456789", "é" * 9, "x" * 256, "x" * 257, "x" * 300]
+    hashes = line_dedup._hashes(pa.array(words))
+    assert len(set(hashes.tolist())) == len(words) and hashes[2:].tolist() == line_dedup._hashes(pa.array(words).slice(2)).tolist()
+
+
 def test_line_dedup_of_a_text_of_millions_of_lines(spark):
     n = (1 << 21) + 5
     docs = spark.createDataFrame([(7, "\n" * n + "first of its kind\nnot like the one before"), (8, "\n" * 5 + "a third sort of line")], "doc_id long, text string")
