@@ -51,6 +51,12 @@ def slices(values: pa.Array, size: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def in_shuffles(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast. Spark takes a table for as small as its compressed files, and does not count the
+    rows that an explode makes: what it would broadcast as 10 MB can be hundreds in the driver."""
+    return df.hint("merge")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: what is set as spark.checkpoint.dir. Outside local mode there must be one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

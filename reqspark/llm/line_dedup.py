@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from ..functions.tables import with_once
-from .common import discard, let, materialise, slices, table
+from .common import discard, in_shuffles, let, materialise, slices, table
 
 #: Counters, and the pieces in which a task hands them on.
 BUCKETS, PIECES = 1 << 20, 16
@@ -504,7 +504,7 @@ def alike(later: Column, earlier: Column) -> Column:
 def _verified(found: DataFrame, lines: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(id), written: the later lines of pairs whose words are as similar as asked; and the lines of all pairs, written."""
     some = _lines_of(found.select(F.explode(F.array("later", "earlier")).alias("id")), lines.where("words IS NOT NULL"))
-    side = lambda name: some.select(F.col("id").alias(name), F.col("words").alias(f"{name}_words"))
+    side = lambda name: in_shuffles(some.select(F.col("id").alias(name), F.col("words").alias(f"{name}_words")))
     both = found.select("later", "earlier").distinct().join(side("later"), "later").join(side("earlier"), "earlier")
     parted = both.select("later", F.split("later_words", " ").alias("a"), F.split("earlier_words", " ").alias("b"))
     sized = with_once(parted, "n", alike(F.col("a"), F.col("b")))
@@ -579,7 +579,7 @@ def drop_repeated_lines(docs: DataFrame, **how) -> DataFrame:
     removed = materialise(removed, release=True)
     discard(places, gone)
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.col("text").cast("string").alias("text"), *document())
-    rows = rows.join(removed, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in DOCUMENT], "left")
+    rows = rows.join(in_shuffles(removed), [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in DOCUMENT], "left")
     rows = rows.withColumn("left", F.when(F.col("removed").isNotNull(), _without(F.col("text"), F.col("removed"))))
     n_lines = F.coalesce(F.col("left.n"), F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0))
     return rows.select(

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import LOWER, UPPER, discard, materialise
+from .common import LOWER, UPPER, discard, in_shuffles, materialise
 from .components import components
 
 BANDS, ROWS, SIGMAS = 32, 5, 5
@@ -138,7 +138,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, thr
     pairs = likely_pairs(pairs, nodes, threshold)
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     texts = _texts(docs, nodes.join(ends, "fp").select("fp", "least"), words)
-    side = lambda name: texts.select(F.col("fp").alias(name), F.col("text").alias(f"{name}_text"))
+    side = lambda name: in_shuffles(texts.select(F.col("fp").alias(name), F.col("text").alias(f"{name}_text")))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
     links = materialise(both.mapInArrow(run, "a binary, b binary"), release=True)
     discard(texts, pairs)
@@ -160,7 +160,7 @@ def _open_pairs(met: DataFrame, roots: DataFrame, done: DataFrame, threshold: fl
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     a = rooted.select("key", F.col("fp").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"), part.alias("i"), every.alias("j"))
     b = rooted.select("key", F.col("fp").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"), every.alias("i"), part.alias("j"))
-    both = a.join(b, ["key", "i", "j"]).where("a > b and a_root <> b_root")
+    both = in_shuffles(a).join(in_shuffles(b), ["key", "i", "j"]).where("a > b and a_root <> b_root")
     both = both.where(f"least(a_n, b_n) >= {threshold} * greatest(a_n, b_n) - 1e-9").select("a", "b").distinct()
     return materialise(both.join(done, ["a", "b"], "left_anti"), release=True)
 
@@ -175,7 +175,7 @@ def similar_documents(docs: DataFrame, *, words: int = 5, threshold: float = 0.8
     # rows of equal sets have equal keys
     entries = keyed.join(nodes, (keyed["fp"] == nodes["fp"]) & (keyed["doc_id"] == nodes["least"])).select(keyed["fp"], keyed["n"], F.explode("keys").alias("key"))
     blocks = entries.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first <> last").select("key", "first")
-    met = materialise(entries.join(blocks, "key").distinct(), release=True)
+    met = materialise(in_shuffles(entries).join(blocks, "key").distinct(), release=True)
     tried = met.where("fp <> first").groupBy("fp").agg(F.min("first").alias("b")).select(F.col("fp").alias("a"), "b")
     near = meet(nodes.select("fp", "simhash")) if meet else None
     tried = materialise(tried.union(near).distinct() if near else tried, release=True)

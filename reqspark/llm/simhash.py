@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import LOWER, UPPER, discard, materialise, table
+from .common import LOWER, UPPER, discard, in_shuffles, materialise, table
 from .components import components
 from .shingle_sets import similar_documents
 
@@ -197,7 +197,7 @@ def near_pairs(nodes: DataFrame, *, bits: int = 64, radius: int = 2, bands: int
     size, exact = bits // 8, bands >= radius + 2
     keyed = _in_blocks(nodes, size, bands)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = materialise(keyed.join(sizes, "key"), release=True)
+    keyed = materialise(in_shuffles(keyed).join(sizes, "key"), release=True)
     members = F.collect_list("fp").alias("members")
     blocks = keyed.where(F.col("n") <= max_block).groupBy("key").agg(members)
     fine = _in_finer_blocks(keyed.where(F.col("n") > max_block), size, bands, exact).groupBy("key").agg(members)

@@ -615,3 +615,18 @@ def test_tokens_of_lines_are_in_order():
     assert ordered.sizes.tolist() == plain.sizes.tolist() and ordered.line.tolist() == plain.line.tolist() and ordered.prints() == plain.prints()
     rank = order[plain.hashes & np.uint64(line_dedup.BUCKETS - 1)]
     assert ordered.hashes.tolist() == plain.hashes[np.lexsort((plain.hashes, rank, plain.line))].tolist()
+
+
+def test_rows_that_an_explode_makes_are_not_broadcast(spark, monkeypatch):
+    plans, written = [], simhash.materialise
+
+    def kept(df, **how):
+        out = written(df, **how)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", kept)
+    nodes = written(spark.range(20_000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("fp")).select(F.substring("fp", 1, 8).alias("fp")))
+    assert simhash.near_pairs(nodes, radius=2, bands=8).count() == 0  # a small file to Spark, 28 rows a node
+    made = [line for line in plans[0].splitlines() if "BroadcastExchange" in line]
+    assert not made, made
