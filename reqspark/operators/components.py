@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Edges are hung alternately to the smallest neighbour of their larger end and of their smaller end, until nothing changes: about
     as many rounds as the logarithm of the longest chain, each a written table. Minima are summed up before they are shuffled,
     so that no task gathers the neighbours of one node."""
-    now = written(_hung(edges.select("a", "b"), up=False))
+    now = written(_hung(written(edges.select("a", "b")), up=False))  # edges stand in the plan more than once, and may be dear
     state = _state(now)
     while state[0]:
         now = written(_hung(_hung(now, up=True), up=False))

@@ -7,6 +7,8 @@ texts, so that the ratio is 2 M / S:
 - lengths: M is at most the shorter text, so the longer one has at most (2 - t) / t times its length;
 - characters: M is at most the size of the common multiset of characters;
 - order: blocks stand in the same order in both texts, so M is at most their longest common subsequence;
+- first halves: of a text of length l at most l - t S / 2 characters are in no block, so the first p of one text meet only the first
+  p + l - t S / 2 of the other. M is at most the common subsequence of these two and what follows the first p;
 - pairs of characters: between two blocks at least one character is in none, so there are at most S - 2 M + 1 blocks, and the common
   multiset of character pairs has at least M minus that many members: M is at most (common pairs + S + 1) / 3;
 - anchors, if both texts have 200 characters or more: there difflib leaves out the characters that the second text has more than
@@ -14,8 +16,8 @@ texts, so that the ratio is 2 M / S:
   characters has n - 3 runs of four: M is at most the common runs and 3 (R + 1). In prose R is small, and only near copies pass.
 
 Characters, pairs and runs are counted by their remainders in vectors of fixed size; this can only raise what is common. The bound by
-anchors is one product of matrices for a pair of tiles. Common subsequences of one text with all of a tile are found at once, each text
-of the tile having its own bits of one long integer.
+anchors is one product of matrices for a pair of tiles. Common subsequences of first halves are found for many pairs of texts at once, a
+word or two of 64 bits a pair, those of whole texts with all of a tile, each text of it having its own bits of one long integer.
 
 At scale: equal texts are one. Texts are range-partitioned by length and cut into tiles of at most ``TILE`` texts or ``BYTES``. A tile
 knows its own classes. Tiles whose lengths allow a link meet by an equi-join on bands of lengths, where a band of many tiles is
@@ -49,6 +51,8 @@ LONG = 200
 #: Common subsequences with a whole tile are found at once if its texts are no longer, it has no more different characters, and more
 #: places than these are open.
 LANE, KINDS, FEW = 512, 1000, 16
+#: Texts whose open pairs are gathered, pairs whose first halves are compared at once, and the first characters from which they are.
+ROWS, AT_ONCE, HALF = 64, 1 << 13, 8
 
 
 class Tile:
@@ -56,9 +60,10 @@ class Tile:
 
     def __init__(self, texts: list[str]) -> None:
         points = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) for t in texts]
-        count = lambda values, size: np.minimum(np.bincount(values % size, minlength=size), 1 << 30).astype(np.int32)
         self.texts, self.lengths = texts, np.array([len(p) for p in points])
-        self.characters = np.array([count(p, CHARACTERS) for p in points])
+        kind = np.int16 if self.lengths.max() < 1 << 15 else np.int32  # no sum of common counts is above a length
+        count = lambda values, size: np.minimum(np.bincount(values % size, minlength=size), 1 << 30).astype(kind)
+        self.characters = np.ascontiguousarray(np.array([count(p, CHARACTERS) for p in points]).T)
         self.pairs = np.array([count(p[:-1] * 31 + p[1:], PAIRS) for p in points])
         self._points = points
 
@@ -99,6 +104,54 @@ def common_subsequences(text: str, tile: Tile) -> np.ndarray:
     return tile.lengths - np.add.reduceat(np.unpackbits(bits, bitorder="little", count=int(starts[-1])), starts[:-1], dtype=np.int64)
 
 
+class Halves:
+    """The bound by first halves for texts of a and of b. ``words``: for each word of 64 places, each character of b and each text of b, the
+    places in it that hold the character."""
+
+    def __init__(self, a: Tile, b: Tile, threshold: float) -> None:
+        shortest = int(a.lengths.min())
+        self.first, self.threshold, self.a, self.b = shortest // 2, threshold, a.lengths, b.lengths
+        need = np.ceil(threshold / 2 * (shortest + b.lengths) - 1e-9).astype(np.int64)
+        self.cuts = np.clip(self.first + b.lengths - need, 0, b.lengths)
+        heads = [p[:c] for p, c in zip(b._points, self.cuts.tolist())]
+        kinds, codes = np.unique(np.concatenate(heads), return_inverse=True)
+        self.useful = self.first >= HALF and 0 < len(kinds) <= KINDS
+        if not self.useful:
+            return
+        n, width = len(heads), -(-int(self.cuts.max()) // 64)
+        place = np.concatenate([np.arange(c) for c in self.cuts])
+        self.words = np.zeros((width, len(kinds) + 1, n), np.uint64)  # the last is for characters that b doesn't have
+        np.bitwise_or.at(self.words, (place >> 6, codes, np.repeat(np.arange(n), self.cuts)), np.uint64(1) << (place & 63).astype(np.uint64))
+        own = np.array([p[: self.first] for p in a._points]).T
+        at = np.minimum(np.searchsorted(kinds, own), len(kinds) - 1)
+        self.codes = np.where(kinds[at] == own, at, len(kinds)) * n
+
+    def passing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of places may link: the steps of similarity.common_subsequence, a word at a time with what it carries over."""
+        out = np.ones(len(i), bool)
+        for k in range(0, len(i), AT_ONCE):
+            x, y = i[k : k + AT_ONCE], j[k : k + AT_ONCE]
+            open_ = [np.full(len(x), 0xFFFFFFFFFFFFFFFF, np.uint64) for _ in self.words]
+            for codes in self.codes:
+                at, over = codes[x] + y, None
+                for w, places in enumerate(self.words):
+                    met = open_[w] & places.reshape(-1).take(at)
+                    moved = open_[w] + met
+                    more = moved < met
+                    if over is not None:
+                        moved += over
+                        more |= moved < over
+                    over = more.astype(np.uint64) if w + 1 < len(self.words) else None
+                    open_[w] = moved | (open_[w] ^ met)
+            cuts, common = self.cuts[y], 0
+            for w, left in enumerate(open_):
+                held = np.clip(cuts - 64 * w, 0, 64)
+                mask = np.where(held == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(held, 63).astype(np.uint64)) - np.uint64(1))
+                common = common + held - np.bitwise_count(left & mask)
+            out[k : k + AT_ONCE] = 2 * (common + self.a[x] - self.first) >= self.threshold * (self.a[x] + self.b[y]) - 1e-9
+        return out
+
+
 def anchored(a: Tile, b: Tile, threshold: float) -> np.ndarray | None:
     """Which places of a (rows) and b may link by the bound by anchors; None if it tells nothing."""
     if max(a.lengths.min(), b.lengths.min()) < LONG and min(a.lengths.max(), b.lengths.max()) < LONG:
@@ -120,8 +173,12 @@ def possible(a: Tile, i: int, b: Tile, j: np.ndarray, threshold: float) -> np.nd
     """Those of the places j of b whose bounds by counts with place i of a reach the threshold."""
     both = a.lengths[i] + b.lengths
     j = j[2 * np.minimum(a.lengths[i], b.lengths[j]) >= threshold * both[j] - 1e-9]
-    j = j[2 * np.minimum(a.characters[i], b.characters[j]).sum(axis=1) >= threshold * both[j] - 1e-9]
-    return j[2 * (np.minimum(a.pairs[i], b.pairs[j]).sum(axis=1) + both[j] + 1) >= 3 * threshold * both[j] - 1e-9]
+    every = 2 * len(j) > len(b.texts)  # then it is faster not to pick
+    common = np.minimum(a.characters[:, i, None], b.characters if every else b.characters[:, j])
+    common = common.sum(axis=0, dtype=common.dtype).astype(np.int64)
+    j = j[2 * (common[j] if every else common) >= threshold * both[j] - 1e-9]
+    common = np.minimum(a.pairs[i], b.pairs[j])
+    return j[2 * (common.sum(axis=1, dtype=common.dtype).astype(np.int64) + both[j] + 1) >= 3 * threshold * both[j] - 1e-9]
 
 
 def similar(x: str, y: str, threshold: float) -> bool:
@@ -133,12 +190,23 @@ def joined(a: Tile, b: Tile | None, classes: list[int], threshold: float) -> lis
     """Links between places of a and b (of a alone, if b is None) that join different classes; b's places follow a's."""
     labels, out, other = np.array(classes), [], b or a
     shift = len(a.texts) if b else 0
-    open_ = anchored(a, other, threshold)
+    open_, halves = anchored(a, other, threshold), None
     for i, one in enumerate(a.texts):
-        rest = np.arange(0 if b else i + 1, len(other.texts))
-        if open_ is not None:
-            rest = rest[open_[i, rest]]
-        rest = possible(a, i, other, rest[labels[rest + shift] != labels[i]], threshold)
+        if i % ROWS == 0:
+            held = []
+            for k in range(i, min(i + ROWS, len(a.texts))):
+                rest = np.arange(0 if b else k + 1, len(other.texts))
+                if open_ is not None:
+                    rest = rest[open_[k, rest]]
+                held.append(possible(a, k, other, rest[labels[rest + shift] != labels[k]], threshold))
+            sizes = [len(x) for x in held]
+            if sum(sizes) > ROWS and max(a.lengths.max(), other.lengths.max()) <= LANE:
+                halves = halves or Halves(a, other, threshold)
+                if halves.useful:
+                    met = halves.passing(np.repeat(np.arange(i, i + len(held)), sizes), np.concatenate(held))
+                    held = [x[y] for x, y in zip(held, np.split(met, np.cumsum(sizes)[:-1]))]
+        rest = held[i % ROWS]
+        rest = rest[labels[rest + shift] != labels[i]]
         if len(rest) > FEW and other.lanes:
             both = len(one) + other.lengths[rest]
             rest = rest[2 * common_subsequences(one, other)[rest] >= threshold * both - 1e-9]

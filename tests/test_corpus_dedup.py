@@ -118,6 +118,31 @@ def test_long_texts_of_one_vocabulary_stay_out_of_subsequences(monkeypatch):
     assert calls["near"] > 50
 
 
+def test_first_halves_rule_out_texts_of_one_vocabulary(monkeypatch):
+    """Short prose of the same words is told by first halves, many pairs at once; whatever links passes them."""
+    rng = random.Random(9)
+    parts = "th er on an re he in ed nd ha at en es of or nt ea ti to it".split()
+    prose = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(30))[:160] for _ in range(300)]
+    calls, real = Counter(), corpus_dedup.common_subsequences
+    monkeypatch.setattr(corpus_dedup, "common_subsequences", lambda *a: calls.update(n=1) or real(*a))
+    assert corpus_dedup.joined(corpus_dedup.Tile(prose), None, list(range(300)), 0.85) == [] and calls["n"] < 10
+    for threshold in (0.6, 0.85, 1.0):
+        for alphabet in ("ab", "abcdefgh é€", "".join(map(chr, range(97, 140)))):
+            xs = ["".join(rng.choice(alphabet) for _ in range(rng.randint(16, 400))) for _ in range(12)]
+            ys = [x[: max(0, k - 4)] + rng.choice(alphabet) * rng.randint(0, 30) + x[k:] for x in xs for k in (0, len(x) // 3, len(x))] + xs + ["", "q"]
+            halves = corpus_dedup.Halves(corpus_dedup.Tile(xs), corpus_dedup.Tile(ys), threshold)
+            i, j = (np.array(v) for v in zip(*((i, j) for i in range(len(xs)) for j in range(len(ys)))))
+            for x, y, passes in zip(i, j, halves.passing(i, j) if halves.useful else i < 0):
+                x, y = xs[x], ys[y]
+                if halves.useful and 2 * common_subsequence(x, y) >= threshold * (len(x) + len(y)):
+                    calls["same"] += 1
+                    assert passes
+                elif halves.useful:
+                    head, cut = x[: halves.first], halves.cuts[ys.index(y)]
+                    assert passes == (2 * (common_subsequence(head, y[:cut]) + len(x) - len(head)) >= threshold * (len(x) + len(y)) - 1e-9)
+    assert calls["same"] > 200
+
+
 def test_a_family_costs_few_comparisons(monkeypatch):
     """A thousand near copies are told by about one comparison each, and templated texts that differ by their words by few."""
     calls = Counter()
@@ -146,6 +171,18 @@ def test_components(spark):
     assert got == {k: 0 for k in range(41)} | {100: 100, 200: 100, 300: 100} | {k: 500 for k in range(500, 700)}
 
 
+def test_edges_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(k + 1, k) for k in range(40)], "a long, b long").mapInArrow(run, "a long, b long")
+    assert components(edges).count() == 41 and made.value == 40
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
 @pytest.mark.parametrize("name", ["g6_corpus_near_dups", "g6_turn_near_dups"])
 def test_queries(spark, name):
