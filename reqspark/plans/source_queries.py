@@ -220,7 +220,7 @@ def a4_open(spark, sf_dir):
 @query("a5_read_cases_csv", f"{case_queries.FIELDS} SELECT requirement_id::VARCHAR AS requirement, '[' || summary || ']' AS summary, action || chr(10) || data_text AS text FROM fields")
 def a5(spark, sf_dir):
     table = case_queries._table(spark, sf_dir).select("LinkTest", "Summary", F.concat_ws("\n", "Action", "Data").alias("Text"), F.concat(F.lit("F"), F.col("LinkTest").cast("long") % 20).alias("source_file"))
-    path = _written(spark, "cases", lambda p: files.write_cases(table, p, "source_file"))
+    path = _written(spark, "cases", lambda p: files.write_cases(table, p, "source_file", gzip=True))
     return files.read_cases_csv(spark, path).select(F.col("LinkTest").alias("requirement"), F.col("Summary").alias("summary"), F.col("Text").alias("text"))
 
 
@@ -228,8 +228,9 @@ def a5(spark, sf_dir):
 def a6(spark, sf_dir):
     """Written as one file for each source file, and read back with the file that each row stands in."""
     table = case_queries._table(spark, sf_dir).withColumn("source_file", F.concat(F.lit("F"), F.col("LinkTest").cast("long") % 20))
-    path = _written(spark, "tables", lambda p: files.write_cases(table, p, "source_file", order=("LinkTest", "Issue ID")))
-    rows = files.read_cases_csv(spark, path).withColumn("file", F.regexp_extract(F.input_file_name(), "[^/]+$", 0))
+    path = _written(spark, "tables", lambda p: files.write_cases(table, p, "source_file", order=("LinkTest", "Issue ID"), gzip=True))
+    name = F.substring_index(F.input_file_name(), "/", -1)
+    rows = files.read_cases_csv(spark, path).withColumn("file", F.substring(name, F.lit(1), F.length(name) - 3))  # without .gz
     return rows.na.fill("")
 
 

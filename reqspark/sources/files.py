@@ -46,15 +46,17 @@ def read_cases_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.toDF(*(c.lstrip("﻿") for c in rows.columns))
 
 
-def write_cases(table: DataFrame, folder: str, by: str, order: tuple[str, ...] = ()) -> None:
-    """One CSV file for each value of by, called after it, its rows in order. A null value's rows go to a file called unknown.
-    One task writes a file; names are dealt over so many partitions that few share one."""
+def write_cases(table: DataFrame, folder: str, by: str, order: tuple[str, ...] = (), gzip: bool = False) -> None:
+    """One CSV file for each value of by, called after it, its rows in order. A null value's rows go to a file called unknown. With gzip
+    it is compressed, and its name ends in .csv.gz: a case table is mostly fixed values. One task writes a file; names are dealt over so
+    many partitions that few share one."""
     columns = [c for c in table.columns if c != by]
     line = F.concat(F.to_csv(F.struct(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in columns)), {"quoteAll": "true", "escape": '"'}), F.lit("\n"))
-    rows = table.select(file_name(F.coalesce(F.col(by).cast("string"), F.lit("unknown")), ".csv").alias("name"), line.alias("content"), *(F.col(f"`{c}`").alias(f"order_{k}") for k, c in enumerate(order)))
+    name = file_name(F.coalesce(F.col(by).cast("string"), F.lit("unknown")), ".csv.gz" if gzip else ".csv")
+    rows = table.select(name.alias("name"), line.alias("content"), *(F.col(f"`{c}`").alias(f"order_{k}") for k, c in enumerate(order)))
     rows = rows.repartition(max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), APART), "name").sortWithinPartitions("name", *(f"order_{k}" for k in range(len(order))))
     head = ",".join('"' + c.replace('"', '""') + '"' for c in columns) + "\n"
-    write_named(rows.select("name", "content"), folder, head=head)
+    write_named(rows.select("name", "content"), folder, head=head, gzip=str(gzip).lower())
 
 
 def write_chat(chat: DataFrame, folder: str) -> None:

@@ -9,6 +9,8 @@ file systems reach.
 
 from __future__ import annotations
 
+import gzip
+import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions.shipping import ship
+from ..functions.tables import release
 
 
 @dataclass
@@ -34,10 +37,22 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
     return store, path.rstrip("/")
 
 
+class _Gzipped(io.BufferedWriter):
+    """Writes to a stream through gzip, many short rows at a time."""
+
+    def __init__(self, plain: pa.NativeFile) -> None:
+        super().__init__(gzip.GzipFile(fileobj=plain, mode="wb", compresslevel=1, mtime=0), 1 << 17)
+        self.plain = plain
+
+    def close(self) -> None:
+        super().close()
+        self.plain.close()
+
+
 class NamedFilesWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]) -> None:
         self.folder, self.head = options["folder"], options.get("head", "").encode()
-        self.whole, self.job = options.get("whole") == "true", uuid.uuid4().hex
+        self.whole, self.gzip, self.job = options.get("whole") == "true", options.get("gzip") == "true", uuid.uuid4().hex
 
     def _temporary(self, root: str) -> str:
         return f"{root}/_temporary-{self.job}"
@@ -45,6 +60,10 @@ class NamedFilesWriter(DataSourceArrowWriter):
     def _mark(self, root: str) -> str:
         return f"{self._temporary(root)}/open"
 
+    def _opened(self, store: fs.FileSystem, path: str) -> io.BufferedIOBase | pa.NativeFile:
+        plain = store.open_output_stream(path, compression=None)
+        return _Gzipped(plain) if self.gzip else plain
+
     def begin(self) -> NamedFilesWriter:
         store, root = _store(self.folder)
         store.create_dir(self._temporary(root))
@@ -64,7 +83,7 @@ class NamedFilesWriter(DataSourceArrowWriter):
                         if not files:
                             store.create_dir(own)
                         files.append((name, place or 0, f"{own}/{len(files)}"))
-                        now, out = name, store.open_output_stream(files[-1][2], compression=None)
+                        now, out = name, self._opened(store, files[-1][2])
                         out.write(self.head)
                     data = content.as_py()
                     out.write(data.encode() if isinstance(data, str) else data or b"")
@@ -114,11 +133,13 @@ class NamedFiles(DataSource):
 
 def write_named(rows: DataFrame, folder: str, **options: str) -> None:
     """Rows of name, content (text or bytes) and maybe place, as they are dealt: rows of one name that follow each other are one file,
-    which head begins. With whole=true each row is a file, and of equal names the largest place stays."""
+    which head begins. With whole=true each row is a file, and of equal names the largest place stays. With gzip=true files are
+    compressed. Shuffle files that only the write needed are let go."""
     spark = rows.sparkSession
     ship(spark)
     spark.dataSource.register(NamedFiles)
     rows.write.format("named_files").option("folder", folder).options(**options).mode("append").save()
+    release(spark)
 
 
 def file_name(value: Column, end: str = "") -> Column:
