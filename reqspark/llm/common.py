@@ -68,13 +68,13 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, release: bool = False) -> DataFrame:
+def materialise(df: DataFrame, release: bool = False, level: int = 3) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: this cuts the lineage, and a lost executor
     costs nothing that was written. The table goes when the driver's JVM ends. With release, Spark's cleaner gets to drop at
-    once the shuffle files that only the written plan needed."""
+    once the shuffle files that only the written plan needed. level is that of zstandard."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     if release:

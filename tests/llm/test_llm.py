@@ -630,3 +630,25 @@ def test_rows_that_an_explode_makes_are_not_broadcast(spark, monkeypatch):
     assert simhash.near_pairs(nodes, radius=2, bands=8).count() == 0  # a small file to Spark, 28 rows a node
     made = [line for line in plans[0].splitlines() if "BroadcastExchange" in line]
     assert not made, made
+
+
+def test_rows_of_keys_are_the_same_after_they_were_sealed():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 40, 5000):
+        rows = np.zeros(n, line_dedup.ROW)
+        for name in rows.dtype.names:
+            rows[name] = rng.integers(0, 1 << 31, n)
+        rows = line_dedup._picked(rows, np.argsort(rows["key"], kind="stable"))
+        assert (line_dedup._opened(line_dedup._sealed(rows)) == rows).all()
+        wanted = np.zeros(1 << (line_dedup.KEY_BITS - 3), np.uint8)
+        bits = line_dedup._bits(rows["key"][::3])
+        np.bitwise_or.at(wanted, bits >> 3, np.uint8(1) << (bits & 7).astype(np.uint8))
+        some = line_dedup._opened(line_dedup._sealed(rows), wanted)
+        assert set(rows["id"][::3].tolist()) <= set(some["id"].tolist()) <= set(rows["id"].tolist())
+    twice = np.concatenate([rows[:50], rows[:50]])
+    twice["size"], twice["pos"], twice["key"], twice["id"] = 9, 0, 4, np.tile(np.arange(50), 2)
+    for k in range(4):
+        twice[f"b{k}"] = 0
+    later, earlier, more = line_dedup.passing(twice, 0.8, 2)
+    want = [(i, j) for i in range(50) for j in range(min(i, 2))]
+    assert sorted(set(zip(later.tolist(), earlier.tolist()))) == want and later.size == len(want)
